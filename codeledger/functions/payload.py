@@ -13,42 +13,39 @@ from pyspark.sql import types as T
 from codeledger import schemas
 from codeledger.functions.text import as_column
 
-# Possessive quantifiers: the pattern never backtracks, whatever the length of the text.
-_WHOLE_OBJECT = r'(?s)\A\{(?:[^"}]++|"(?:[^"\\]++|\\.)*+")*+\}[ \t\n\r]*+\z'
-_EMPTY_OBJECT = r"\A\{[ \t\n\r]*\}"
-# Number words that the payload grammar allows and the strict parse does not.
-_NUMBER_WORD = r"(?<=[\[:,\s])(?:NaN|-?Infinity)(?=[\s,\]}])"
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+# From a brace without another one after it to the end, closing brace outside strings and
+# last. The strict parse knows more spellings of infinity than the payload grammar: outside
+# strings, "I" only starts the word in full and "+" only an exponent. Possessive
+# quantifiers: nothing is tried twice, whatever the length of the text.
+_MEMBERS = r'(?:[^"{}I+]++|Infinity|(?<=[eE])\+|"(?:[^"\\{]++|\\[^{])*+")*+'
+_LAST_OBJECT = r"(?s)\{" + _MEMBERS + r"\}[ \t\n\r]*+\z"
+_LAST_FILLED_OBJECT = r"(?s)\{(?![ \t\n\r]*\})" + _MEMBERS + r"\}[ \t\n\r]*+\z"
+_STRICT = {"allowSingleQuotes": "false"}
+
+
+def _checked(raw: Column | str, pattern: str) -> Column:
+    found = F.regexp_extract(as_column(raw), pattern, 0)
+    return F.when(F.from_json(found, "map<string,string>", _STRICT).isNotNull(), found)
 
 
 def extract_json(raw: Column | str) -> Column:
     """The payload text of an answer, or null."""
-    raw = as_column(raw)
-    tail = F.when(F.contains(raw, F.lit("{")), F.concat(F.lit("{"), F.substring_index(raw, "{", -1)))
-    plain = F.when(
-        F.contains(tail, F.lit("NaN")) | F.contains(tail, F.lit("Infinity")),
-        F.regexp_replace(tail, _NUMBER_WORD, "null"),
-    ).otherwise(tail)
-    whole = tail.rlike(_WHOLE_OBJECT) & F.from_json(plain, "map<string,string>", _STRICT).isNotNull()
-    return F.when(whole, tail)
+    return _checked(raw, _LAST_OBJECT)
 
 
 def usable_json(raw: Column | str) -> Column:
     """As :func:`extract_json`, with the empty object counted as absent."""
-    payload = extract_json(raw)
-    return F.when(~payload.rlike(_EMPTY_OBJECT), payload)
+    return _checked(raw, _LAST_FILLED_OBJECT)
 
 
 def typed(payload: Column | str, schema: T.StructType) -> Column:
     """A checked payload text as a struct; fields of another type become null."""
-    payload = as_column(payload)
-    return F.when(payload.isNotNull(), F.from_json(payload, schema, {"allowSingleQuotes": "false"}))
+    return F.from_json(as_column(payload), schema, _STRICT)
 
 
-def as_written(payload: Column | str, schema: T.StructType) -> Column:
-    """Every field of a checked payload as its own text, whatever type it was given."""
-    loose = T.StructType([T.StructField(field.name, T.StringType()) for field in schema])
-    return typed(payload, loose)
+def as_written(payload: Column | str, fields: list[str]) -> Column:
+    """Fields of a checked payload as their own text, whatever type they were given."""
+    return typed(payload, T.StructType([T.StructField(name, T.StringType()) for name in fields]))
 
 
 def with_payloads(cases: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# The boundaries that end a line.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# The characters that end a line.
+LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 # Words that mark a reasoning line worth keeping.
 REASONING_KEYWORDS = (
@@ -46,7 +46,8 @@ def texts(value: Column) -> Column:
 
 
 def lines(value: Column | str) -> Column:
-    return F.split(as_column(value), LINE_BREAK)
+    """The lines of a text. A pair of line ends gives a blank line; callers drop those."""
+    return F.split(F.translate(as_column(value), LINE_ENDS, "\n" * len(LINE_ENDS)), "\n")
 
 
 def contains_any(value: Column, words: tuple[str, ...]) -> Column:
@@ -57,9 +58,8 @@ def contains_any(value: Column, words: tuple[str, ...]) -> Column:
 
 def reasoning_excerpts(raw: Column | str) -> Column:
     """Stripped lines that name a method step or legal source, shortened, first twenty."""
-    stripped = F.transform(lines(raw), strip)
-    kept = F.filter(stripped, lambda line: contains_any(line, REASONING_KEYWORDS))
-    return F.transform(F.slice(kept, 1, EXCERPT_LINES), lambda line: F.left(line, F.lit(EXCERPT_WIDTH)))
+    kept = F.filter(lines(raw), lambda line: contains_any(line, REASONING_KEYWORDS))
+    return F.transform(F.slice(kept, 1, EXCERPT_LINES), lambda line: F.left(strip(line), F.lit(EXCERPT_WIDTH)))
 
 
 def fingerprint(description: Column | str) -> Column:

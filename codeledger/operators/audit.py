@@ -96,8 +96,11 @@ def decision_tree(parsed: DataFrame, qa: str | None = None, timestamp: str = "ti
         ),
     )
 
-    excerpts = F.transform(reasoning_excerpts("raw2"), lambda line: F.concat(F.lit("  │ "), line))
-    excerpt_lines = F.when(F.size(excerpts) > 0, F.concat(F.array(F.lit("  Reasoning excerpts:")), excerpts))
+    # The heading goes with the first excerpt: the excerpts are worked out once.
+    excerpt_lines = F.transform(
+        reasoning_excerpts("raw2"),
+        lambda line, place: F.concat(F.when(place == 0, "  Reasoning excerpts:\n").otherwise(""), F.lit("  │ "), line),
+    )
     reasoning = _block(
         step2,
         "  ⚠ Could not parse classification JSON",

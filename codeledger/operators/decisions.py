@@ -129,13 +129,17 @@ def code_structure(
     )
 
 
+def _typed_fields(schema: T.StructType) -> list[str]:
+    """Fields promised as something else than text."""
+    return [field.name for field in schema if field.dataType != T.StringType()]
+
+
 def _mistyped(step: str, written: Column, schema: T.StructType) -> Column:
     """Names of the fields whose value is there but of another type than promised."""
     read = F.col(step)
     names = [
-        F.when(written[field.name].isNotNull() & read[field.name].isNull(), f"{step}.{field.name} has another type")
-        for field in schema
-        if field.dataType != T.StringType()
+        F.when(written[name].isNotNull() & read[name].isNull(), f"{step}.{name} has another type")
+        for name in _typed_fields(schema)
     ]
     return F.array_compact(F.array(*names))
 
@@ -165,7 +169,8 @@ def contract_check(parsed: DataFrame) -> DataFrame:
     kinds = {"step1": schemas.STEP1, "step2": schemas.STEP2, "step3": schemas.STEP3}
     # A projection of its own: each payload is read once more, not once per field.
     flagged = parsed.withColumns(
-        flags | {f"_{step}": as_written(step.replace("step", "json"), kind) for step, kind in kinds.items()}
+        flags
+        | {f"_{step}": as_written(step.replace("step", "json"), _typed_fields(kind)) for step, kind in kinds.items()}
     )
     mistyped = [_mistyped(step, F.col(f"_{step}"), kind) for step, kind in kinds.items()]
     violations = F.concat(F.array_compact(F.array(*absent, *broken)), *mistyped)

@@ -38,9 +38,12 @@ def _confidence(step2: Column) -> Column:
 
 
 def needs_followup(step2: Column | str = "step2") -> Column:
-    """No usable classification, or one without a code."""
-    step2 = as_column(step2)
-    return step2.isNull() | is_blank(step2.cn_code)
+    """No usable classification, or one without a code.
+
+    The code of an absent payload is null, so one look at it answers both; as a filter this
+    is pushed down to the answers, where every mention of the payload is a parse.
+    """
+    return is_blank(as_column(step2).cn_code)
 
 
 def needs_followup_strict(step2: Column | str = "step2") -> Column:

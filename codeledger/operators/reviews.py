@@ -45,7 +45,18 @@ def first_verified(verified: DataFrame) -> DataFrame:
     return _first(usable, "product_fingerprint", [F.col("senior_timestamp"), F.col("row_id")])
 
 
-def verified_lookup(inquiries: DataFrame, verified: DataFrame, *, small_batch: bool = False) -> DataFrame:
+def relevant_verified(verified: DataFrame, inquiries: DataFrame) -> DataFrame:
+    """The confirmations whose fingerprint occurs among the inquiries.
+
+    For a small batch against a large table: what is left of the table after one pass
+    without a shuffle of it, the batch's fingerprints being few enough to broadcast by
+    their measured size. Reads nothing but the descriptions of the batch.
+    """
+    wanted = inquiries.select(fingerprint("description").alias("product_fingerprint")).distinct()
+    return verified.join(wanted, "product_fingerprint", "left_semi")
+
+
+def verified_lookup(inquiries: DataFrame, verified: DataFrame) -> DataFrame:
     """Add the earliest confirmation with the fingerprint of the description, or nulls.
 
     The inquiries need ``row_id`` and ``description``; their fingerprint is kept in
@@ -54,18 +65,12 @@ def verified_lookup(inquiries: DataFrame, verified: DataFrame, *, small_batch: b
     below the session's threshold. Otherwise both sides meet in a shuffle join, where a hot
     fingerprint is split by adaptive execution because the other side has one row for it.
     Inquiries that cannot match get a key of their own instead of one shared blank key.
-
-    ``small_batch`` turns the order around for a micro-batch against a large table: the
-    confirmations are first reduced to the fingerprints of the batch.
     """
     keyed = inquiries.withColumn("product_fingerprint", fingerprint("description"))
     mark = F.col("product_fingerprint")
     keyed = keyed.withColumn(
         "_probe", F.when(F.coalesce(mark, F.lit("")) != "", mark).otherwise(F.concat(F.lit("#"), "row_id"))
     )
-    if small_batch:
-        wanted = keyed.select(F.col("_probe").alias("product_fingerprint")).distinct()
-        verified = verified.join(wanted, "product_fingerprint", "left_semi")
     found = first_verified(verified).select(
         F.col("product_fingerprint").alias("_found"),
         F.col("row_id").alias("verified_row_id"),

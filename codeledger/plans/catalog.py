@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 
 import codeledger
 from codeledger import schemas
-from codeledger.functions.payload import extract_json, with_payloads
+from codeledger.functions.payload import extract_json, typed, usable_json, with_payloads
 from codeledger.functions.text import fingerprint, reasoning_excerpts
 from codeledger.operators import audit, decisions, followup, ledger, report, requests, reviews
-from codeledger.plans.fixtures import spark_fixture
+from codeledger.plans.fixtures import spark_fixture, spread
 from codeledger.plans.pipeline import Calls, followup_retry, three_steps
 from codeledger.plans.stub import PROMPTS, stub_model
 from codeledger.session import SETTINGS, scratch_dir
@@ -29,6 +29,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 LIST_SEPARATOR = " | "
+# Days and months of the given tables hold too few rows for a partition of their own.
+GRAIN = "year"
 
 
 def _flat(rows: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def history_scan(spark, sf_dir):
     history = spark_fixture(spark, sf_dir, "history")
     native = history.withColumn("senior_reviewed", F.lower(F.trim("senior_reviewed")) == "yes")
     path = _new_folder(spark, "history")
-    tables.append_history(native, path, "import", grain="month")
+    tables.append_history(native, path, "import", grain=GRAIN)
     return ledger.history_text(tables.read_history(spark, path))
 
 
@@ -254,8 +256,11 @@ def followup_pairs(spark, sf_dir):
 
 @_query("suggest_rewrite")
 def suggest_rewrite(spark, sf_dir):
-    unresolved = _parsed(spark, sf_dir).filter(followup.needs_followup())
-    answered = unresolved.join(followup.collect_answers(spark_fixture(spark, sf_dir, "answers")), "row_id")
+    cases = spark_fixture(spark, sf_dir, "cases")
+    unresolved = cases.filter(followup.needs_followup(typed(usable_json("raw2"), schemas.STEP2)))
+    # Joined before parsing: what is shuffled is the texts of the unresolved inquiries only.
+    answers = followup.collect_answers(spark_fixture(spark, sf_dir, "answers"))
+    answered = with_payloads(unresolved.join(answers, "row_id"))
     return answered.select(
         "row_id",
         followup.rewrite_suggestion().alias("suggestion"),
@@ -277,7 +282,7 @@ def reasoning_lines(spark, sf_dir):
 
 @_query("fingerprint")
 def document_fingerprint(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return documents.select("doc_id", fingerprint("text").alias("fingerprint"))
 
 
@@ -285,7 +290,7 @@ def document_fingerprint(spark, sf_dir):
 @_query("decision_tree")
 def decision_tree(spark, sf_dir):
     answers = followup.collect_answers(spark_fixture(spark, sf_dir, "answers"))
-    parsed = _parsed(spark, sf_dir).join(answers, "row_id", "left")
+    parsed = with_payloads(spark_fixture(spark, sf_dir, "cases").join(answers, "row_id", "left"))
     return parsed.select("row_id", audit.decision_tree(parsed, qa="qa").alias("decision_tree"))
 
 
@@ -410,7 +415,7 @@ def stream_log(spark, sf_dir):
     spark_fixture(spark, sf_dir, "cases").write.parquet(f"{folder}/source")
     tables.append_verified(_verified(spark_fixture(spark, sf_dir, "history")), f"{folder}/verified", "import")
     start_intake(
-        spark, f"{folder}/source", f"{folder}/history", f"{folder}/verified", f"{folder}/checkpoint", grain="month"
+        spark, f"{folder}/source", f"{folder}/history", f"{folder}/verified", f"{folder}/checkpoint", grain=GRAIN
     ).awaitTermination()
     logged = tables.read_history(spark, f"{folder}/history")
     return ledger.history_text(logged, "verified_by", "product_fingerprint")

@@ -96,7 +96,7 @@ WHERE seq = 1 OR o_orderpriority = '1-URGENT'""",
     "attachments": """SELECT page_id, 'page' || CAST(page_id AS STRING) || CASE page_id % 6 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpeg'
     WHEN 2 THEN '.pdf' WHEN 3 THEN '.html' WHEN 4 THEN '.webp' ELSE '' END AS path, html,
   CASE WHEN page_id % 4 = 0 THEN '' WHEN page_id % 4 = 1 THEN 'image/png' WHEN page_id % 4 = 2 THEN 'application/pdf' END AS mime
-FROM $pages""",
+FROM (SELECT $spread * FROM $pages) p""",
 }
 
 _READS = {
@@ -107,29 +107,49 @@ _READS = {
 _NAMES = {"ts": "timestamp", "user_name": "user"}
 
 
-def _spread(spark: SparkSession, path: str) -> str:
-    """A hint that deals out a table of few file splits to all cores; none for a large one."""
-    cores = spark.sparkContext.defaultParallelism
-    few = spark.read.parquet(path).rdd.getNumPartitions() * 2 <= cores
-    return f"/*+ REPARTITION({cores}) */" if few else ""
+def few_splits(table: DataFrame) -> bool:
+    """Does the table leave half of the cores idle, as a single small file does?"""
+    return table.rdd.getNumPartitions() * 2 <= table.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deal out a table of few file splits to all cores; leave a large one as it is."""
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if few_splits(table) else table
 
 
 def _fill(block: str, **values: str) -> str:
     return Template(BLOCKS[block]).substitute(values)
 
 
+# The columns read, declared so that no file is opened to find them out.
+_TABLES = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "pages": "page_id bigint, html string",
+}
+
+
 def spark_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    values = {table: f"parquet.`{sf_dir}/{table}.parquet`" for table in ("orders", "part", "pages")}
+    read = {table: spark.read.schema(columns).parquet(f"{sf_dir}/{table}.parquet") for table, columns in _TABLES.items()}
+    cores = spark.sparkContext.defaultParallelism
     # The row multipliers are a generator per dialect: no join with a list of numbers.
-    values |= {"each_pos": "explode(array(1, 2, 3))", "each_seq": "explode(array(1, 2))"}
-    values["spread"] = _spread(spark, f"{sf_dir}/orders.parquet")
-    base = f"WITH base AS ({_fill('base', **values)}) " if _READS[name] == "base" else ""
-    return spark.sql(base + _fill(name, **values)).withColumnsRenamed(_NAMES)
+    values = {
+        "each_pos": "explode(array(1, 2, 3))",
+        "each_seq": "explode(array(1, 2))",
+        "spread": f"/*+ REPARTITION({cores}) */" if few_splits(read["orders"]) else "",
+    }
+    values |= {table: f"<{table}>" for table in read}
+    query = f"WITH base AS ({_fill('base', **values)}) " if _READS[name] == "base" else ""
+    query = (query + _fill(name, **values)).replace("{", "{{").replace("}", "}}")
+    for table in read:
+        query = query.replace(f"<{table}>", f"{{{table}}}")
+    used = {table: rows for table, rows in read.items() if f"{{{table}}}" in query}
+    return spark.sql(query, **used).withColumnsRenamed(_NAMES)
 
 
 def duckdb_fixtures(*names: str) -> str:
     """The blocks as a list of common table expressions for the checking SQL."""
-    values = {table: table for table in ("orders", "part", "pages")}
+    values = {table: table for table in _TABLES}
     values |= {"each_pos": "unnest([1, 2, 3])", "each_seq": "unnest([1, 2])", "spread": ""}
     needed = (["base"] if any(_READS[name] == "base" for name in names) else []) + list(names)
     return ", ".join(f"{name} AS ({_fill(name, **values)})" for name in needed)

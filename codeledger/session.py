@@ -22,6 +22,8 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
+        # Call sites of column expressions cost more than building the expressions.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)

@@ -66,7 +66,7 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_history(records: DataFrame, path: str, batch: str, *, grain: str = "day") -> None:
-    """Append ledger rows as the named batch, partitioned by period (``day`` or ``month``).
+    """Append ledger rows as the named batch, partitioned by period (``day``, ``month`` or ``year``).
 
     Rows are brought together by period before writing, so that a batch leaves few files
     per period. The rebalance splits a large period over several tasks, whatever its share

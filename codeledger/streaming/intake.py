@@ -15,17 +15,17 @@ from codeledger.operators.decisions import resolve_result
 from codeledger.operators.followup import needs_followup
 from codeledger.operators.ledger import history_record
 from codeledger.operators.requests import admitted
-from codeledger.operators.reviews import verified_by, verified_lookup
+from codeledger.operators.reviews import relevant_verified, verified_by, verified_lookup
 from codeledger.sources.tables import append_history, read_verified
 
 
-def ledger_rows(cases: DataFrame, verified: DataFrame, *, small_batch: bool = False) -> DataFrame:
+def ledger_rows(cases: DataFrame, verified: DataFrame) -> DataFrame:
     """Ledger rows of a first round: admitted inquiries whose answer needs no follow-up.
 
     An inquiry that needs one is not logged yet; its retry is.
     """
     parsed = with_payloads(admitted(cases)).filter(~needs_followup())
-    looked_up = verified_lookup(resolve_result(parsed), verified, small_batch=small_batch)
+    looked_up = verified_lookup(resolve_result(parsed), verified)
     return history_record(looked_up.withColumn("verified_by", verified_by()))
 
 
@@ -49,7 +49,7 @@ def start_intake(
 
     def log_batch(batch: DataFrame, batch_id: int) -> None:
         verified = read_verified(batch.sparkSession, verified_path)
-        rows = ledger_rows(batch.dropDuplicates(["row_id"]), verified, small_batch=True)
+        rows = ledger_rows(batch.dropDuplicates(["row_id"]), relevant_verified(verified, batch))
         append_history(rows, history_path, f"{name}-{batch_id}", grain=grain)
 
     source = spark.readStream.schema(schemas.CASES)
