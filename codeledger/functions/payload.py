@@ -13,29 +13,37 @@ from pyspark.sql import types as T
 from codeledger import schemas
 from codeledger.functions.text import as_column
 
-# From a brace without another one after it to the end, closing brace outside strings and
-# last. The strict parse knows more spellings of infinity than the payload grammar: outside
-# strings, "I" only starts the word in full and "+" only an exponent. Possessive
-# quantifiers: nothing is tried twice, whatever the length of the text.
-_MEMBERS = r'(?:[^"{}I+]++|Infinity|(?<=[eE])\+|"(?:[^"\\{]++|\\[^{])*+")*+'
-_LAST_OBJECT = r"(?s)\{" + _MEMBERS + r"\}[ \t\n\r]*+\z"
-_LAST_FILLED_OBJECT = r"(?s)\{(?![ \t\n\r]*\})" + _MEMBERS + r"\}[ \t\n\r]*+\z"
+# An object without another brace in it, closing brace outside strings and last. The strict
+# parse knows more spellings of infinity than the payload grammar: outside strings, "I" only
+# starts the word in full and "+" only an exponent. Possessive quantifiers: nothing is tried
+# twice, whatever the length of the text.
+_MEMBERS = r'(?:[^"}I+]++|Infinity|(?<=[eE])\+|"(?:[^"\\]++|\\.)*+")*+'
+_OBJECT = r"(?s)\A\{" + _MEMBERS + r"\}[ \t\n\r]*+\z"
+_FILLED_OBJECT = r"(?s)\A\{(?![ \t\n\r]*\})" + _MEMBERS + r"\}[ \t\n\r]*+\z"
 _STRICT = {"allowSingleQuotes": "false"}
+# A parse that keeps nothing but whether it failed: it passes over all values.
+_FAILED = T.StructType([T.StructField("failed", T.StringType())])
 
 
-def _checked(raw: Column | str, pattern: str) -> Column:
-    found = F.regexp_extract(as_column(raw), pattern, 0)
-    return F.when(F.from_json(found, "map<string,string>", _STRICT).isNotNull(), found)
+def _tail(raw: Column | str) -> Column:
+    """From the last brace on. Two byte searches: cheap enough to be mentioned repeatedly."""
+    raw = as_column(raw)
+    return F.when(F.contains(raw, F.lit("{")), F.concat(F.lit("{"), F.substring_index(raw, "{", -1)))
+
+
+def _checked(tail: Column, pattern: str) -> Column:
+    parsed = F.from_json(tail, _FAILED, _STRICT | {"columnNameOfCorruptRecord": "failed"})
+    return F.when(tail.rlike(pattern) & parsed.failed.isNull(), tail)
 
 
 def extract_json(raw: Column | str) -> Column:
     """The payload text of an answer, or null."""
-    return _checked(raw, _LAST_OBJECT)
+    return _checked(_tail(raw), _OBJECT)
 
 
 def usable_json(raw: Column | str) -> Column:
     """As :func:`extract_json`, with the empty object counted as absent."""
-    return _checked(raw, _LAST_FILLED_OBJECT)
+    return _checked(_tail(raw), _FILLED_OBJECT)
 
 
 def typed(payload: Column | str, schema: T.StructType) -> Column:
@@ -51,9 +59,11 @@ def as_written(payload: Column | str, fields: list[str]) -> Column:
 def with_payloads(cases: DataFrame) -> DataFrame:
     """Add ``json1..3`` (payload texts) and ``step1..3`` (typed) to ``raw1..3``.
 
-    Two projections, so that each text is checked once however often it is used.
+    One projection per stage, so that each text is cut, checked and parsed once however
+    often the results are used.
     """
     present = [n for n in (1, 2, 3) if f"raw{n}" in cases.columns]
     kinds = {1: schemas.STEP1, 2: schemas.STEP2, 3: schemas.STEP3}
-    checked = cases.withColumns({f"json{n}": usable_json(f"raw{n}") for n in present})
+    cut = cases.withColumns({f"json{n}": _tail(f"raw{n}") for n in present})
+    checked = cut.withColumns({f"json{n}": _checked(F.col(f"json{n}"), _FILLED_OBJECT) for n in present})
     return checked.withColumns({f"step{n}": typed(f"json{n}", kinds[n]) for n in present})

@@ -52,8 +52,11 @@ def lines(value: Column | str) -> Column:
 
 def contains_any(value: Column, words: tuple[str, ...]) -> Column:
     """Case-insensitive: does the text contain one of the words?"""
-    pattern = "|".join(f"\\Q{word.lower()}\\E" for word in words)
-    return F.lower(value).rlike(pattern)
+    lowered = [word.lower() for word in words]
+    # The look-ahead passes over most characters without trying the words.
+    starts = "".join(sorted({word[0] for word in lowered}))
+    pattern = "|".join(rf"\Q{word}\E" for word in lowered)
+    return F.lower(value).rlike(f"(?=[{starts}])(?:{pattern})")
 
 
 def reasoning_excerpts(raw: Column | str) -> Column:
