@@ -20,13 +20,17 @@ from codeledger.sources.tables import append_history, read_verified
 
 
 def ledger_rows(cases: DataFrame, verified: DataFrame) -> DataFrame:
-    """Ledger rows of a first round: admitted inquiries whose answer needs no follow-up.
+    """Ledger rows of admitted, answered inquiries.
 
-    An inquiry that needs one is not logged yet; its retry is.
+    A first round that needs follow-up is not logged; its rerun is, however it ended, with
+    the answers given and without a note on earlier confirmations. Rows of
+    :func:`codeledger.plans.pipeline.followup_retry` say which round they are of.
     """
-    parsed = with_payloads(admitted(cases)).filter(~needs_followup())
-    looked_up = verified_lookup(resolve_result(parsed), verified)
-    return history_record(looked_up.withColumn("verified_by", verified_by()))
+    parsed = with_payloads(admitted(cases))
+    rerun = F.col("round") > 1 if "round" in cases.columns else F.lit(False)
+    logged = resolve_result(parsed.filter(rerun | ~needs_followup()))
+    noted = verified_lookup(logged, verified).withColumn("verified_by", F.when(~rerun, verified_by()))
+    return history_record(noted, qa="qa" if "qa" in cases.columns else None)
 
 
 def start_intake(

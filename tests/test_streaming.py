@@ -66,3 +66,20 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     batch = ledger_rows(cases, tables.read_verified(spark, str(tmp_path / "verified")))
     shown = lambda frame: sorted(map(tuple, history_text(frame, "verified_by").na.fill("").collect()))
     assert shown(logged) == shown(batch)
+
+
+def test_rounds_in_the_ledger(spark):
+    rows = [(*case("a", "pump"), 1, None), (*case("b", "pump", code=""), 1, None), (*case("c", "pump", code=""), 2, [("Use?", "water")]),
+            (*case("d", "pump"), 2, [("Use?", "air")])]
+    schema = schemas.T.StructType(schemas.CASES.fields + [
+        schemas.T.StructField("round", schemas.T.IntegerType()), schemas.T.StructField("qa", schemas.QA_PAIRS)])
+    verified = spark.createDataFrame(
+        [("v", "pump", "01020304", "", "eve", datetime(2024, 1, 1), "", "pump")], schemas.VERIFIED
+    )
+    shown = history_text(ledger_rows(spark.createDataFrame(rows, schema), verified), "verified_by")
+    got = {row.row_id: (row.verified_by, row.followup_qa, "FOLLOW-UP" in row.decision_tree) for row in shown.collect()}
+    assert got == {
+        "a": ("eve on 2024-01-01", "", False),
+        "c": (None, "Q: Use? → A: water", True),
+        "d": (None, "Q: Use? → A: air", True),
+    }
