@@ -91,3 +91,18 @@ def test_counts_are_combined_before_the_shuffle(stored):
 def test_report_filters_reach_the_files(stored):
     frame = report.history_display(report.history_filter(stored["history"]))
     assert "In(outcome, [NOT VALIDATED,PARTIALLY VALIDATED,VALIDATED])" in plan(frame)
+
+
+def test_small_confirmed_tables_leave_the_inquiries_unshuffled(stored):
+    text = plan(reviews.verified_lookup(stored["cases"], stored["verified"]))
+    inquiry_side = text[text.index("BroadcastHashJoin") : text.index("BroadcastExchange")]
+    assert "hashpartitioning" not in inquiry_side
+
+
+def test_a_batch_does_not_shuffle_the_confirmed_answers(stored):
+    """Only what a broadcast of the batch's fingerprints leaves of them is shuffled."""
+    text = plan(reviews.relevant_verified(stored["verified"], stored["cases"]))
+    assert "BroadcastHashJoin" in text and "LeftSemi" in text
+    assert "ReadSchema: struct<description:string>" in text
+    confirmed_side = text[text.index("BroadcastHashJoin") : text.index("BroadcastExchange")]
+    assert "hashpartitioning" not in confirmed_side
