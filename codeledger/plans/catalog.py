@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import codeledger
 from codeledger import schemas
 from codeledger.functions.payload import extract_json, typed, usable_json, with_payloads
 from codeledger.functions.text import fingerprint, reasoning_excerpts
@@ -21,7 +16,7 @@ from codeledger.operators import audit, decisions, followup, ledger, report, req
 from codeledger.plans.fixtures import spark_fixture, spread
 from codeledger.plans.pipeline import Calls, followup_retry, three_steps
 from codeledger.plans.stub import PROMPTS, stub_model
-from codeledger.session import SETTINGS, scratch_dir
+from codeledger.session import SETTINGS, scratch_dir, ship_package
 from codeledger.sources import attachments, tables
 from codeledger.streaming.intake import start_intake
 
@@ -92,19 +87,6 @@ def _new_folder(spark: SparkSession, name: str) -> str:
     return scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-_shipped: SparkContext | None = None
-
-
-def _ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, from wherever the driver was started."""
-    global _shipped
-    if _shipped is not spark.sparkContext:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(codeledger.__file__)))
-        archive = os.path.join(tempfile.mkdtemp(prefix="codeledger-"), "codeledger")
-        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", root, "codeledger"))
-        _shipped = spark.sparkContext
-
-
 # Sources and sinks
 
 
@@ -386,7 +368,7 @@ def promote_confirmed(spark, sf_dir):
 
 @_query("three_step_pipeline")
 def three_step_pipeline(spark, sf_dir):
-    _ship_package(spark)
+    ship_package(spark)
     inquiries = requests.admitted(spark_fixture(spark, sf_dir, "inquiries"))
     answered = three_steps(inquiries, PROMPTS, Calls(stub_model), _new_folder(spark, "pipeline"))
     return answered.select("row_id", "raw1", "raw2", "raw3")
@@ -394,7 +376,7 @@ def three_step_pipeline(spark, sf_dir):
 
 @_query("followup_retry")
 def followup_rerun(spark, sf_dir):
-    _ship_package(spark)
+    ship_package(spark)
     both = followup_retry(
         spark_fixture(spark, sf_dir, "cases"),
         spark_fixture(spark, sf_dir, "answers"),

@@ -1,8 +1,10 @@
 """Session settings and the shared scratch folder."""
 
 import os
+import shutil
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings only, so that they can be applied to a session made elsewhere.
@@ -47,3 +49,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             _local_scratch = tempfile.mkdtemp(prefix="codeledger-")
         root = _local_scratch
     return os.path.join(root, spark.sparkContext.applicationId, name)
+
+
+_shipped: SparkContext | None = None
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, from wherever the driver was started."""
+    global _shipped
+    if _shipped is not spark.sparkContext:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(prefix="codeledger-"), "codeledger")
+        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", root, "codeledger"))
+        _shipped = spark.sparkContext
