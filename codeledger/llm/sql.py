@@ -8,11 +8,11 @@ from codeledger.llm.url_templates import RULES, VARIABLE
 #: All pairs of the query set and the table, by integer inner product.
 TOP_K = """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 100 = 0
 ), ranked AS (
@@ -54,7 +54,7 @@ WITH urls AS (
   SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id
 ), shaped AS (
   SELECT page_id, host, path, bad, list_concat(
-    list_transform(raw[1:{depth}], s -> CASE WHEN regexp_matches(regexp_replace(s, '\\.[A-Za-z]{{1,5}}$', ''), '{VARIABLE}') THEN '*' ELSE regexp_replace(s, '\\.[A-Za-z]{{1,5}}$', '') END),
+    list_transform(raw[1:{depth}], lambda s: CASE WHEN regexp_matches(regexp_replace(s, '\\.[A-Za-z]{{1,5}}$', ''), '{VARIABLE}') THEN '*' ELSE regexp_replace(s, '\\.[A-Za-z]{{1,5}}$', '') END),
     CASE WHEN len(raw) > {depth} THEN ['**'] ELSE CAST([] AS VARCHAR[]) END) AS parts
   FROM parted LEFT JOIN marked USING (doc_id)
 ), counts0 AS (
@@ -74,12 +74,12 @@ URL_TEMPLATES = _url_templates()
 def _preference() -> str:
     text = lambda s: "'" + s.replace("\n", "' || chr(10) || '") + "'"
     shown = lambda x: f"{text(OPEN)} || {x}.role || {text(BREAK)} || {x}.text || {text(CLOSE)}"
-    joined = lambda turns: f"coalesce(array_to_string(list_transform({turns}, x -> {shown('x')}), ''), '')"
+    joined = lambda turns: f"coalesce(array_to_string(list_transform({turns}, lambda x: {shown('x')}), ''), '')"
     head = f"'-' || {text(OPEN)} || x.role || {text(BREAK)}"
     pieces = lambda turns: (
-        f"coalesce(array_to_string(list_transform({turns}, x -> {head} || CASE WHEN x.role = '{TRAINED}' THEN '+' ELSE '-' END || x.text || {text(CLOSE)}), ''), '')"
+        f"coalesce(array_to_string(list_transform({turns}, lambda x: {head} || CASE WHEN x.role = '{TRAINED}' THEN '+' ELSE '-' END || x.text || {text(CLOSE)}), ''), '')"
     )
-    trained = lambda turns: f"CAST(coalesce(list_sum(list_transform(list_filter({turns}, x -> x.role = '{TRAINED}'), x -> length(x.text) + {len(CLOSE)})), 0) AS BIGINT)"
+    trained = lambda turns: f"CAST(coalesce(list_sum(list_transform(list_filter({turns}, lambda x: x.role = '{TRAINED}'), lambda x: length(x.text) + {len(CLOSE)})), 0) AS BIGINT)"
     columns = ", ".join(
         f"{joined(f'{side}[p + 1:]')} AS {side}_text, {trained(f'{side}[p + 1:]')} AS {side}_trained, {pieces(f'{side}[p + 1:]')} AS {side}_pieces" for side in ("chosen", "rejected")
     )
@@ -96,7 +96,7 @@ sides AS (
     coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) FILTER (side = 'rejected'), []) AS rejected
   FROM sides GROUP BY pair_id
 ), cut AS (
-  SELECT *, coalesce(list_min(list_filter(range(0, least(len(chosen), len(rejected))), i -> chosen[i + 1] <> rejected[i + 1])), least(len(chosen), len(rejected))) AS p FROM pairs
+  SELECT *, coalesce(list_min(list_filter(range(0, least(len(chosen), len(rejected))), lambda i: chosen[i + 1] <> rejected[i + 1])), least(len(chosen), len(rejected))) AS p FROM pairs
 )
 SELECT pair_id, CAST(p AS BIGINT) AS prefix_turns, {joined("chosen[1:p]")} AS prompt, {columns} FROM cut
 """
