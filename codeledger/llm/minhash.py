@@ -23,10 +23,10 @@ GATHERED = 8192
 REMEMBERED = 500_000
 #: Members that a leader's text is compared with in one task.
 MEMBERS = 256
-#: Rounds of leaders at most, before all pairs left in different components are compared.
-ROUNDS = 6
-#: Pairs for each member of a bucket: when no more than that are left, on the whole, they are all compared.
+#: When buckets have no more pairs than so many for each of their members, they are compared without leaders.
 PAIRS_LEFT = 4
+#: Buckets of up to so many members are compared pair by pair, larger ones by blocks of so many members.
+SMALL, BLOCK = 16, 256
 _SKETCHED = "doc_id long, n_shingles long, class binary, bands array<long>"
 
 
@@ -160,38 +160,108 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, likeness: Likeness) -> DataFr
     return dealt.mapInArrow(partial(_verified, likeness=likeness), "a binary, b binary")
 
 
-def _open(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The members of buckets that still meet different components: band, class, root."""
-    named = buckets.withColumn("root", F.col("class")) if roots is None else buckets.join(roots, buckets["class"] == roots["node"], "left").select("band", "class", F.coalesce("root", "class").alias("root"))
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets that still meet different components, of those that did before: band, class, root.
+
+    Components only grow, so a bucket that is one component stays so.
+    """
+    named = rows.drop("root").join(roots, rows["class"] == roots["node"], "left").select("band", "class", F.coalesce("root", "class").alias("root"))
     mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
     return named.join(mixed, "band")
 
 
-def _leaders(rows: DataFrame, number: int) -> DataFrame:
-    """Pairs (member, leader): of each bucket's leader, by a hash that changes with the round, and those apart from it.
+def _leaders(rows: DataFrame) -> DataFrame:
+    """Pairs (member, leader) of each bucket's leader and its other members.
+
+    The leader of a bucket is its member that meets most others, over all of its buckets: near copies
+    of one text meet each other less often than they meet that text. A member in several buckets
+    takes the leader it meets most often.
+    """
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"))
+    met = rows.join(sizes, "band").groupBy("class").agg(F.sum("n").alias("met"))
+    first = rows.join(met, "class").groupBy("band").agg(F.max(F.struct("met", "class")).alias("first")).select("band", F.col("first.class").alias("leader"))
+    pairs = rows.join(first, "band").filter("class <> leader").groupBy(F.col("class").alias("member"), "leader").agg(F.count("*").alias("n"))
+    return pairs.groupBy("member").agg(F.max(F.struct("n", "leader")).alias("most")).select("member", "most.leader")
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """Of each bucket: its members, its pairs in different components, its largest component."""
+    of_root = rows.groupBy("band", "root").agg(F.count("*").alias("own"))
+    biggest = F.max(F.struct("own", "root"))
+    return of_root.groupBy("band").agg(F.sum("own").alias("n"), ((F.sum("own") * F.sum("own") - F.sum(F.col("own") * F.col("own"))) / 2).alias("pairs"), biggest["root"].alias("major"), biggest["own"].alias("in_major"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """The pairs of small buckets in different components, once each."""
+    few = rows.filter(F.col("n") <= SMALL).select("band", "class", "root")
+    other = few.select("band", F.col("class").alias("leader"), F.col("root").alias("leader_root"))
+    return few.join(other, "band").filter((F.col("root") != F.col("leader_root")) & (F.col("class") < F.col("leader"))).select(F.col("class").alias("member"), "leader").distinct()
+
 
-    A member in several buckets takes the leader that it meets most often.
+def _blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Large buckets, cut into blocks: members outside of the largest component meet all members.
+
+    A row of a block: band, across, down, asked (whether its pairs are wanted), class, root, text.
     """
-    key = F.struct(F.xxhash64("class", F.lit(number)).alias("hash"), F.col("class").alias("leader"), F.col("root").alias("leader_root"))
-    first = rows.groupBy("band").agg(F.min(key).alias("first")).select("band", "first.leader", "first.leader_root")
-    met = rows.join(first, "band").filter("root <> leader_root").groupBy(F.col("class").alias("member"), "leader").agg(F.count("*").alias("n"))
-    return met.groupBy("member").agg(F.max(F.struct("n", "leader")).alias("most")).select("member", "most.leader")
+    many = rows.filter(F.col("n") > SMALL).withColumns({"down_n": F.ceil((F.col("n") - F.col("in_major")) / BLOCK).cast("int"), "across_n": F.ceil(F.col("n") / BLOCK).cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    asked = many.filter("root <> major").select("band", "class", "root", F.lit(True).alias("asked"), own("down_n").alias("down"), every("across_n").alias("across"))
+    given = many.select("band", "class", "root", F.lit(False).alias("asked"), own("across_n").alias("across"), every("down_n").alias("down"))
+    dealt = asked.unionByName(given).join(texts, "class").repartition("band", "across", "down")
+    return dealt.sortWithinPartitions("band", "across", "down", "asked", "class").select("band", "across", "down", "asked", "class", "root", "text")
 
 
-def _rest(rows: DataFrame) -> DataFrame:
-    """All pairs of a bucket in different components, once each."""
-    other = rows.select("band", F.col("class").alias("leader"), F.col("root").alias("leader_root"))
-    return rows.join(other, "band").filter((F.col("root") != F.col("leader_root")) & (F.col("class") < F.col("leader"))).select(F.col("class").alias("member"), "leader").distinct()
+def _compared(batches: Iterable[pa.RecordBatch], likeness: Likeness) -> Iterator[pa.RecordBatch]:
+    """Links that join components within a block, by common shingles counted over an inverted index."""
+    here, names, roots, sets, index = None, [], [], [], None
+    merged: dict[bytes, bytes] = {}
+
+    def top(root: bytes) -> bytes:
+        while root in merged:
+            root = merged[root]
+        return root
+
+    for batch in steps(batches, "text"):
+        out = []
+        for row in batch.to_pylist():
+            if (place := (row["band"], row["across"], row["down"])) != here:
+                here, names, roots, sets, index = place, [], [], [], None
+                merged = {}
+            members = shingles(row["text"], likeness.words)
+            if not row["asked"]:
+                names.append(row["class"])
+                roots.append(row["root"])
+                sets.append(members)
+                continue
+            if index is None:
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                order = np.argsort(flat, kind="stable")
+                keys, starts = np.unique(flat[order], return_index=True)
+                index = keys, np.append(starts, len(flat)), owner[order], np.array([len(x) for x in sets])
+            keys, starts, owner, sizes = index
+            at = np.minimum(np.searchsorted(keys, members), len(keys) - 1)
+            at = at[keys[at] == members]
+            lengths = starts[at + 1] - starts[at]
+            hits = owner[np.repeat(starts[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+            common = np.bincount(hits, minlength=len(sizes))
+            for k in np.flatnonzero(100 * common >= likeness.percent * (len(members) + sizes - common)):
+                if (a := top(row["root"])) != (b := top(roots[k])):
+                    merged[a] = b
+                    out.append((row["class"], names[k]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["a", "b"])
 
 
 def near_duplicates(documents: DataFrame, likeness: Likeness) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    Documents with equal sets are one class. Classes meet in buckets of equal bands; in each bucket
-    they are compared with a leader, the confirmed links make components, and buckets that still
-    hold several components get another leader. When no more than PAIRS_LEFT pairs are left for each
-    member of a bucket, or after ROUNDS, every pair of a bucket in different components is compared. So a group of any size costs about as many
-    comparisons as it has members, and no pair is left out that could join two components.
+    Documents with equal sets are one class. Classes meet in buckets of equal bands. Where buckets
+    are large, each class is first compared with a leader, and the confirmed links make components;
+    buckets that are one component then are done. In the others all pairs in different components
+    are compared: in small ones pair by pair, in large ones by blocks, the members outside of the
+    largest component with all. So a large group costs about as many comparisons as it has members,
+    unless its members are not alike, and no pair is left out that could join two components.
 
     component_id is the smallest doc_id that links reach, kept whether it is the document's own.
     A document without words or text is linked with nothing. Rows that share an id are documents of
@@ -210,19 +280,20 @@ def near_duplicates(documents: DataFrame, likeness: Likeness) -> DataFrame:
     first = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(buckets.select("class").distinct(), "class")
     texts = stored(rows.join(first, "doc_id").select("class", "text").dropDuplicates(["class"]), "minhash-texts")
 
-    links, roots = None, None
-    for number in range(ROUNDS + 1):
-        left = stored(_open(buckets, roots), "minhash-open")
-        per_band = left.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        members, pairs = per_band.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("same")) / 2).first()
-        if not members:
-            break
-        last = number == ROUNDS or pairs <= PAIRS_LEFT * members
-        found = stored(_confirmed(stored(_rest(left) if last else _leaders(left, number), "minhash-pairs"), texts, likeness), "minhash-links")
+    roots, left = None, buckets.withColumn("root", F.col("class"))
+    sizes = stored(_sizes(left), "minhash-sizes")
+    links, (members, pairs) = None, sizes.agg(F.sum("n"), F.sum("pairs")).first()
+    if members and pairs > PAIRS_LEFT * members:
+        links = stored(_confirmed(_leaders(buckets), texts, likeness), "minhash-links")
+        roots = components(links)
+        left = stored(_open(left, roots), "minhash-open")
+        sizes = stored(_sizes(left), "minhash-sizes")
+    if members and not sizes.isEmpty():
+        rest = stored(left.join(sizes, "band"), "minhash-rest")
+        found = _confirmed(_pairs(rest), texts, likeness).unionByName(_blocks(rest, texts).mapInArrow(partial(_compared, likeness=likeness), "a binary, b binary"))
+        found = stored(found, "minhash-links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-        if last:
-            break
     named = sketched.drop("bands")
     if roots is None:
         named = named.withColumn("root", F.col("class"))

@@ -60,10 +60,12 @@ def test_odd_rows(odd_documents, no_documents):
     assert got(minhash.near_duplicates(no_documents, likeness)) == []
 
 
-def test_chain_and_large_group(spark, monkeypatch):
+@pytest.mark.parametrize("small", [1, 16])
+def test_chain_and_large_group(spark, monkeypatch, small):
     """Each text is like its neighbours only, so no leader is like all; and one with many exact and near copies."""
     monkeypatch.setattr(minhash, "PAIRS_LEFT", 0)
-    monkeypatch.setattr(minhash, "MEMBERS", 16)
+    for name, value in {"MEMBERS": 16, "SMALL": small, "BLOCK": 7}.items():
+        monkeypatch.setattr(minhash, name, value)
     words = [f"w{k}" for k in range(400)]
     chain = [(k, " ".join(words[6 * k : 6 * k + 200])) for k in range(20)]
     copies = [(100 + k, " ".join([*(f"c{i}" for i in range(150)), f"own{k % 40}"])) for k in range(120)]
