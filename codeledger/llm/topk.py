@@ -127,7 +127,7 @@ def _found(batches: Iterable[pa.RecordBatch], k: int, blocks: int | None) -> Ite
             vectors, queries = (np.frombuffer(row[name], np.int64).reshape(-1, row["width"]) for name in ("vectors", "q_vectors"))
             if found := list(search_run(q_ids, queries, floors, ids, vectors, k, blocks)):
                 columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in column], pa.int64()) for column in columns], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in column], pa.int64()) for column in columns], names=["query_id", "vec_id", "score"])
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -143,7 +143,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     blocks with their vectors as forward index. Every chunk of queries meets every run once to get a
     first kth score from its best block, and once more to score all blocks that can reach it; only k
     rows for each query and run leave a task. Queries are a stated set against all rows, in blocks.
-    Repeated rows count each; an empty table gives no rows.
+    Repeated rows count each; an empty table gives no rows. Products are exact whatever their size; one
+    that no long integer holds is shown as the nearest that is.
     """
     ship_package(vectors.sparkSession)
     width = vectors.agg(F.max(F.size("vector"))).first()[0]
