@@ -20,7 +20,9 @@ from codeledger.functions.text import as_column
 _MEMBERS = r'(?:[^"}I+]++|Infinity|(?<=[eE])\+|"(?:[^"\\]++|\\.)*+")*+'
 _OBJECT = r"(?s)\A\{" + _MEMBERS + r"\}[ \t\n\r]*+\z"
 _FILLED_OBJECT = r"(?s)\A\{(?![ \t\n\r]*\})" + _MEMBERS + r"\}[ \t\n\r]*+\z"
-_STRICT = {"allowSingleQuotes": "false"}
+# The parser's own limits on numbers, depth and texts are lifted: a payload is read whatever its size.
+_UNLIMITED = str(2**31 - 1)
+_STRICT = {"allowSingleQuotes": "false", "maxNumLen": _UNLIMITED, "maxNestingDepth": _UNLIMITED, "maxStringLen": _UNLIMITED}
 # A parse that keeps nothing but whether it failed: it passes over all values.
 _FAILED = T.StructType([T.StructField("failed", T.StringType())])
 

@@ -87,8 +87,12 @@ def question_rows(asked: DataFrame, raw: str = "raw_q") -> DataFrame:
 
 
 def answers_complete(answers: DataFrame) -> DataFrame:
-    """``row_id, complete``: is every answer of the request non-blank?"""
-    return answers.groupBy("row_id").agg(F.every(~is_blank("answer")).alias("complete"))
+    """``row_id, complete``: is every answer of the request non-blank?
+
+    A question asked twice counts by its last answer, as in :func:`collect_answers`.
+    """
+    last = answers.groupBy("row_id", "question").agg(F.max_by(~is_blank("answer"), "pos").alias("answered"))
+    return last.groupBy("row_id").agg(F.every("answered").alias("complete"))
 
 
 def collect_answers(answers: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from codeledger import schemas
 from codeledger.functions.payload import extract_json, typed, usable_json, with_payloads
 from codeledger.functions.text import fingerprint, reasoning_excerpts
 from codeledger.operators import audit, decisions, followup, ledger, report, requests, reviews
-from codeledger.plans.fixtures import spark_fixture, spread
+from codeledger.plans.fixtures import spark_fixture
 from codeledger.plans.pipeline import Calls, followup_retry, three_steps
 from codeledger.plans.stub import PROMPTS, stub_model
 from codeledger.session import SETTINGS, scratch_dir, ship_package
@@ -102,8 +102,7 @@ def history_scan(spark, sf_dir):
 @_query("history_row")
 def history_row(spark, sf_dir):
     resolved = decisions.resolve_result(_parsed(spark, sf_dir))
-    short_id = ledger.request_id("row_id", length=8)
-    return ledger.history_text(ledger.history_record(resolved, row_id=short_id))
+    return ledger.history_text(ledger.history_record(resolved, row_id=ledger.request_id("row_id")))
 
 
 @_query("attachment_payload")
@@ -264,7 +263,7 @@ def reasoning_lines(spark, sf_dir):
 
 @_query("fingerprint")
 def document_fingerprint(spark, sf_dir):
-    documents = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return documents.select("doc_id", fingerprint("text").alias("fingerprint"))
 
 

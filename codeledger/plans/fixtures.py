@@ -107,16 +107,6 @@ _READS = {
 _NAMES = {"ts": "timestamp", "user_name": "user"}
 
 
-def few_splits(table: DataFrame) -> bool:
-    """Does the table leave half of the cores idle, as a single small file does?"""
-    return table.rdd.getNumPartitions() * 2 <= table.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Deal out a table of few file splits to all cores; leave a large one as it is."""
-    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if few_splits(table) else table
-
-
 def _fill(block: str, **values: str) -> str:
     return Template(BLOCKS[block]).substitute(values)
 
@@ -136,7 +126,7 @@ def spark_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     values = {
         "each_pos": "explode(array(1, 2, 3))",
         "each_seq": "explode(array(1, 2))",
-        "spread": f"/*+ REPARTITION({cores}) */" if few_splits(read["orders"]) else "",
+        "spread": f"/*+ REPARTITION({cores}) */",
     }
     values |= {table: f"<{table}>" for table in read}
     query = f"WITH base AS ({_fill('base', **values)}) " if _READS[name] == "base" else ""

@@ -379,7 +379,7 @@ def oracles() -> dict[str, str]:
   coalesce(senior_user, '') AS senior_user, senior_verdict, row_id, {blank_rest} FROM history""",
         ),
         "history_row": _over_cases(
-            _history_text("left(sha256(row_id), 8)") + " FROM resolved", resolved=_RESOLVED
+            _history_text("left(sha256(row_id), 32)") + " FROM resolved", resolved=_RESOLVED
         ),
         "attachment_payload": _with(
             "attachments",

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,16 +89,33 @@ def _answers(calls: Calls, system: str, with_files: bool):
 
 
 def _finished(rows: DataFrame, path: str, resume: bool) -> DataFrame:
-    """Write the rows, or with ``resume`` use what an earlier run wrote completely."""
-    spark = rows.sparkSession
-    if resume:
-        try:
-            return spark.read.schema(rows.schema).parquet(path)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-    rows.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    """Write the rows, or with ``resume`` use what an earlier run wrote completely.
+
+    A step is finished when a table beside it, written after the step's own commit, has its
+    number of rows and the step still has as many. A step that failed half-way, whatever it
+    left, is written anew.
+    """
+    spark, mark = rows.sparkSession, f"{path}-finished"
+    if resume and (finished := _read(spark, mark, _MARK)) is not None and (expected := finished.first()) is not None:
+        stored = _read(spark, path, rows.schema)
+        if stored is not None and stored.count() == expected.rows:
+            return stored
+    rows.write.mode("overwrite" if resume else "errorifexists").parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    stored.agg(F.count("*").alias("rows")).coalesce(1).write.mode("overwrite").parquet(mark)
+    return stored
+
+
+_MARK = T.StructType([T.StructField("rows", T.LongType())])
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def model_step(

@@ -6,6 +6,9 @@ a batch again replaces that batch. Reviews are appended to a log and laid over t
 when it is read; :func:`fold_reviews` works them into the partitions they touch.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,7 +117,12 @@ def fold_reviews(spark: SparkSession, history_path: str, reviews: DataFrame, sta
     # Periods come to the driver as literals, so that the scan below lists only their
     # folders. Their number is bounded by the calendar, not by the rows.
     periods = [row.event_period for row in touched.select("event_period").distinct().collect()]
-    stale = history.filter(F.col("event_period").isin(periods)).join(touched, list(LEDGER_PARTITIONS), "left_semi")
+    here = F.col("event_period").isin([period for period in periods if period is not None])
+    if None in periods:  # rows without a time have a partition of their own
+        here = here | F.col("event_period").isNull()
+    keys = touched.select(*(F.col(name).alias(f"_{name}") for name in LEDGER_PARTITIONS))
+    same = reduce(and_, (F.col(name).eqNullSafe(F.col(f"_{name}")) for name in LEDGER_PARTITIONS))
+    stale = history.filter(here).join(keys, same, "left_semi")
     updated = apply_reviews(stale, reviews).select(schemas.HISTORY_TABLE.fieldNames())
     updated.write.mode("errorifexists").partitionBy(*LEDGER_PARTITIONS).parquet(staging_path)
     put_in_place(spark, history_path, staging_path)

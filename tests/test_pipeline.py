@@ -74,18 +74,25 @@ def test_files_reach_the_first_step(spark, tmp_path):
     assert {row.row_id: row.raw1 for row in answered.collect()} == {"r0": "extract None image/pngQQ==", "r1": "extract None "}
 
 
-def test_a_failing_call_leaves_no_finished_step(spark, tmp_path):
+@pytest.mark.parametrize("step", ["extract", "classify", "validate"])
+def test_a_failed_step_is_done_again_in_the_same_folder(spark, tmp_path, step):
     def broken():
+        model = stub_model()
+
         def ask(system, text):
-            raise RuntimeError("no answer")
+            if system == getattr(PROMPTS, step):
+                raise RuntimeError("no answer")
+            return model(system, text)
 
         return ask
 
     work = str(tmp_path / "work")
     with pytest.raises(Exception, match="no answer"):
         three_steps(inquiries(spark), PROMPTS, Calls(broken), work)
-    again = three_steps(inquiries(spark), PROMPTS, Calls(stub_model), str(tmp_path / "work2"), resume=True)
-    assert again.count() == 20
+    again = three_steps(inquiries(spark), PROMPTS, Calls(stub_model), work, resume=True).collect()
+    assert len(again) == 20
+    for row in again:
+        assert (row.raw1, row.raw2, row.raw3) == expected(row)
 
 
 def test_retry(spark, tmp_path):
