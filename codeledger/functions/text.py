@@ -18,6 +18,7 @@ REASONING_KEYWORDS = (
     "STEP 3", "STEP 4", "STEP 5", "STEP 6", "STEP 7", "STEP 8",
     "GIR", "legal note", "heading", "subheading", "chapter", "section",
 )
+# How much the short forms keep. Everything is whole unless a caller passes them.
 EXCERPT_WIDTH = 120
 EXCERPT_LINES = 20
 FINGERPRINT_WORDS = 30
@@ -45,6 +46,16 @@ def texts(value: Column) -> Column:
     return F.coalesce(value, F.array().cast("array<string>"))
 
 
+def shortened(value: Column | str, width: int | None) -> Column:
+    """The first characters of a text; without a width all of it."""
+    return as_column(value) if width is None else F.left(as_column(value), F.lit(width))
+
+
+def first_items(values: Column, limit: int | None) -> Column:
+    """The first items of a list; without a limit all of them."""
+    return values if limit is None else F.slice(values, 1, limit)
+
+
 def lines(value: Column | str) -> Column:
     """The lines of a text. A pair of line ends gives a blank line; callers drop those."""
     return F.split(F.translate(as_column(value), LINE_ENDS, "\n" * len(LINE_ENDS)), "\n")
@@ -59,14 +70,17 @@ def contains_any(value: Column, words: tuple[str, ...]) -> Column:
     return F.lower(value).rlike(f"(?=[{starts}])(?:{pattern})")
 
 
-def reasoning_excerpts(raw: Column | str) -> Column:
-    """Stripped lines that name a method step or legal source, shortened, first twenty."""
+def reasoning_excerpts(raw: Column | str, limit: int | None = None, width: int | None = None) -> Column:
+    """Stripped lines that name a method step or legal source; ``limit`` of them, each cut to ``width``."""
     kept = F.filter(lines(raw), lambda line: contains_any(line, REASONING_KEYWORDS))
-    return F.transform(F.slice(kept, 1, EXCERPT_LINES), lambda line: F.left(strip(line), F.lit(EXCERPT_WIDTH)))
+    return F.transform(first_items(kept, limit), lambda line: shortened(strip(line), width))
+
 
+def fingerprint(description: Column | str, limit: int | None = None) -> Column:
+    """Sorted distinct ASCII words of the lowered text, space-joined; only the first ``limit``, if given.
 
-def fingerprint(description: Column | str) -> Column:
-    """Sorted distinct ASCII words of the lowered text, first thirty, space-joined."""
+    The fingerprint is a join key: cut short, it takes two products for one.
+    """
     words = F.split(F.regexp_replace(F.lower(as_column(description)), "[^a-z0-9]+", " "), " ")
     kept = F.array_sort(F.array_distinct(F.filter(words, lambda word: word != "")))
-    return F.array_join(F.slice(kept, 1, FINGERPRINT_WORDS), " ")
+    return F.array_join(first_items(kept, limit), " ")

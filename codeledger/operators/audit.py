@@ -1,15 +1,30 @@
 """The audit text of a classification."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeledger.functions.text import blank_to_null, reasoning_excerpts, texts
+from codeledger.functions.text import EXCERPT_LINES, EXCERPT_WIDTH, blank_to_null, reasoning_excerpts, shortened, texts
 from codeledger.operators.decisions import outcome_symbol
 
 _RULE = "=" * 60
 _NOTHING = "—"
-_TEXT_WIDTH = 120
-_QUESTION_WIDTH = 80
+
+
+@dataclass(frozen=True)
+class Shown:
+    """How much of its parts the audit text shows; None is all."""
+
+    text: int | None = None
+    question: int | None = None
+    excerpts: int | None = None
+    excerpt: int | None = None
+
+
+WHOLE = Shown()
+# The short form of the audit text.
+BRIEF = Shown(text=120, question=80, excerpts=EXCERPT_LINES, excerpt=EXCERPT_WIDTH)
 
 
 def _or_dash(value: Column) -> Column:
@@ -51,7 +66,9 @@ def _some(*parts: Column) -> Column:
 # Fixed values below: the headings, labels and layout of the audit text.
 
 
-def decision_tree(parsed: DataFrame, qa: str | None = None, timestamp: str = "timestamp") -> Column:
+def decision_tree(
+    parsed: DataFrame, qa: str | None = None, timestamp: str = "timestamp", shown: Shown = WHOLE
+) -> Column:
     """The audit text of a frame with payloads; ``qa`` names the follow-up answers, if any.
 
     The time is that of the row, so that the text is the same whenever it is made.
@@ -64,8 +81,8 @@ def decision_tree(parsed: DataFrame, qa: str | None = None, timestamp: str = "ti
         F.lit("CLASSIFICATION DECISION TREE"),
         F.lit(_RULE),
         F.lit("\n▸ INPUT"),
-        _line("Description ", F.left(description, F.lit(_TEXT_WIDTH))),
-        _line("Specs       ", F.left(specs, F.lit(_TEXT_WIDTH))),
+        _line("Description ", shortened(description, shown.text)),
+        _line("Specs       ", shortened(specs, shown.text)),
     )
     answers = F.array().cast("array<string>")
     if qa is not None:
@@ -73,7 +90,7 @@ def decision_tree(parsed: DataFrame, qa: str | None = None, timestamp: str = "ti
             F.transform(
                 F.col(qa),
                 lambda pair: F.array(
-                    _line("Q", F.left(pair.q, F.lit(_QUESTION_WIDTH))), _line("A", F.left(pair.a, F.lit(_TEXT_WIDTH)))
+                    _line("Q", shortened(pair.q, shown.question)), _line("A", shortened(pair.a, shown.text))
                 ),
             )
         )
@@ -98,7 +115,7 @@ def decision_tree(parsed: DataFrame, qa: str | None = None, timestamp: str = "ti
 
     # The heading goes with the first excerpt: the excerpts are worked out once.
     excerpt_lines = F.transform(
-        reasoning_excerpts("raw2"),
+        reasoning_excerpts("raw2", shown.excerpts, shown.excerpt),
         lambda line, place: F.concat(F.when(place == 0, "  Reasoning excerpts:\n").otherwise(""), F.lit("  │ "), line),
     )
     reasoning = _block(

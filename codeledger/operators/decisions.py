@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from codeledger import schemas
 from codeledger.functions import codes
-from codeledger.functions.payload import as_written
+from codeledger.functions.payload import as_written, with_payloads
 from codeledger.functions.text import as_column, blank_to_null, texts
 
 UNKNOWN = "UNKNOWN"
@@ -22,8 +22,12 @@ OUTCOMES = ("VALIDATED", "PARTIALLY VALIDATED", "NOT VALIDATED")
 
 
 def join_responses(step2: DataFrame, step3: DataFrame) -> DataFrame:
-    """Separately stored answers of steps 2 and 3 side by side; step 3 may be missing."""
-    return step2.join(step3, "row_id", "left")
+    """Separately stored answers of steps 2 and 3, typed, side by side; step 3 may be missing.
+
+    Each side is parsed below the join, so that fields are shuffled and not the answer texts.
+    """
+    narrow = [with_payloads(rows).drop(f"raw{n}", f"json{n}") for n, rows in ((2, step2), (3, step3))]
+    return narrow[0].join(narrow[1], "row_id", "left")
 
 
 def resolve_result(parsed: DataFrame) -> DataFrame:

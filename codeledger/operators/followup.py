@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codeledger import schemas
 from codeledger.functions.payload import typed, usable_json
-from codeledger.functions.text import as_column, contains_any, is_blank, lines, strip, texts
+from codeledger.functions.text import as_column, contains_any, first_items, is_blank, lines, strip, texts
 
 # Words in a warning that make it critical under the strict rule.
 CRITICAL_WORDS = (
@@ -14,7 +14,7 @@ CRITICAL_WORDS = (
 )
 CRITICAL_WARNINGS = 2
 
-# Characters numbering a question line, and the most lines read that way.
+# Characters numbering a question line, and how many such lines the short form reads.
 NUMBERING = "0123456789.-) "
 NUMBERED_QUESTIONS = 6
 # Characters that count as a digit although they are not decimal digits (superscripts,
@@ -27,6 +27,7 @@ _DIGIT = (
 
 # Answers that say nothing.
 EMPTY_ANSWERS = ("no clue", "unknown", "?", "", "n/a")
+# How many details and missing items the short forms list.
 SOFT_WARNINGS = 5
 MISSING_ITEMS = 6
 
@@ -63,26 +64,26 @@ def offer_improvement(manual: Column | str, step2: Column | str = "step2", *, re
     return offered if retry else offered & F.coalesce(as_column(manual), F.lit(False))
 
 
-def soft_warnings(step2: Column | str = "step2", step3: Column | str = "step3") -> Column:
-    """What would make a found code more precise: at most five details."""
+def soft_warnings(step2: Column | str = "step2", step3: Column | str = "step3", limit: int | None = None) -> Column:
+    """What would make a found code more precise: the first ``limit`` details, or all."""
     step2, step3 = as_column(step2), as_column(step3)
     doubts = F.when(_confidence(step2).isin("LOW", "MEDIUM"), texts(step2.warnings)).otherwise(texts(F.lit(None)))
-    details = F.slice(F.concat(doubts, texts(step3.missing_data)), 1, SOFT_WARNINGS)
+    details = first_items(F.concat(doubts, texts(step3.missing_data)), limit)
     return F.when(needs_followup(step2), texts(F.lit(None))).otherwise(details)
 
 
-def questions(raw: Column | str) -> Column:
-    """The questions of an answer text: its payload's list, else its numbered lines."""
+def questions(raw: Column | str, limit: int | None = None) -> Column:
+    """The questions of an answer text: its payload's list, else its numbered lines (the first ``limit``, or all)."""
     raw = as_column(raw)
     listed = texts(typed(usable_json(raw), schemas.QUESTIONS).questions)
     numbered = F.filter(F.transform(lines(raw), strip), lambda line: line.rlike(rf"\A[{_DIGIT}]"))
     bare = F.transform(numbered, lambda line: strip(F.ltrim(line, F.lit(NUMBERING))))
-    return F.when(F.size(listed) > 0, listed).otherwise(texts(F.slice(bare, 1, NUMBERED_QUESTIONS)))
+    return F.when(F.size(listed) > 0, listed).otherwise(texts(first_items(bare, limit)))
 
 
-def question_rows(asked: DataFrame, raw: str = "raw_q") -> DataFrame:
+def question_rows(asked: DataFrame, raw: str = "raw_q", limit: int | None = None) -> DataFrame:
     """One row per question: ``row_id, pos, question``, counted from 1."""
-    exploded = asked.select("row_id", F.posexplode(questions(raw)).alias("pos", "question"))
+    exploded = asked.select("row_id", F.posexplode(questions(raw, limit)).alias("pos", "question"))
     return exploded.withColumn("pos", F.col("pos") + 1)
 
 
@@ -148,7 +149,7 @@ def rewrite_suggestion(description: Column | str = "description", qa: Column | s
     return F.concat(strip(F.coalesce(as_column(description), F.lit(""))), F.coalesce(suffix, F.lit("")))
 
 
-def missing_items(step1: Column | str = "step1", step3: Column | str = "step3") -> Column:
-    """What the validation, else the extraction, says is missing: at most six items."""
+def missing_items(step1: Column | str = "step1", step3: Column | str = "step3", limit: int | None = None) -> Column:
+    """What the validation, else the extraction, says is missing: the first ``limit`` items, or all."""
     validated, extracted = texts(as_column(step3).missing_data), texts(as_column(step1).missing_information)
-    return F.slice(F.when(F.size(validated) > 0, validated).otherwise(extracted), 1, MISSING_ITEMS)
+    return first_items(F.when(F.size(validated) > 0, validated).otherwise(extracted), limit)

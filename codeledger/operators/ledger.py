@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeledger import schemas
-from codeledger.functions.text import fingerprint
-from codeledger.operators.audit import decision_tree
+from codeledger.functions.payload import usable_json
+from codeledger.functions.text import fingerprint, shortened
+from codeledger.operators.audit import WHOLE, Shown, decision_tree
 from codeledger.operators.followup import qa_text
 
-# How much of the texts the ledger stores.
-STORED_INPUT = 200
-STORED_ANSWER = 500
+# How much of inputs and answers the short form of the ledger shows.
+SHOWN_INPUT = 200
+SHOWN_ANSWER = 500
 
 ID_LENGTH = 32
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -26,26 +27,26 @@ def request_id(*key: Column | str, length: int = ID_LENGTH) -> Column:
     return F.left(F.sha2(F.concat_ws("\x1f", *key), 256), F.lit(length))
 
 
-def history_record(resolved: DataFrame, *, qa: str | None = None, row_id: Column | str = "row_id") -> DataFrame:
+def history_record(
+    resolved: DataFrame, *, qa: str | None = None, row_id: Column | str = "row_id", shown: Shown = WHOLE
+) -> DataFrame:
     """The ledger row of each inquiry, from a frame with payloads and result columns.
 
-    Also carries the fingerprint of the untruncated description and, if the frame has it,
-    ``verified_by``.
+    Inputs and answers are stored whole; ``shown`` is for the audit text only. Also carries the
+    fingerprint of the description, the round (the first, if the frame has none) and, if the
+    frame has it, ``verified_by``.
     """
     step1, step2 = F.col("step1"), F.col("step2")
 
     def text(value: Column | str) -> Column:
         return F.coalesce(value, F.lit(""))
 
-    def start(name: str, length: int) -> Column:
-        return F.left(text(name), F.lit(length))
-
     no_answers = F.array().cast(schemas.QA_PAIRS)
     values = {
         "timestamp": F.col("timestamp"),
         "user": text("user"),
-        "description": start("description", STORED_INPUT),
-        "specs": start("specs", STORED_INPUT),
+        "description": text("description"),
+        "specs": text("specs"),
         "has_image": F.coalesce("has_image", F.lit(False)),
         "has_invoice": F.coalesce("has_invoice", F.lit(False)),
         "product_id": text(step1.product_identification),
@@ -58,10 +59,10 @@ def history_record(resolved: DataFrame, *, qa: str | None = None, row_id: Column
         "validated_code": F.col("code"),
         "manual_review": F.col("manual"),
         "issues": F.col("result_issues"),
-        "decision_tree": decision_tree(resolved, qa=qa),
-        "raw_step1": F.coalesce("json1", start("raw1", STORED_ANSWER)),
-        "raw_step2": start("raw2", STORED_ANSWER),
-        "raw_step3": start("raw3", STORED_ANSWER),
+        "decision_tree": decision_tree(resolved, qa=qa, shown=shown),
+        "raw_step1": F.coalesce("json1", text("raw1")),
+        "raw_step2": text("raw2"),
+        "raw_step3": text("raw3"),
         "followup_qa": no_answers if qa is None else F.coalesce(F.col(qa), no_answers),
         "senior_reviewed": F.lit(False),
         "senior_user": F.lit(""),
@@ -71,19 +72,27 @@ def history_record(resolved: DataFrame, *, qa: str | None = None, row_id: Column
         "row_id": row_id if isinstance(row_id, Column) else F.col(row_id),
     }
     mark = F.col("product_fingerprint") if "product_fingerprint" in resolved.columns else fingerprint("description")
+    turn = F.coalesce(F.col("round").cast("int"), F.lit(1)) if "round" in resolved.columns else F.lit(1)
     note = F.col("verified_by") if "verified_by" in resolved.columns else F.lit(None).cast("string")
     return resolved.select(
         *(value.alias(name) for name, value in values.items()),
         mark.alias("product_fingerprint"),
         note.alias("verified_by"),
+        turn.alias("round"),
     )
 
 
-def history_text(history: DataFrame, *also: str) -> DataFrame:
+def history_text(
+    history: DataFrame, *also: str, input_width: int | None = None, answer_width: int | None = None
+) -> DataFrame:
     """The ledger as text in header order: yes/no flags, joined lists, blanks for nulls.
 
-    ``also`` names further columns to keep as they are.
+    ``also`` names further columns to keep as they are. With ``input_width`` description and
+    specs are shown cut, with ``answer_width`` the answers; a first answer that is a payload
+    stays whole.
     """
+    widths = dict.fromkeys(("description", "specs"), input_width)
+    widths |= dict.fromkeys(("raw_step1", "raw_step2", "raw_step3"), answer_width)
 
     def shown(field: T.StructField) -> Column:
         value = F.col(field.name)
@@ -95,6 +104,10 @@ def history_text(history: DataFrame, *also: str) -> DataFrame:
             value = qa_text(value)
         elif isinstance(field.dataType, T.ArrayType):
             value = F.array_join(value, "; ")
+        elif (width := widths.get(field.name)) is not None:
+            value = shortened(value, width)
+            if field.name == "raw_step1":
+                value = F.coalesce(usable_json(field.name), value)
         return F.coalesce(value, F.lit("")).alias(field.name)
 
     return history.select(*(shown(field) for field in schemas.HISTORY), *also)

@@ -10,7 +10,6 @@ from codeledger.functions.text import as_column, fingerprint, strip
 
 CONFIRMED = "CONFIRMED"
 DEFAULT_SENIOR = "senior"
-STORED_DESCRIPTION = 300
 
 # Columns that give a row its place in the order in which reviews were written.
 REVIEW_ORDER = ("reviewed_at", "seq")
@@ -127,23 +126,20 @@ def apply_reviews(history: DataFrame, reviews: DataFrame, order: Sequence[str] =
 def promote_confirmed(history: DataFrame, reviews: DataFrame) -> DataFrame:
     """One confirmed-answers row per confirming review, repeated ones too.
 
-    The fingerprint carried by the ledger is that of the whole description; only where the
-    ledger has none is it taken from the description it stores.
+    The fingerprint carried by the ledger is used; where the ledger has none, it is taken from
+    the description, which happens after the join, for the confirmed rows only.
     """
     confirming = reviews.filter(F.col("verdict") == CONFIRMED).select(
         "row_id", "senior_user", F.col("reviewed_at").alias("senior_timestamp"), F.col("comment").alias("senior_comment")
     )
-    mark = fingerprint("description")
-    if "product_fingerprint" in history.columns:
+    mark = fingerprint("original_description")
+    carried = ["product_fingerprint"] if "product_fingerprint" in history.columns else []
+    if carried:
         mark = F.coalesce("product_fingerprint", mark)
     answers = history.select(
-        "row_id",
-        mark.alias("product_fingerprint"),
-        "cn_code",
-        "taric_code",
-        F.left(F.col("description"), F.lit(STORED_DESCRIPTION)).alias("original_description"),
+        "row_id", *carried, "cn_code", "taric_code", F.col("description").alias("original_description")
     )
     return confirming.join(answers, "row_id").select(
-        "row_id", "product_fingerprint", "cn_code", "taric_code",
+        "row_id", mark.alias("product_fingerprint"), "cn_code", "taric_code",
         "senior_user", "senior_timestamp", "senior_comment", "original_description",
     )

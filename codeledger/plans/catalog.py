@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from codeledger import schemas
 from codeledger.functions.payload import extract_json, typed, usable_json, with_payloads
-from codeledger.functions.text import fingerprint, reasoning_excerpts
+from codeledger.functions.text import EXCERPT_LINES, EXCERPT_WIDTH, FINGERPRINT_WORDS, fingerprint, reasoning_excerpts
 from codeledger.operators import audit, decisions, followup, ledger, report, requests, reviews
 from codeledger.plans.fixtures import spark_fixture
 from codeledger.plans.pipeline import Calls, followup_retry, three_steps
@@ -102,7 +102,8 @@ def history_scan(spark, sf_dir):
 @_query("history_row")
 def history_row(spark, sf_dir):
     resolved = decisions.resolve_result(_parsed(spark, sf_dir))
-    return ledger.history_text(ledger.history_record(resolved, row_id=ledger.request_id("row_id")))
+    record = ledger.history_record(resolved, row_id=ledger.request_id("row_id"), shown=audit.BRIEF)
+    return ledger.history_text(record, input_width=ledger.SHOWN_INPUT, answer_width=ledger.SHOWN_ANSWER)
 
 
 @_query("attachment_payload")
@@ -218,7 +219,7 @@ def build_followup_input(spark, sf_dir):
 
 @_query("followup_questions")
 def followup_questions(spark, sf_dir):
-    return followup.question_rows(spark_fixture(spark, sf_dir, "followup_raw"))
+    return followup.question_rows(spark_fixture(spark, sf_dir, "followup_raw"), limit=followup.NUMBERED_QUESTIONS)
 
 
 @_query("followup_context")
@@ -245,26 +246,26 @@ def suggest_rewrite(spark, sf_dir):
     return answered.select(
         "row_id",
         followup.rewrite_suggestion().alias("suggestion"),
-        followup.missing_items().alias("missing"),
+        followup.missing_items(limit=followup.MISSING_ITEMS).alias("missing"),
         F.coalesce(F.array_join("step2.candidate_headings", ", "), F.lit("")).alias("candidates"),
     )
 
 
 @_query("soft_warnings")
 def soft_warnings(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("row_id", followup.soft_warnings().alias("warnings"))
+    return _parsed(spark, sf_dir).select("row_id", followup.soft_warnings(limit=followup.SOFT_WARNINGS).alias("warnings"))
 
 
 @_query("reasoning_excerpts")
 def reasoning_lines(spark, sf_dir):
-    return spark_fixture(spark, sf_dir, "resp2").select("row_id", reasoning_excerpts("raw2").alias("excerpts"))
-
+    excerpts = reasoning_excerpts("raw2", EXCERPT_LINES, EXCERPT_WIDTH)
+    return spark_fixture(spark, sf_dir, "resp2").select("row_id", excerpts.alias("excerpts"))
 
 
 @_query("fingerprint")
 def document_fingerprint(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return documents.select("doc_id", fingerprint("text").alias("fingerprint"))
+    return documents.select("doc_id", fingerprint("text", FINGERPRINT_WORDS).alias("fingerprint"))
 
 
 
@@ -272,7 +273,7 @@ def document_fingerprint(spark, sf_dir):
 def decision_tree(spark, sf_dir):
     answers = followup.collect_answers(spark_fixture(spark, sf_dir, "answers"))
     parsed = with_payloads(spark_fixture(spark, sf_dir, "cases").join(answers, "row_id", "left"))
-    return parsed.select("row_id", audit.decision_tree(parsed, qa="qa").alias("decision_tree"))
+    return parsed.select("row_id", audit.decision_tree(parsed, qa="qa", shown=audit.BRIEF).alias("decision_tree"))
 
 
 # Decision columns
@@ -281,7 +282,7 @@ def decision_tree(spark, sf_dir):
 @_query("resolve_result")
 def resolve_result(spark, sf_dir):
     joined = decisions.join_responses(spark_fixture(spark, sf_dir, "resp2"), spark_fixture(spark, sf_dir, "resp3"))
-    resolved = decisions.resolve_result(with_payloads(joined))
+    resolved = decisions.resolve_result(joined)
     return resolved.select("row_id", "outcome", "code", "taric", "manual", "result_issues")
 
 
@@ -357,6 +358,18 @@ def apply_reviews(spark, sf_dir):
     )
 
 
+@_query("folded_history")
+def folded_history(spark, sf_dir):
+    folder = _new_folder(spark, "folded")
+    history = spark_fixture(spark, sf_dir, "history")
+    native = history.withColumn("senior_reviewed", F.lower(F.trim("senior_reviewed")) == "yes")
+    tables.append_history(native, f"{folder}/history", "import", grain=GRAIN)
+    tables.fold_reviews(spark, f"{folder}/history", spark_fixture(spark, sf_dir, "reviews"), f"{folder}/staging")
+    return tables.read_history(spark, f"{folder}/history").select(
+        "row_id", "outcome", "senior_reviewed", "senior_user", "senior_timestamp", "senior_verdict", "senior_comment"
+    )
+
+
 @_query("promote_confirmed")
 def promote_confirmed(spark, sf_dir):
     return reviews.promote_confirmed(spark_fixture(spark, sf_dir, "history"), spark_fixture(spark, sf_dir, "reviews"))
@@ -393,11 +406,17 @@ def followup_rerun(spark, sf_dir):
 @_query("stream_log")
 def stream_log(spark, sf_dir):
     folder = _new_folder(spark, "stream")
-    spark_fixture(spark, sf_dir, "cases").write.parquet(f"{folder}/source")
+    cases = spark_fixture(spark, sf_dir, "cases")
     tables.append_verified(_verified(spark_fixture(spark, sf_dir, "history")), f"{folder}/verified", "import")
-    start_intake(
-        spark, f"{folder}/source", f"{folder}/history", f"{folder}/verified", f"{folder}/checkpoint", grain=GRAIN
-    ).awaitTermination()
+    # First rounds; then the reruns, with cases that the sender repeats.
+    answers = followup.collect_answers(spark_fixture(spark, sf_dir, "answers")).select("row_id", "qa")
+    reruns = cases.join(answers, "row_id").withColumn("round", F.lit(2))
+    later = reruns.unionByName(cases.filter("has_image"), allowMissingColumns=True)
+    for arriving in (cases, later):
+        arriving.write.mode("append").parquet(f"{folder}/source")
+        start_intake(
+            spark, f"{folder}/source", f"{folder}/history", f"{folder}/verified", f"{folder}/checkpoint", grain=GRAIN
+        ).awaitTermination()
     logged = tables.read_history(spark, f"{folder}/history")
     return ledger.history_text(logged, "verified_by", "product_fingerprint")
 
@@ -408,7 +427,7 @@ def stream_log(spark, sf_dir):
 @_query("verdict_summary")
 def verdict_summary(spark, sf_dir):
     joined = decisions.join_responses(spark_fixture(spark, sf_dir, "resp2"), spark_fixture(spark, sf_dir, "resp3"))
-    labelled = decisions.verdict_label(decisions.resolve_result(with_payloads(joined)))
+    labelled = decisions.verdict_label(decisions.resolve_result(joined))
     return labelled.groupBy("verdict", "verdict_label").agg(
         F.count(F.lit(1)).alias("inquiries"), F.count_if("manual").alias("manual_reviews")
     )

@@ -42,9 +42,9 @@ def _joined(items: str, separator: str = _SEP) -> str:
     return f"array_to_string({items}, {separator})"
 
 
-def _fingerprint(x: str) -> str:
+def _fingerprint(x: str, limit: int | None = None) -> str:
     words = f"string_split_regex(regexp_replace(lower({x}), '[^a-z0-9 ]', ' ', 'g'), ' +')"
-    return f"array_to_string(list_sort(list_distinct(list_filter({words}, lambda w: w <> '')))[1:30], ' ')"
+    return f"array_to_string(list_sort(list_distinct(list_filter({words}, lambda w: w <> ''))){f'[1:{limit}]' if limit else ''}, ' ')"
 
 
 def _with(*blocks: str, select: str, **ctes: str) -> str:
@@ -75,9 +75,9 @@ _LOOKED_UP = f"""SELECT c.*, {_BY} AS verified_by FROM resolved c
 LEFT JOIN first f ON f.mark = {_fingerprint('c.description')}"""
 
 
-def _over_lookup(select: str, **ctes: str) -> str:
+def _over_lookup(select: str, *blocks: str, **ctes: str) -> str:
     return _with(
-        "cases", "history", select=select, parsed=_PARSED, resolved=_RESOLVED,
+        "cases", "history", *blocks, select=select, parsed=_PARSED, resolved=_RESOLVED,
         verified=_VERIFIED, first=_FIRST, looked_up=_LOOKED_UP, **ctes,
     )
 
@@ -85,11 +85,11 @@ def _over_lookup(select: str, **ctes: str) -> str:
 _EXCERPT_WORDS = "step 3|step 4|step 5|step 6|step 7|step 8|gir|legal note|heading|subheading|chapter|section"
 
 
-def _excerpts(raw: str) -> str:
+def _excerpts(raw: str, brief: bool = True) -> str:
     lines = rf"string_split_regex({raw}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e]|\x{{85}}|\x{{2028}}|\x{{2029}}')"
     stripped = f"list_transform({lines}, lambda l: {_strip('l')})"
     kept = f"list_filter({stripped}, lambda l: regexp_matches(lower(l), {_q(_EXCERPT_WORDS)}))"
-    return f"list_transform({kept}[1:20], lambda l: l[1:120])"
+    return f"list_transform({kept}[1:20], lambda l: l[1:120])" if brief else kept
 
 
 _QA = """SELECT row_id, list({'q': question, 'a': answer} ORDER BY pos) AS qa,
@@ -98,9 +98,12 @@ _CONTEXT = f"array_to_string(list_transform(qa, lambda p: '- ' || p.q || ': ' ||
 _QA_TEXT = "array_to_string(list_transform(qa, lambda p: 'Q: ' || p.q || ' → A: ' || p.a), ' | ')"
 
 
-def _tree(qa: str | None) -> str:
+def _tree(qa: str | None, brief: bool = True) -> str:
     """The audit text: a list of lines, nulls left out."""
 
+    def cut(x: str, width: int) -> str:
+        return f"left({x}, {width})" if brief else x
+
     def dash(x: str) -> str:
         return f"coalesce({x}, '—')"
 
@@ -125,16 +128,16 @@ def _tree(qa: str | None) -> str:
         f" WHEN contains({outcome}, 'PARTIAL') THEN '~' ELSE '✗' END"
     )
     materials = f"array_to_string({_list('json1', 'materials')}, ', ')"
-    excerpts = _excerpts("raw2")
+    excerpts = _excerpts("raw2", brief)
     truth = lambda field: f"CASE WHEN {_flag('json1', field)} THEN 'True' ELSE 'False' END"
     parts = [
         "['CLASSIFICATION DECISION TREE', repeat('=', 60)]",
         title("INPUT"),
-        "[" + line("Description ", "left(CASE WHEN description = '' THEN '—' ELSE description END, 120)") + ", "
-        + line("Specs       ", "left(nullif(specs, ''), 120)") + "]",
+        "[" + line("Description ", cut("CASE WHEN description = '' THEN '—' ELSE description END", 120)) + ", "
+        + line("Specs       ", cut("nullif(specs, '')", 120)) + "]",
     ]
     if qa:
-        pairs = f"flatten(list_transform({qa}, lambda p: ['  Q: ' || left(p.q, 80), '  A: ' || left(p.a, 120)]))"
+        pairs = f"flatten(list_transform({qa}, lambda p: ['  Q: ' || {cut('p.q', 80)}, '  A: ' || {cut('p.a', 120)}]))"
         parts.append(
             f"CASE WHEN len({qa}) > 0 THEN list_concat({title('FOLLOW-UP ANSWERS')}, {pairs}) ELSE CAST([] AS VARCHAR[]) END"
         )
@@ -188,20 +191,21 @@ def _tree(qa: str | None) -> str:
     return f"array_to_string(list_filter(flatten([{', '.join(parts)}]), lambda l: l IS NOT NULL), {_NL})"
 
 
-def _history_text(row_id: str, extra: str = "") -> str:
+def _history_text(row_id: str, extra: str = "", qa: str | None = None, brief: bool = False) -> str:
+    cut = lambda x, width: f"left({x}, {width})" if brief else x
     step1 = lambda field: f"coalesce({_text('json1', field)}, '')"
     step2 = lambda field: f"coalesce({_text('json2', field)}, '')"
     yes = lambda flag: f"CASE WHEN {flag} THEN 'yes' ELSE 'no' END"
     return f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", user_name AS "user",
-  left(description, 200) AS description, left(specs, 200) AS specs,
+  {cut('description', 200)} AS description, {cut('specs', 200)} AS specs,
   {yes('has_image')} AS has_image, {yes('has_invoice')} AS has_invoice,
   {step1('product_identification')} AS product_id, {step1('category_hint')} AS category,
   {step1('data_quality')} AS data_quality,
   {step2('cn_code')} AS cn_code, {step2('taric_code')} AS taric_code, {step2('confidence')} AS confidence,
   outcome, code AS validated_code, {yes('manual')} AS manual_review,
-  array_to_string(result_issues, '; ') AS issues, {_tree(None)} AS decision_tree,
-  coalesce(json1, left(raw1, 500)) AS raw_step1, left(raw2, 500) AS raw_step2,
-  coalesce(left(raw3, 500), '') AS raw_step3, '' AS followup_qa,
+  array_to_string(result_issues, '; ') AS issues, {_tree(qa, brief)} AS decision_tree,
+  coalesce(json1, {cut('raw1', 500)}) AS raw_step1, {cut('raw2', 500)} AS raw_step2,
+  coalesce({cut('raw3', 500)}, '') AS raw_step3, {_QA_TEXT if qa else "''"} AS followup_qa,
   'no' AS senior_reviewed, '' AS senior_user, '' AS senior_timestamp, '' AS senior_verdict, '' AS senior_comment,
   {row_id} AS row_id{extra}"""
 
@@ -379,7 +383,7 @@ def oracles() -> dict[str, str]:
   coalesce(senior_user, '') AS senior_user, senior_verdict, row_id, {blank_rest} FROM history""",
         ),
         "history_row": _over_cases(
-            _history_text("left(sha256(row_id), 32)") + " FROM resolved", resolved=_RESOLVED
+            _history_text("left(sha256(row_id), 32)", brief=True) + " FROM resolved", resolved=_RESOLVED
         ),
         "attachment_payload": _with(
             "attachments",
@@ -465,7 +469,7 @@ FROM parsed JOIN qa USING (row_id) WHERE {_NEEDS}""",
             f"""SELECT row_id, CASE WHEN {_NEEDS} THEN '' ELSE {_joined(f"list_concat(CASE WHEN {_CONFIDENCE} IN ('LOW', 'MEDIUM') THEN {_list('json2', 'warnings')} ELSE CAST([] AS VARCHAR[]) END, {_list('json3', 'missing_data')})[1:5]")} END AS warnings FROM parsed"""
         ),
         "reasoning_excerpts": _with("resp2", select=f"SELECT row_id, {_joined(_excerpts('raw2'))} AS excerpts FROM resp2"),
-        "fingerprint": f"SELECT doc_id, {_fingerprint('text')} AS fingerprint FROM documents",
+        "fingerprint": f"SELECT doc_id, {_fingerprint('text', 30)} AS fingerprint FROM documents",
         "decision_tree": _with(
             "cases", "answers",
             parsed=_PARSED, **answered,
@@ -510,12 +514,21 @@ FROM inquiries i LEFT JOIN first f ON f.mark = {_fingerprint('i.description')}""
             select="""SELECT h.row_id, outcome, CASE WHEN l.row_id IS NULL THEN h.senior_reviewed ELSE 'yes' END AS senior_reviewed,
   CASE WHEN l.row_id IS NULL THEN h.senior_user ELSE l.senior_user END AS senior_user, l.reviewed_at AS senior_timestamp,
   coalesce(l.verdict, h.senior_verdict) AS senior_verdict, coalesce(l.comment, '') AS senior_comment
+FROM history h LEFT JOIN latest l ON l.row_id = h.row_id""",
+        ),
+        "folded_history": _with(
+            "history", "reviews",
+            latest="SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY reviewed_at DESC, seq DESC) = 1",
+            select="""SELECT h.row_id, outcome,
+  CAST(l.row_id IS NOT NULL OR lower(trim(h.senior_reviewed)) = 'yes' AS VARCHAR) AS senior_reviewed,
+  CASE WHEN l.row_id IS NULL THEN h.senior_user ELSE l.senior_user END AS senior_user, l.reviewed_at AS senior_timestamp,
+  coalesce(l.verdict, h.senior_verdict) AS senior_verdict, l.comment AS senior_comment
 FROM history h LEFT JOIN latest l ON l.row_id = h.row_id""",
         ),
         "promote_confirmed": _with(
             "history", "reviews",
             select=f"""SELECT r.row_id, {_fingerprint('h.description')} AS product_fingerprint, h.cn_code, h.taric_code, r.senior_user,
-  r.reviewed_at AS senior_timestamp, r.comment AS senior_comment, left(h.description, 300) AS original_description
+  r.reviewed_at AS senior_timestamp, r.comment AS senior_comment, h.description AS original_description
 FROM reviews r JOIN history h ON h.row_id = r.row_id WHERE r.verdict = 'CONFIRMED'""",
         ),
         "three_step_pipeline": _with(
@@ -537,7 +550,11 @@ FROM (SELECT *, {_RESULT} FROM rounds)""",
         ),
         "stream_log": _over_lookup(
             _history_text("row_id", f", verified_by, {_fingerprint('description')} AS product_fingerprint")
-            + f" FROM looked_up WHERE {_ADMITTED} AND NOT {_NEEDS}"
+            + f" FROM looked_up WHERE {_ADMITTED} AND NOT {_NEEDS} UNION ALL "
+            + _history_text("row_id", f", NULL AS verified_by, {_fingerprint('description')} AS product_fingerprint", qa="qa")
+            + f" FROM looked_up JOIN qa USING (row_id) WHERE {_ADMITTED}",
+            "answers",
+            **answered,
         ),
         "verdict_summary": _with(
             "resp2", "resp3",

@@ -83,13 +83,14 @@ HISTORY = _struct(
     row_id=T.StringType(),
 )
 
-# What the stored ledger carries besides its header: the fingerprint of the untruncated
-# description (confirmations need it) and the two partition columns.
+# What the stored ledger carries besides its header: the fingerprint of the description
+# (confirmations need it), the round of the inquiry and the two partition columns.
 HISTORY_TABLE = T.StructType(
     HISTORY.fields
     + _struct(
         product_fingerprint=T.StringType(),
         verified_by=T.StringType(),
+        round=T.IntegerType(),
         event_period=T.DateType(),
         ingest_batch=T.StringType(),
     ).fields
@@ -121,3 +122,6 @@ CASES = _struct(
     raw2=T.StringType(),
     raw3=T.StringType(),
 )
+
+# What the intake reads: cases, their round (null: the first) and the answers of a rerun.
+INTAKE = T.StructType(CASES.fields + _struct(round=T.IntegerType(), qa=QA_PAIRS).fields)

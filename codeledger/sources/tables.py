@@ -9,7 +9,7 @@ when it is read; :func:`fold_reviews` works them into the partitions they touch.
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -44,8 +44,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def _write_batch(rows: DataFrame, path: str, partitions: tuple[str, ...]) -> None:
-    """Append a batch. Repeating the same batch replaces its partitions instead of doubling them."""
+def _write_partitions(rows: DataFrame, path: str, partitions: tuple[str, ...]) -> None:
+    """Write the partitions that the rows have, in place of those that are there."""
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -54,6 +54,35 @@ def _write_batch(rows: DataFrame, path: str, partitions: tuple[str, ...]) -> Non
     )
 
 
+def _batch_files(spark: SparkSession, path: str, schema: T.StructType, batch: str) -> set[str]:
+    """The files of one batch."""
+    try:
+        stored = spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+    files = stored.filter(F.col("ingest_batch") == batch).select("_metadata.file_path").distinct()
+    return {row.file_path for row in files.collect()}
+
+
+def _write_batch(rows: DataFrame, path: str, schema: T.StructType, partitions: tuple[str, ...], batch: str) -> None:
+    """Append a batch. Repeating a batch replaces it, whatever its periods; an empty repeat empties it.
+
+    Partitions that the repeat has no rows for are removed after the new ones are in place, so a
+    job lost in between leaves rows of both; running it again clears them.
+    """
+    spark = rows.sparkSession
+    before = _batch_files(spark, path, schema, batch)
+    _write_partitions(rows, path, partitions)
+    if not before:
+        return
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for file in before & _batch_files(spark, path, schema, batch):
+        left = hadoop.Path(spark._jvm.java.net.URI(file))
+        left.getFileSystem(spark._jsc.hadoopConfiguration()).delete(left, False)
+
+
 def _conform(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of the schema, in its order and types; missing ones are null."""
     return rows.select(
@@ -68,6 +97,22 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schemas.HISTORY_TABLE)
 
 
+def _period(grain: str) -> Column:
+    return F.date_trunc(grain, F.col("timestamp")).cast("date")
+
+
+def _within(rows: DataFrame) -> Column:
+    """Whether ``event_period`` is one that the rows have.
+
+    The periods come to the driver as literals, so that a scan under this filter lists only
+    their folders. Their number is bounded by the calendar, not by the rows.
+    """
+    periods = [row.event_period for row in rows.select("event_period").distinct().collect()]
+    here = F.col("event_period").isin([period for period in periods if period is not None])
+    # Rows without a time have a partition of their own.
+    return here | F.col("event_period").isNull() if None in periods else here
+
+
 def append_history(records: DataFrame, path: str, batch: str, *, grain: str = "day") -> None:
     """Append ledger rows as the named batch, partitioned by period (``day``, ``month`` or ``year``).
 
@@ -75,10 +120,27 @@ def append_history(records: DataFrame, path: str, batch: str, *, grain: str = "d
     per period. The rebalance splits a large period over several tasks, whatever its share
     of the rows, and the order by time lets file statistics prune within a period.
     """
-    period = F.date_trunc(grain, F.col("timestamp")).cast("date")
-    placed = records.withColumns({"event_period": period, "ingest_batch": F.lit(batch)})
+    placed = records.withColumns({"event_period": _period(grain), "ingest_batch": F.lit(batch)})
     rows = _conform(placed, schemas.HISTORY_TABLE).hint("rebalance", "event_period")
-    _write_batch(rows.sortWithinPartitions("event_period", "timestamp"), path, LEDGER_PARTITIONS)
+    ordered = rows.sortWithinPartitions("event_period", "timestamp")
+    _write_batch(ordered, path, schemas.HISTORY_TABLE, LEDGER_PARTITIONS, batch)
+
+
+def not_logged(cases: DataFrame, history: DataFrame, batch: str, *, grain: str = "day") -> DataFrame:
+    """The cases whose inquiry and round (``row_id, round``) no other batch has logged.
+
+    The ledger is searched in the periods of the cases only: a repeat has the time of the
+    inquiry it repeats. Cases without an id repeat nothing.
+    """
+    placed = cases.withColumn("event_period", _period(grain))
+    logged = history.filter(_within(placed) & (F.col("ingest_batch") != batch)).select(
+        F.col("event_period").alias("_period"),
+        F.col("row_id").alias("_id"),
+        F.coalesce("round", F.lit(1)).alias("_round"),
+    )
+    same = F.col("event_period").eqNullSafe(F.col("_period"))
+    same = same & (F.col("row_id") == F.col("_id")) & (F.col("round") == F.col("_round"))
+    return placed.join(logged, same, "left_anti").select(cases.columns)
 
 
 def read_verified(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +149,7 @@ def read_verified(spark: SparkSession, path: str) -> DataFrame:
 
 def append_verified(answers: DataFrame, path: str, batch: str) -> None:
     rows = _conform(answers.withColumn("ingest_batch", F.lit(batch)), VERIFIED_TABLE)
-    _write_batch(rows, path, ("ingest_batch",))
+    _write_batch(rows, path, VERIFIED_TABLE, ("ingest_batch",), batch)
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +158,7 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
 
 def append_reviews(reviews: DataFrame, path: str, batch: str) -> None:
     rows = _conform(reviews.withColumn("ingest_batch", F.lit(batch)), REVIEW_LOG)
-    _write_batch(rows, path, ("ingest_batch",))
+    _write_batch(rows, path, REVIEW_LOG, ("ingest_batch",), batch)
 
 
 def current_history(spark: SparkSession, history_path: str, reviews_path: str) -> DataFrame:
@@ -114,15 +176,9 @@ def fold_reviews(spark: SparkSession, history_path: str, reviews: DataFrame, sta
     history = read_history(spark, history_path)
     ids = latest_reviews(reviews).select("row_id")
     touched = history.join(ids, "row_id", "left_semi").select(*LEDGER_PARTITIONS).distinct()
-    # Periods come to the driver as literals, so that the scan below lists only their
-    # folders. Their number is bounded by the calendar, not by the rows.
-    periods = [row.event_period for row in touched.select("event_period").distinct().collect()]
-    here = F.col("event_period").isin([period for period in periods if period is not None])
-    if None in periods:  # rows without a time have a partition of their own
-        here = here | F.col("event_period").isNull()
     keys = touched.select(*(F.col(name).alias(f"_{name}") for name in LEDGER_PARTITIONS))
     same = reduce(and_, (F.col(name).eqNullSafe(F.col(f"_{name}")) for name in LEDGER_PARTITIONS))
-    stale = history.filter(here).join(keys, same, "left_semi")
+    stale = history.filter(_within(touched)).join(keys, same, "left_semi")
     updated = apply_reviews(stale, reviews).select(schemas.HISTORY_TABLE.fieldNames())
     updated.write.mode("errorifexists").partitionBy(*LEDGER_PARTITIONS).parquet(staging_path)
     put_in_place(spark, history_path, staging_path)
@@ -130,4 +186,4 @@ def fold_reviews(spark: SparkSession, history_path: str, reviews: DataFrame, sta
 
 def put_in_place(spark: SparkSession, history_path: str, staging_path: str) -> None:
     staged = spark.read.schema(schemas.HISTORY_TABLE).parquet(staging_path)
-    _write_batch(staged, history_path, LEDGER_PARTITIONS)
+    _write_partitions(staged, history_path, LEDGER_PARTITIONS)

@@ -2,10 +2,10 @@
 
 Each micro-batch is a batch job over operators that are also used elsewhere, so stream and
 batch give the same rows. No state is kept between batches: an inquiry and its three
-answers arrive on one row.
+answers arrive on one row, and what was logged before is looked up in the ledger.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,7 +16,28 @@ from codeledger.operators.followup import needs_followup
 from codeledger.operators.ledger import history_record
 from codeledger.operators.requests import admitted
 from codeledger.operators.reviews import relevant_verified, verified_by, verified_lookup
-from codeledger.sources.tables import append_history, read_verified
+from codeledger.sources.tables import append_history, not_logged, read_history, read_verified
+
+
+def _rerun(cases: DataFrame) -> Column:
+    return F.coalesce(F.col("round") > 1, F.lit(False)) if "round" in cases.columns else F.lit(False)
+
+
+def loggable(cases: DataFrame) -> DataFrame:
+    """The admitted inquiries that go to the ledger: first rounds that need no follow-up, and all reruns."""
+    parsed = with_payloads(admitted(cases))
+    return parsed.filter(_rerun(cases) | ~needs_followup()).select(cases.columns)
+
+
+def one_of_each(cases: DataFrame) -> DataFrame:
+    """One row for each inquiry and round (``row_id, round``): the latest, of equals the first by a hash of the row.
+
+    Rows without an id are all kept, each being an inquiry of its own.
+    """
+    order = [F.col("timestamp").desc_nulls_last(), F.xxhash64(*cases.columns)]
+    rank = F.row_number().over(Window.partitionBy("row_id", "round").orderBy(*order))
+    first = cases.filter("row_id IS NOT NULL").withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return first.unionByName(cases.filter("row_id IS NULL"))
 
 
 def ledger_rows(cases: DataFrame, verified: DataFrame) -> DataFrame:
@@ -26,10 +47,8 @@ def ledger_rows(cases: DataFrame, verified: DataFrame) -> DataFrame:
     the answers given and without a note on earlier confirmations. Rows of
     :func:`codeledger.plans.pipeline.followup_retry` say which round they are of.
     """
-    parsed = with_payloads(admitted(cases))
-    rerun = F.col("round") > 1 if "round" in cases.columns else F.lit(False)
-    logged = resolve_result(parsed.filter(rerun | ~needs_followup()))
-    noted = verified_lookup(logged, verified).withColumn("verified_by", F.when(~rerun, verified_by()))
+    logged = resolve_result(with_payloads(loggable(cases)))
+    noted = verified_lookup(logged, verified).withColumn("verified_by", F.when(~_rerun(cases), verified_by()))
     return history_record(noted, qa="qa" if "qa" in cases.columns else None)
 
 
@@ -46,17 +65,26 @@ def start_intake(
 ) -> StreamingQuery:
     """Process what has arrived and stop; run again, or on a schedule, to go on.
 
-    The confirmed answers are read anew for every batch, so later confirmations count. A
-    batch that is run again after a failure replaces what it wrote before: its rows are
-    stored under its name and number. ``name`` must therefore stay with its checkpoint.
+    Files have the columns of ``schemas.INTAKE``; without ``round`` a row is a first round. The
+    confirmed answers are read anew for every batch, so later confirmations count. A batch that
+    is run again after a failure replaces what it wrote before: its rows are stored under its
+    name and number. ``name`` must therefore stay with its checkpoint. An inquiry that another
+    batch has logged, in the same round and period, is not logged again.
     """
 
     def log_batch(batch: DataFrame, batch_id: int) -> None:
-        verified = read_verified(batch.sparkSession, verified_path)
-        rows = ledger_rows(batch.dropDuplicates(["row_id"]), relevant_verified(verified, batch))
-        append_history(rows, history_path, f"{name}-{batch_id}", grain=grain)
+        session, label = batch.sparkSession, f"{name}-{batch_id}"
+        arrived = loggable(batch.withColumn("round", F.coalesce("round", F.lit(1))))
+        # Used several times below, and a stream's batch is read whole each time.
+        cases = one_of_each(arrived).persist()
+        try:
+            new = not_logged(cases, read_history(session, history_path), label, grain=grain)
+            verified = relevant_verified(read_verified(session, verified_path), cases)
+            append_history(ledger_rows(new, verified), history_path, label, grain=grain)
+        finally:
+            cases.unpersist()
 
-    source = spark.readStream.schema(schemas.CASES)
+    source = spark.readStream.schema(schemas.INTAKE)
     if max_files:
         source = source.option("maxFilesPerTrigger", max_files)
     return (

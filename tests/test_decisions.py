@@ -186,7 +186,7 @@ def full_case(spark):
 def test_decision_tree(spark):
     answers = spark.createDataFrame([("0", 1, "Use?", "water")], "row_id string, pos int, question string, answer string")
     parsed = with_payloads(full_case(spark).join(collect_answers(answers), "row_id", "left"))
-    assert parsed.select(audit.decision_tree(parsed, qa="qa")).first()[0] == TREE
+    assert parsed.select(audit.decision_tree(parsed, qa="qa", shown=audit.BRIEF)).first()[0] == TREE
     bare = with_payloads(cases(spark, (None, "nothing", None)))
     assert bare.select(audit.decision_tree(bare)).first()[0] == BARE
 
@@ -195,7 +195,9 @@ def test_history_row(spark):
     frame = full_case(spark).withColumn("description", F.repeat(F.lit("é"), 250))
     frame = frame.withColumn("raw3", F.repeat(F.lit("z"), 600))
     record = ledger.history_record(decisions.resolve_result(with_payloads(frame)))
-    row = ledger.history_text(record).first()
+    whole = ledger.history_text(record).first()
+    assert (whole.description, whole.raw_step3) == ("é" * 250, "z" * 600)
+    row = ledger.history_text(record, input_width=ledger.SHOWN_INPUT, answer_width=ledger.SHOWN_ANSWER).first()
     assert row.description == "é" * 200
     assert (row.has_image, row.has_invoice, row.senior_reviewed, row.manual_review) == ("yes", "no", "no", "yes")
     assert row.raw_step1.startswith('{"product') and row.raw_step3 == "z" * 500

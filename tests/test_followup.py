@@ -52,9 +52,10 @@ def test_soft_warnings(spark):
         (None, '{"cn_code": "", "confidence": "LOW", "warnings": ["w"]}', missing),
         (None, '{"cn_code": "1", "confidence": "LOW", "warnings": null}', None),
     )
-    assert column(frame, followup.soft_warnings()) == [
+    assert column(frame, followup.soft_warnings(limit=followup.SOFT_WARNINGS)) == [
         ["m1", "m2", "m3", "m4"], ["w1", "w2", "m1", "m2", "m3"], [], []
     ]
+    assert column(frame, followup.soft_warnings())[1] == ["w1", "w2", "m1", "m2", "m3", "m4"]
 
 
 def test_questions(each):
@@ -65,7 +66,8 @@ def test_questions(each):
         "Intro\n1. First?\n  2) - Second?\n²) odd\nthen 3\n\u00a04.\n5 a\r\n6 b\n7 c",
         "nothing",
     ]
-    assert each(followup.questions, texts) == [
+    assert each(followup.questions, texts)[3] == ["First?", "Second?", "²) odd", "", "a", "b", "c"]
+    assert each(lambda raw: followup.questions(raw, followup.NUMBERED_QUESTIONS), texts) == [
         ["A?", "B?"], ["A?"], ["not one value"], ["First?", "Second?", "²) odd", "", "a", "b"], []
     ]
     assert each(followup.questions, [None]) == [[]]
@@ -118,7 +120,8 @@ def test_missing_items(spark):
         ('{"missing_information": ["a"]}', None, '{"missing_data": []}'),
         (None, None, None),
     )
-    assert column(frame, followup.missing_items()) == [[f"m{n}" for n in range(6)], ["a"], []]
+    assert column(frame, followup.missing_items()) == [[f"m{n}" for n in range(9)], ["a"], []]
+    assert column(frame, followup.missing_items(limit=followup.MISSING_ITEMS)) == [[f"m{n}" for n in range(6)], ["a"], []]
 
 
 def test_requests(one, spark):

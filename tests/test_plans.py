@@ -64,6 +64,21 @@ def test_first_and_last_rows_are_limited_below_the_shuffle(stored, no_broadcast)
         assert text.index("Final") < text.index("Exchange") < text.index("Partial")
 
 
+def test_answers_are_parsed_below_the_join(spark, sf_dir, no_broadcast):
+    """What is shuffled is fields: no answer text is in an exchange."""
+    answers = [spark_fixture(spark, sf_dir, name) for name in ("resp2", "resp3")]
+    text = plan(decisions.resolve_result(decisions.join_responses(*answers)).select("row_id", "code"))
+    join = text.index("SortMergeJoin")
+    assert "from_json" in text[join:] and "from_json" not in text[:join]
+
+
+def test_fingerprints_are_taken_of_confirmed_rows_only(stored, no_broadcast):
+    bare = stored["history"].drop("product_fingerprint")
+    text = plan(reviews.promote_confirmed(bare, stored["reviews"]))
+    assert "array_distinct" in text[: text.index("SortMergeJoin")]
+    assert "array_distinct" not in text[text.index("SortMergeJoin") :]
+
+
 def test_no_broadcast_is_forced(stored, no_broadcast):
     looked_up = reviews.verified_lookup(stored["cases"], stored["verified"])
     for frame in (

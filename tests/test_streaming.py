@@ -15,8 +15,8 @@ def case(row_id, description, code="01020304", user="ann"):
     return (row_id, datetime(2024, 1, 2), user, description, "", False, False, "-", raw2, '{"validation_outcome": "VALIDATED"}')
 
 
-def write(spark, folder, *rows):
-    spark.createDataFrame(list(rows), schemas.CASES).coalesce(1).write.mode("append").parquet(str(folder))
+def write(spark, folder, *rows, schema=schemas.CASES):
+    spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(folder))
 
 
 def confirm(spark, path, description, code, batch):
@@ -44,6 +44,30 @@ def test_later_confirmations_count(spark, tmp_path):
     assert set(run(spark, tmp_path)) == {"a", "e", "f"}
 
 
+def test_reruns_and_repeats(spark, tmp_path):
+    source, asked = tmp_path / "source", [("Use?", "water")]
+    open_case, untimed = case("b", "pump", code=""), ("c", None, *case("c", "pump")[2:])
+    write(spark, source, case("a", "pump"), open_case, untimed, (None, *case("", "x")[1:]), (None, *case("", "y")[1:]))
+    run(spark, tmp_path)
+    # Repeats of what is logged, a rerun without a code, and one that found a code; each twice.
+    again = [(*case("a", "pump"), None, None), (*untimed, 1, None), (*open_case, 2, asked), (*case("a", "pump"), 2, asked)]
+    write(spark, source, *again, *again, schema=schemas.INTAKE)
+    run(spark, tmp_path)
+    write(spark, source, *again, schema=schemas.INTAKE)
+    run(spark, tmp_path)
+    logged = tables.read_history(spark, str(tmp_path / "history")).collect()
+    shown = sorted((row.row_id or "", row.round, row.description, len(row.followup_qa)) for row in logged)
+    assert shown == [("", 1, "x", 0), ("", 1, "y", 0), ("a", 1, "pump", 0), ("a", 2, "pump", 1), ("b", 2, "pump", 1), ("c", 1, "pump", 0)]
+
+
+def test_texts_are_logged_whole(spark, tmp_path):
+    long = "pump " * 1000
+    write(spark, tmp_path / "source", (*case("a", long)[:4], "s" * 900, False, False, "-" * 900, *case("a", long)[8:]))
+    row = run(spark, tmp_path)["a"]
+    assert (row.description, row.specs, row.raw_step1) == (long, "s" * 900, "-" * 900)
+    assert long in row.decision_tree
+
+
 def test_a_replayed_batch_is_stored_once(spark, tmp_path):
     write(spark, tmp_path / "source", case("a", "pump"), case("b", "valve"))
     run(spark, tmp_path)

@@ -38,6 +38,25 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     assert tables.read_history(spark, path).schema["issues"].dataType.simpleString() == "array<string>"
 
 
+def test_a_repeated_batch_leaves_nothing_of_itself(spark, tmp_path):
+    path = str(tmp_path / "history")
+    tables.append_history(records(spark, *ROWS), path, "b:0")
+    tables.append_history(records(spark, ("d", datetime(2024, 1, 1, 12), [], False)), path, "b1")
+    # The same row with a corrected date, and one without.
+    tables.append_history(records(spark, ("a", datetime(2024, 5, 1), [], False), ("b", None, [], False)), path, "b:0")
+    assert ids(tables.read_history(spark, path)) == ["a", "b", "d"]
+    tables.append_history(records(spark, *ROWS).limit(0), path, "b:0")
+    assert ids(tables.read_history(spark, path)) == ["d"]
+
+
+def test_reviews_of_rows_without_a_time_are_folded_in(spark, tmp_path):
+    history = str(tmp_path / "history")
+    tables.append_history(records(spark, *ROWS, ("n", None, [], False)), history, "b0")
+    tables.fold_reviews(spark, history, review(spark, ("n", "CONFIRMED", 1), ("c", "REJECTED", 1)), str(tmp_path / "staging"))
+    folded = {row.row_id: row.senior_verdict for row in tables.read_history(spark, history).collect()}
+    assert folded == {"a": None, "b": None, "c": "REJECTED", "n": "CONFIRMED"}
+
+
 def test_periods_are_pruned(spark, tmp_path):
     path = str(tmp_path / "history")
     tables.append_history(records(spark, *ROWS), path, "b0")

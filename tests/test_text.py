@@ -9,7 +9,7 @@ from codeledger.functions import text
 
 def rule(description):
     words = re.sub(r"[^a-z0-9 ]", " ", description.lower().strip()).split()
-    return " ".join(sorted(set(words))[:30])
+    return " ".join(sorted(set(words)))
 
 
 def test_fingerprint_edges(each):
@@ -20,9 +20,11 @@ def test_fingerprint_edges(each):
         "a\tb  c": "a b c",
         "İstanbul KK ŞAß": "a i kk stanbul",
         "pump, PUMP pump": "pump",
-        " ".join(f"w{n:02}" for n in range(40, 0, -1)): " ".join(f"w{n:02}" for n in range(1, 31)),
+        " ".join(f"w{n:02}" for n in range(40, 0, -1)): " ".join(f"w{n:02}" for n in range(1, 41)),
     }
     assert each(text.fingerprint, list(cases)) == list(cases.values())
+    cut = {key: " ".join(value.split()[:30]) for key, value in cases.items()}
+    assert each(lambda value: text.fingerprint(value, text.FINGERPRINT_WORDS), list(cut)) == list(cut.values())
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
@@ -52,6 +54,6 @@ def test_lines_split_where_text_lines_end(each):
 def test_reasoning_excerpts(each):
     raw = "Step 1\n  Heading 8413 " + "x" * 200 + "\nnothing\n\nGirl\nSTEP 3 a\n" + "section\n" * 30
     [found] = each(text.reasoning_excerpts, [raw])
-    assert found[0] == ("Heading 8413 " + "x" * 200)[:120]
-    assert found[1:3] == ["Girl", "STEP 3 a"]
-    assert len(found) == 20
+    assert found == ["Heading 8413 " + "x" * 200, "Girl", "STEP 3 a"] + ["section"] * 30
+    [brief] = each(lambda value: text.reasoning_excerpts(value, text.EXCERPT_LINES, text.EXCERPT_WIDTH), [raw])
+    assert brief == [line[:120] for line in found[:20]]
