@@ -123,6 +123,19 @@ def apply_reviews(history: DataFrame, reviews: DataFrame, order: Sequence[str] =
     return updated.select(history.columns)
 
 
+def confirmations(submitted: DataFrame) -> DataFrame:
+    """One confirmed-answers row per confirming review, from the codes and the description that the review carries.
+
+    No ledger is read, so a confirmation counts whether or not its row is known.
+    """
+    confirming = submitted.filter(F.col("verdict") == CONFIRMED)
+    return confirming.select(
+        "row_id", fingerprint("description").alias("product_fingerprint"), "cn_code", "taric_code", "senior_user",
+        F.col("reviewed_at").alias("senior_timestamp"), F.col("comment").alias("senior_comment"),
+        F.col("description").alias("original_description"),
+    )
+
+
 def promote_confirmed(history: DataFrame, reviews: DataFrame) -> DataFrame:
     """One confirmed-answers row per confirming review, repeated ones too.
 

@@ -13,8 +13,10 @@ from codeledger import schemas
 from codeledger.functions.payload import extract_json, typed, usable_json, with_payloads
 from codeledger.functions.text import EXCERPT_LINES, EXCERPT_WIDTH, FINGERPRINT_WORDS, fingerprint, reasoning_excerpts
 from codeledger.operators import audit, decisions, followup, ledger, report, requests, reviews
-from codeledger.plans.fixtures import spark_fixture
+from codeledger.plans.fixtures import FILE_OF, REVIEWED, spark_fixture
 from codeledger.plans.pipeline import Calls, followup_retry, three_steps
+from codeledger.plans.rounds import ask_round
+from codeledger.plans.rounds import classification_round as first_round, followup_round as second_round
 from codeledger.plans.stub import PROMPTS, stub_model
 from codeledger.session import SETTINGS, scratch_dir, ship_package
 from codeledger.sources import attachments, tables
@@ -375,6 +377,24 @@ def promote_confirmed(spark, sf_dir):
     return reviews.promote_confirmed(spark_fixture(spark, sf_dir, "history"), spark_fixture(spark, sf_dir, "reviews"))
 
 
+@_query("submit_reviews")
+def submit_reviews(spark, sf_dir):
+    folder = _new_folder(spark, "reviews")
+    history = spark_fixture(spark, sf_dir, "history")
+    native = history.withColumn("senior_reviewed", F.lower(F.trim("senior_reviewed")) == "yes")
+    tables.append_history(native, f"{folder}/history", "import", grain=GRAIN)
+    submitted = spark_fixture(spark, sf_dir, "reviews").selectExpr("seq", "verdict", "senior_user", "comment", "reviewed_at", *REVIEWED)
+    tables.submit_reviews(submitted, f"{folder}/log", f"{folder}/verified", "first")
+    shown = ["row_id", "cn_code", "taric_code", "senior_user", "senior_timestamp", "senior_comment"]
+    current = tables.current_history(spark, f"{folder}/history", f"{folder}/log").select(
+        F.lit("ledger").alias("stored_in"), *shown, "senior_verdict", F.col("description").alias("original_description"), F.lit("").alias("product_fingerprint")
+    )
+    confirmed = tables.read_verified(spark, f"{folder}/verified").select(
+        F.lit("verified").alias("stored_in"), *shown, F.lit("").alias("senior_verdict"), "original_description", "product_fingerprint"
+    )
+    return current.unionByName(confirmed)
+
+
 # Pipeline and stream
 
 
@@ -403,6 +423,30 @@ def followup_rerun(spark, sf_dir):
 
 
 
+@_query("classification_round")
+def classification_round(spark, sf_dir):
+    ship_package(spark)
+    folder = _new_folder(spark, "round")
+    payloads = attachments.attachment_payload(attachments.accepted(spark_fixture(spark, sf_dir, "attachments").withColumn("content", F.col("html").cast("binary"))))
+    files = attachments.by_request(payloads.select(F.expr(FILE_OF).alias("row_id"), "path", "media_type", "data"))
+    inquiries = spark_fixture(spark, sf_dir, "inquiries").join(files, "row_id", "left")
+    verified = _verified(spark_fixture(spark, sf_dir, "history"))
+    first_round(inquiries, verified, PROMPTS, Calls(stub_model), folder, f"{folder}/history", "first", files="files", grain=GRAIN)
+    return ledger.history_text(tables.read_history(spark, f"{folder}/history"), "verified_by", "product_fingerprint")
+
+
+@_query("followup_round")
+def followup_round(spark, sf_dir):
+    ship_package(spark)
+    folder = _new_folder(spark, "followup")
+    cases = spark_fixture(spark, sf_dir, "cases")
+    asked = ask_round(cases, PROMPTS, Calls(stub_model), folder, limit=followup.NUMBERED_QUESTIONS)
+    # One in ten leaves the form blank.
+    answers = asked.withColumn("answer", F.when(F.right("row_id", F.lit(1)) == "0", " ").otherwise(F.concat(F.lit("see "), "row_id")))
+    second_round(cases, answers, PROMPTS, Calls(stub_model), folder, f"{folder}/history", "second", grain=GRAIN)
+    return ledger.history_text(tables.read_history(spark, f"{folder}/history"), "product_fingerprint", "round")
+
+
 @_query("stream_log")
 def stream_log(spark, sf_dir):
     folder = _new_folder(spark, "stream")

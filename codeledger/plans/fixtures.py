@@ -99,6 +99,14 @@ WHERE seq = 1 OR o_orderpriority = '1-URGENT'""",
 FROM (SELECT $spread * FROM $pages) p""",
 }
 
+# Which inquiry a file belongs to: two pages each for those with an image.
+FILE_OF = "'r' || lpad(CAST(CAST(31 * (page_id - page_id % 2) AS BIGINT) AS STRING), 9, '0')"
+# What a reviewer sends along with a review; some rows are not in the ledger.
+REVIEWED = (
+    "CASE WHEN row_id LIKE '%7' THEN 'x' || row_id ELSE row_id END AS row_id",
+    "'0' || right(row_id, 7) AS cn_code", "'0' || right(row_id, 7) || '10' AS taric_code", "'Valve No. ' || right(row_id, 3) || ', Brass' AS description",
+)
+
 _READS = {
     name: next((other for other in ("base", "pages") if f"FROM {other}" in text or f"FROM ${other}" in text), None)
     for name, text in BLOCKS.items()

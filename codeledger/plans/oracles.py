@@ -6,7 +6,7 @@ Written from the rules, over the same inputs; nothing here is run by Spark.
 from __future__ import annotations
 
 from codeledger import schemas
-from codeledger.plans.fixtures import duckdb_fixtures
+from codeledger.plans.fixtures import FILE_OF, REVIEWED, duckdb_fixtures
 
 _SEP = "' | '"
 _NL = "chr(10)"
@@ -246,14 +246,14 @@ def _question_request(improve: bool) -> str:
 # The stub model's answers, digit for digit.
 
 
-def _digits(system: str, request: str) -> str:
-    return f"translate(md5('{system}' || chr(10) || coalesce({request}, '')), 'abcdef', '012345')"
+def _digits(system: str, request: str, files: str = "''") -> str:
+    return f"translate(md5('{system}' || chr(10) || coalesce({request}, '') || coalesce({files}, '')), 'abcdef', '012345')"
 
 
-def _stub_chain(source: str, extra: str) -> dict[str, str]:
-    """The three chained answers over ``source``; ``extra`` is the extra context or NULL."""
+def _stub_chain(source: str, extra: str, files: str = "''") -> dict[str, str]:
+    """The three chained answers over ``source``; ``extra`` is the extra context or NULL, ``files`` what stands for attachments."""
     return {
-        "asked1": f"SELECT *, {_digits('extract', _request1(extra))} AS d1 FROM {source}",
+        "asked1": f"SELECT *, {_digits('extract', _request1(extra), files)} AS d1 FROM {source}",
         "done1": """SELECT *, '{"product_identification": "item ' || left(d1, 6)
   || '", "category_hint": "mixed/other"}' AS raw1 FROM asked1""",
         "read1": f"SELECT *, {_tail('raw1')} AS json1 FROM done1",
@@ -531,6 +531,41 @@ FROM history h LEFT JOIN latest l ON l.row_id = h.row_id""",
   r.reviewed_at AS senior_timestamp, r.comment AS senior_comment, h.description AS original_description
 FROM reviews r JOIN history h ON h.row_id = r.row_id WHERE r.verdict = 'CONFIRMED'""",
         ),
+        "submit_reviews": _with(
+            "history", "reviews",
+            sent=f"SELECT seq, verdict, senior_user, comment, reviewed_at, {', '.join(REVIEWED)} FROM reviews",
+            latest="SELECT * FROM sent QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY reviewed_at DESC, seq DESC) = 1",
+            select=f"""SELECT 'ledger' AS stored_in, h.row_id, h.cn_code, h.taric_code,
+  CASE WHEN l.row_id IS NULL THEN h.senior_user ELSE l.senior_user END AS senior_user, l.reviewed_at AS senior_timestamp,
+  l.comment AS senior_comment, coalesce(l.verdict, h.senior_verdict) AS senior_verdict,
+  h.description AS original_description, '' AS product_fingerprint
+FROM history h LEFT JOIN latest l ON l.row_id = h.row_id
+UNION ALL SELECT 'verified', row_id, cn_code, taric_code, senior_user, reviewed_at, comment, '', description, {_fingerprint('description')}
+FROM sent WHERE verdict = 'CONFIRMED'""",
+        ),
+        "classification_round": _with(
+            "inquiries", "attachments", "history",
+            files=f"""SELECT {FILE_OF} AS file_of,
+  string_agg(chr(10) || coalesce(nullif(mime, ''), 'image/jpeg') || ' ' || md5(to_base64(encode(html))), '' ORDER BY path) AS files
+FROM attachments WHERE regexp_matches(lower(path), '\\.(jpg|jpeg|jfif|png|webp|pdf)$') GROUP BY file_of""",
+            admitted=f"SELECT * FROM inquiries LEFT JOIN files ON file_of = row_id WHERE {_ADMITTED}",
+            **_stub_chain("admitted", "NULL", "files"),
+            resolved=f"SELECT *, {_RESULT} FROM read3",
+            verified=_VERIFIED, first=_FIRST, looked_up=_LOOKED_UP,
+            select=_history_text("row_id", f", verified_by, {_fingerprint('description')} AS product_fingerprint")
+            + f" FROM looked_up WHERE NOT {_NEEDS}",
+        ),
+        "followup_round": _with(
+            "cases",
+            parsed=_PARSED,
+            asked=f"SELECT row_id, 'What about ' || left({_digits('ask', _question_request(False))}, 4) || '?' AS question FROM parsed WHERE {_NEEDS}",
+            told="SELECT row_id, [{'q': question, 'a': 'see ' || row_id}] AS qa FROM asked WHERE right(row_id, 1) <> '0'",
+            ready="SELECT parsed.* EXCLUDE (raw1, raw2, raw3, json1, json2, json3), qa FROM parsed JOIN told USING (row_id)",
+            **_stub_chain("ready", _CONTEXT),
+            resolved=f"SELECT *, {_RESULT} FROM read3",
+            select=_history_text("row_id", f", {_fingerprint('description')} AS product_fingerprint, CAST(2 AS BIGINT) AS round", qa="qa")
+            + f" FROM resolved WHERE {_ADMITTED}",
+        ),
         "three_step_pipeline": _with(
             "inquiries",
             admitted=f"SELECT * FROM inquiries WHERE {_ADMITTED}",

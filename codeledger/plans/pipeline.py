@@ -141,12 +141,13 @@ def three_steps(
     """Extract, classify and validate: the inquiries with ``raw1, raw2, raw3``.
 
     ``extra`` names a column with extra context, ``files`` one with an array of attachment
-    payloads; ``work_dir`` is a folder of this run in shared storage.
+    payloads, which only the first step is given and which is not stored with its answers;
+    ``work_dir`` is a folder of this run in shared storage.
     """
     first = model_step(
         inquiries, step1_text("description", "specs", extra), "raw1", prompts.extract, calls, files
     )
-    first = _finished(first, f"{work_dir}/step1", resume)
+    first = _finished(first.drop(files) if files else first, f"{work_dir}/step1", resume)
     second = model_step(first, step2_text(usable_json("raw1"), "raw1"), "raw2", prompts.classify, calls)
     second = _finished(second, f"{work_dir}/step2", resume)
     request = step3_text("description", usable_json("raw1"), usable_json("raw2"), "raw2")
@@ -157,8 +158,10 @@ def three_steps(
 def ask_questions(
     requests: DataFrame, request: Column, prompts: Prompts, calls: Calls, work_dir: str, *, resume: bool = False
 ) -> DataFrame:
-    """Add ``raw_q``: the answer of the question step to the given request text."""
-    return _finished(model_step(requests, request, "raw_q", prompts.ask, calls), f"{work_dir}/questions", resume)
+    """``row_id, raw_q``: the answer of the question step to the given request text."""
+    asked = requests.select("row_id", request.alias("_request"))
+    answered = model_step(asked, F.col("_request"), "raw_q", prompts.ask, calls).drop("_request")
+    return _finished(answered, f"{work_dir}/questions", resume)
 
 
 def followup_retry(
@@ -176,12 +179,13 @@ def followup_retry(
 
     All others keep their first round. Adds ``round`` (1 or 2) and ``qa``, the answers of a
     rerun. ``eligible`` widens the choice, such as to inquiries offered an improvement;
-    only eligible rows are shuffled to their answers.
+    only eligible rows are shuffled to their answers. Attachments are not among the columns returned.
     """
     eligible = eligible or (lambda parsed: followup.needs_followup())
-    columns = cases.columns
+    columns = [name for name in cases.columns if name != files]
+    attached = [files] if files else []
     parsed = with_payloads(cases)
-    flagged = parsed.withColumn("_eligible", eligible(parsed)).select(*columns, "_eligible")
+    flagged = parsed.withColumn("_eligible", eligible(parsed)).select(*columns, *attached, "_eligible")
     nothing = F.lit(None)
 
     complete = followup.collect_answers(answers).filter("complete").select("row_id", "qa")

@@ -4,6 +4,7 @@ Its answers depend on nothing but the request, digit for digit, so that SQL can
 """
 
 import hashlib
+from collections.abc import Sequence
 
 from codeledger.plans.pipeline import Prompts
 
@@ -20,8 +21,9 @@ def digits_of(system: str, text: str | None) -> str:
 def stub_model():
     """The factory: returns the model function."""
 
-    def answer(system: str, text: str | None) -> str:
-        digits = digits_of(system, text)
+    def answer(system: str, text: str | None, files: Sequence[dict] = ()) -> str:
+        marks = (f"\n{file['media_type']} {hashlib.md5(file['data'].encode()).hexdigest()}" for file in files)
+        digits = digits_of(system, (text or "") + "".join(marks))
         if system == PROMPTS.extract:
             return f'{{"product_identification": "item {digits[:6]}", "category_hint": "mixed/other"}}'
         if system == PROMPTS.classify:

@@ -37,3 +37,9 @@ def encoded(content: Column | str) -> Column:
 def attachment_payload(files: DataFrame, content: str = "content", stated: str = "mime") -> DataFrame:
     """Add ``media_type, data``: what a model function is given of a file."""
     return files.withColumns({"media_type": media_type(stated), "data": encoded(content)})
+
+
+def by_request(payloads: DataFrame, order: str = "path") -> DataFrame:
+    """``row_id, files``: the payloads of each request as one array. A request has the files of one form."""
+    gathered = payloads.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct(order, "media_type", "data"))).alias("files"))
+    return gathered.select("row_id", F.transform("files", lambda file: F.struct(file["media_type"], file["data"])).alias("files"))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from codeledger import schemas
-from codeledger.operators.reviews import apply_reviews, latest_reviews
+from codeledger.operators.reviews import apply_reviews, confirmations, latest_reviews
 
 LEDGER_PARTITIONS = ("event_period", "ingest_batch")
 _BATCH = T.StructField("ingest_batch", T.StringType())
@@ -161,6 +161,17 @@ def append_reviews(reviews: DataFrame, path: str, batch: str) -> None:
     _write_batch(rows, path, REVIEW_LOG, ("ingest_batch",), batch)
 
 
+def submit_reviews(submitted: DataFrame, reviews_path: str, verified_path: str, batch: str) -> None:
+    """Take in reviews: all of them into the log, the confirming ones into the confirmed answers, too.
+
+    ``submitted`` has the columns of the log and the ``cn_code, taric_code, description`` that the
+    reviewer saw. The log comes last, so a batch that is in the log has its confirmations; a
+    batch lost in between is submitted again under its name, which replaces what it left.
+    """
+    append_verified(confirmations(submitted), verified_path, batch)
+    append_reviews(submitted, reviews_path, batch)
+
+
 def current_history(spark: SparkSession, history_path: str, reviews_path: str) -> DataFrame:
     """The ledger as of now: stored rows with the review log laid over them."""
     return apply_reviews(read_history(spark, history_path), read_reviews(spark, reviews_path))

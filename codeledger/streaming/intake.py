@@ -40,16 +40,18 @@ def one_of_each(cases: DataFrame) -> DataFrame:
     return first.unionByName(cases.filter("row_id IS NULL"))
 
 
-def ledger_rows(cases: DataFrame, verified: DataFrame) -> DataFrame:
+def ledger_rows(cases: DataFrame, verified: DataFrame | None = None) -> DataFrame:
     """Ledger rows of admitted, answered inquiries.
 
     A first round that needs follow-up is not logged; its rerun is, however it ended, with
     the answers given and without a note on earlier confirmations. Rows of
-    :func:`codeledger.plans.pipeline.followup_retry` say which round they are of.
+    :func:`codeledger.plans.pipeline.followup_retry` say which round they are of. Without
+    ``verified`` no row has a note.
     """
     logged = resolve_result(with_payloads(loggable(cases)))
-    noted = verified_lookup(logged, verified).withColumn("verified_by", F.when(~_rerun(cases), verified_by()))
-    return history_record(noted, qa="qa" if "qa" in cases.columns else None)
+    if verified is not None:
+        logged = verified_lookup(logged, verified).withColumn("verified_by", F.when(~_rerun(cases), verified_by()))
+    return history_record(logged, qa="qa" if "qa" in cases.columns else None)
 
 
 def start_intake(
