@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How a turn is rendered: opening, role, break, text, closing.
@@ -29,6 +29,40 @@ def _masked(turns: Column) -> Column:
     return F.flatten(F.transform(turns, pieces))
 
 
+def one_turn() -> Column:
+    """A turn as it stands in a side; a null role or text is empty."""
+    return F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def reply_pairs(conversations: DataFrame) -> DataFrame:
+    """A gathered pair for every conversation: chosen as it is, rejected with a foreign last reply.
+
+    conversations: conv_id, turn, role, text. The rejected side has the conversation's turns before
+    its last one by the assistant, and then the last one by the assistant of its neighbour, the
+    conversation whose id differs in the lowest bit. Conversations without a reply, a neighbour's
+    reply or an id have an empty rejected side, or one that ends before the reply. Of repeated rows
+    all count.
+
+    One shuffle brings a conversation and its neighbour together; each text goes through it once.
+    """
+    couple = F.shiftright(F.col("conv_id").cast("long"), 1)
+    turns = conversations.select(F.col("conv_id"), couple.alias("couple"), one_turn().alias("one")).repartition("couple")
+    chosen = turns.groupBy("couple", "conv_id").agg(F.sort_array(F.collect_list("one")).alias("chosen"))
+    said = F.filter("chosen", lambda turn: turn["role"] == TRAINED)
+    told = chosen.withColumn("last", F.array_max(F.transform(said, lambda turn: turn["turn"])))
+    last = F.col("last")
+    told = told.withColumn("replies", F.filter("chosen", lambda turn: (turn["role"] == TRAINED) & (turn["turn"] == last)))
+    # A couple is two conversations at most: what stands before one or after it is the other.
+    both = Window.partitionBy("couple").orderBy("conv_id")
+    beside = F.when(F.col("couple").isNotNull(), F.coalesce(F.lag("replies").over(both), F.lead("replies").over(both)))
+    foreign = told.withColumn("foreign", F.coalesce(beside, F.filter("chosen", lambda turn: F.lit(False))))
+    none = F.filter("chosen", lambda turn: F.lit(False))
+    before = F.filter("chosen", lambda turn: turn["turn"] < last)
+    moved = F.transform("foreign", lambda turn: F.struct(last.alias("turn"), turn["role"], turn["text"]))
+    rejected = F.when(F.col("couple").isNotNull() & F.exists("chosen", lambda turn: turn["role"] == TRAINED), F.concat(before, moved))
+    return foreign.select(F.col("conv_id").alias("pair_id"), "chosen", F.coalesce(rejected, none).alias("rejected"))
+
+
 def preference_pairs(turns: DataFrame) -> DataFrame:
     """One row per pair: the common prefix as prompt, and what follows it on either side.
 
@@ -43,10 +77,16 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     Turns meet in one shuffle by pair. A pair is one output row, so what is gathered is what that
     row holds; there is nothing between pairs that could pile up. No Python runs.
     """
-    filled = turns.filter(F.col("side").isin(*SIDES)).select(
-        F.col("pair_id"), F.col("side"), F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("one")
-    )
-    gathered = filled.groupBy("pair_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("one")))).alias(side) for side in SIDES))
+    filled = turns.filter(F.col("side").isin(*SIDES)).select(F.col("pair_id"), F.col("side"), one_turn().alias("one"))
+    return completions(filled.groupBy("pair_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("one")))).alias(side) for side in SIDES)))
+
+
+def completions(gathered: DataFrame) -> DataFrame:
+    """The rows of :func:`preference_pairs` from pairs whose sides are gathered already.
+
+    gathered: pair_id, and chosen and rejected as arrays of turns in order, as :func:`one_turn` makes
+    them, neither null. Narrow: no shuffle.
+    """
     differs = F.zip_with("chosen", "rejected", lambda a, b: ~(a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"])))
     first = F.array_position(differs, True)
     common = F.when(first > 0, first - 1).otherwise(F.least(F.size("chosen"), F.size("rejected"))).cast("int")

@@ -62,24 +62,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, window=1024, end_id=0)
 
 
-def reply_pairs(conversations: DataFrame) -> DataFrame:
-    """A preference pair for every conversation: chosen as it is, rejected with a foreign last reply.
-
-    The rejected side has the conversation's turns before its last one by the assistant, and then the
-    last one by the assistant of its neighbour, the conversation whose id differs in the lowest bit.
-    Conversations without a reply, or without such a neighbour, have an empty rejected completion.
-    """
-    last = conversations.filter("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
-    chosen = conversations.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
-    told = conversations.join(last, "conv_id")
-    before = told.filter("turn < last").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
-    replies = told.filter("turn = last AND role = 'assistant'").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("pair_id"), "role", "text")
-    foreign = last.withColumnRenamed("conv_id", "pair_id").join(replies, "pair_id").select("pair_id", F.lit("rejected").alias("side"), F.col("last").alias("turn"), "role", "text")
-    return chosen.unionByName(before).unionByName(foreign)
-
-
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preference.preference_pairs(reply_pairs(table(spark, sf_dir, "conversations")))
+    pairs = preference.completions(preference.reply_pairs(table(spark, sf_dir, "conversations")))
     # Masked pieces as text: + before what is trained on, - before the rest.
     shown = {side: F.array_join(F.transform(f"{side}_pieces", lambda piece: F.concat(F.when(piece["train"], "+").otherwise("-"), piece["text"])), "") for side in preference.SIDES}
     return pairs.withColumns({f"{side}_pieces": value for side, value in shown.items()})

@@ -85,6 +85,25 @@ def test_preference_pairs(spark):
     assert set(got) == {1, 2, 3, None} and preference.preference_pairs(frame.limit(0)).count() == 0
 
 
+def test_reply_pairs(spark):
+    rows = [
+        (0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 1, "assistant", "b"), (1, 0, "assistant", "z"), (1, 0, "assistant", None), (2, 0, "user", "x"), (3, None, "assistant", "n"),
+        (3, 2, "assistant", "m"), (None, 0, "assistant", "q"), (None, 1, None, None), (-1, 0, "user", "k"), (-1, 1, "assistant", "l"), (-2, 4, "assistant", "o"), (5, None, "assistant", "w"), (4, 1, "assistant", "v"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS couple", "'x' AS chosen")
+    key = lambda turn: (turn[0] is not None, turn[0] or 0, *turn[1:])
+    turns = {conv: sorted(((t, role or "", text or "") for c, t, role, text in rows if c == conv), key=key) for conv in {row[0] for row in rows}}
+    last = {conv: max((t for t, role, _ in told if role == "assistant" and t is not None), default=None) for conv, told in turns.items()}
+    expected = {}
+    for conv, told in turns.items():
+        replies = [x for x in turns.get(conv ^ 1, []) if x[1] == "assistant" and x[0] is not None and x[0] == last[conv ^ 1]] if conv is not None and any(x[1] == "assistant" for x in told) else []
+        before = [x for x in told if conv is not None and None not in (x[0], last[conv]) and x[0] < last[conv]]
+        expected[conv] = told, before + [(last[conv], *x[1:]) for x in replies]
+    got = preference.reply_pairs(frame)
+    assert {row.pair_id: tuple([tuple(turn) for turn in side] for side in (row.chosen, row.rejected)) for row in got.collect()} == expected
+    assert preference.completions(got).count() == len(expected) and preference.reply_pairs(frame.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, sf_dir, documents):
     docs = documents.limit(120)
     kept = corpus_pipeline.known_language(spark, docs, sf_dir)
