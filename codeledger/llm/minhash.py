@@ -27,7 +27,7 @@ MEMBERS = 256
 PAIRS_LEFT = 4
 #: Buckets of up to so many members are compared pair by pair, larger ones by blocks of so many members.
 SMALL, BLOCK = 16, 256
-_SKETCHED = "doc_id long, n_shingles long, class binary, bands array<long>"
+_SKETCHED = "doc_id long, mark long, n_shingles long, class binary, bands array<long>"
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ def _sketched(batches: Iterable[pa.RecordBatch], likeness: Likeness) -> Iterator
                 classes.append(None)
                 hashes.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class", "bands"]
+            [batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "mark", "n_shingles", "class", "bands"]
         )
 
 
@@ -269,16 +269,21 @@ def near_duplicates(documents: DataFrame, likeness: Likeness) -> DataFrame:
     null. Only doc_id and text are read; an empty table gives no rows.
     """
     ship_package(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.alias("text"))
     sketched = stored(rows.mapInArrow(partial(_sketched, likeness=likeness), _SKETCHED), "minhash")
     classes = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
     exploded = classes.select(F.explode("bands").alias("band"), "class")
     shared = exploded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     buckets = stored(exploded.join(shared, "band"), "minhash-buckets")
 
-    # One text for each class with a partner, by the smallest document of the class.
-    first = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(buckets.select("class").distinct(), "class")
-    texts = stored(rows.join(first, "doc_id").select("class", "text").dropDuplicates(["class"]), "minhash-texts")
+    # One text for each class with a partner, that of its smallest document. An id may be null or
+    # stand for several texts, so the text's own hash is part of the key.
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("at")
+    first = sketched.filter("class IS NOT NULL").groupBy("class").agg(smallest).join(buckets.select("class").distinct(), "class")
+    first = first.select("class", F.col("at.doc_id").alias("first_id"), F.col("at.mark").alias("first_mark"))
+    same = (rows["mark"] == first["first_mark"]) & rows["doc_id"].eqNullSafe(first["first_id"])
+    texts = stored(rows.join(first, same).select("class", "text").dropDuplicates(["class"]), "minhash-texts")
 
     roots, left = None, buckets.withColumn("root", F.col("class"))
     sizes = stored(_sizes(left), "minhash-sizes")
@@ -294,7 +299,7 @@ def near_duplicates(documents: DataFrame, likeness: Likeness) -> DataFrame:
         found = stored(found, "minhash-links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-    named = sketched.drop("bands")
+    named = sketched.drop("bands", "mark")
     if roots is None:
         named = named.withColumn("root", F.col("class"))
     else:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from codeledger.llm import components as cc
 from codeledger.llm import minhash
@@ -60,6 +61,15 @@ def test_odd_rows(odd_documents, no_documents):
     assert got(minhash.near_duplicates(no_documents, likeness)) == []
 
 
+def test_near_copies_without_ids_and_under_one_id(spark):
+    base = [f"w{k}" for k in range(120)]
+    changed = lambda at: " ".join(base[:at] + ["new"] + base[at + 1 :])
+    other = lambda name: " ".join(f"{name}{k}" for k in range(100))
+    rows = [(None, changed(3)), (None, changed(60)), (None, other("x")), (7, changed(90)), (7, other("y")), (7, other("z")), (9, other("z") + " more"), (8, other("y") + " more"), (4, other("v")), (4, other("v"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit("clash"))
+    assert got(minhash.near_duplicates(frame, minhash.Likeness())) == brute(rows, 5, 80)
+
+
 @pytest.mark.parametrize("small", [1, 16])
 def test_chain_and_large_group(spark, monkeypatch, small):
     """Each text is like its neighbours only, so no leader is like all; and one with many exact and near copies."""
