@@ -12,6 +12,7 @@ from functools import partial
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ MARKED = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
     "promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget contentinfo complementary alert".split()
 )
-#: Texts that every page of a host has in a place, seen on so many pages, belong to its template.
+#: Texts that every page of a host has in a place, seen on so many pages, belong to its template; ones that differ are slots.
 FIXED_PAGES, LINK_SHARE = 3, 0.5
 #: Hosts' wrappers up to this many bytes go to every executor; more are joined.
 BROADCAST_BYTES = 32_000_000
@@ -205,28 +206,49 @@ def _kind(token: str) -> int:
     return verdict
 
 
-def _structures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The structures of the pages of a task, one for each host and structure: a wrapper each."""
-    held: dict[tuple, list] = {}
+def _prior(blocks: list[Leaf]) -> list[str]:
+    """The texts of a page's blocks that its own tags and classes speak for most."""
+    kinds = [_kind(" ".join(block.place)) for block in blocks]
+    best = max(kinds, default=0)
+    return [block.text for block, kind in zip(blocks, kinds, strict=True) if kind == best and best]
 
-    def out():
-        rows = [{"host": key[0], "pages": n, "nodes": json.dumps(nodes)} for key, (n, nodes) in held.items()]
-        return pa.RecordBatch.from_pylist(rows, pa.schema([("host", pa.string()), ("pages", pa.int64()), ("nodes", pa.string())]))
 
+def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page its structure with what its places hold, and a hash of its text that copies share.
+
+    The text of a place that repeats is all that it holds, so a list that differs from page to page is none of the template.
+    """
     for batch in steps(batches, "html"):
+        names, copies, shown = [], [], []
         for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             blocks = leaves(page or "")
             structure, place, many = folded([" ".join(block.place) for block in blocks])
             nodes = [[token, flag, False, 1, 0, 0, 0] for token, flag in zip(structure, many, strict=True)]
-            seen = set()
             for block, k in zip(blocks, place, strict=True):
-                mark, node = zlib.crc32(block.text.encode("utf-8", "surrogatepass")) + 1, nodes[k]
-                node[4] = mark if k not in seen or node[4] == mark else None
+                node = nodes[k]
+                node[4] = zlib.crc32(f"{block.text}\n".encode("utf-8", "surrogatepass"), node[4])
                 node[5], node[6] = node[5] + len(block.text), node[6] + block.links
-                seen.add(k)
-            old = held.get((name, structure))
+            names.append(name)
+            copies.append(xxhash.xxh3_64_intdigest("\n".join(_prior(blocks)).encode("utf-8", "surrogatepass")) - (1 << 63))
+            shown.append(json.dumps(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(copies, pa.int64()), pa.array(shown, pa.string())], names=["host", "copy", "nodes"])
+
+
+def _structures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The structures of the pages of a task, one for each host and structure: a wrapper each."""
+    held: dict[tuple, list] = {}
+
+    def out():
+        rows = [{"host": key[0], "pages": n, "nodes": json.dumps(nodes)} for key, (n, nodes) in held.items()]
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("host", pa.string()), ("pages", pa.int64()), ("nodes", pa.string())]))
+
+    for batch in batches:
+        for name, text in zip(batch.column("host").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
+            nodes = json.loads(text)
+            key = name, tuple(node[0] for node in nodes)
+            old = held.get(key)
             if old is None:
-                held[name, structure] = [1, nodes]
+                held[key] = [1, nodes]
             else:
                 old[0] += 1
                 for mine, node in zip(old[1], nodes, strict=True):
@@ -246,11 +268,13 @@ def _aligned(rows: pd.DataFrame) -> pd.DataFrame:
 def wrappers(pages: DataFrame) -> DataFrame:
     """One wrapper per host, of all its pages: host, html in; WRAPPER out.
 
-    A page is the stream of its text blocks, each with its place. Repeats are folded, pages of one
-    structure counted together in each task, structures aligned in SALTS parts of a host and then the
+    A page is the stream of its text blocks, each with its place. Repeats are folded. Copies, pages of
+    one host with the same text, have one vote together, so a text isn't taken for the template's because
+    its page is there often. Pages of one structure are counted together in each task, structures aligned in SALTS parts of a host and then the
     parts: what is gathered for a host is its different structures, however many pages it has.
     """
-    found = pages.mapInArrow(_structures, WRAPPER)
+    votes = pages.mapInArrow(_read, "host string, copy long, nodes string").groupBy("host", "copy").agg(F.min("nodes").alias("nodes"))
+    found = votes.select("host", "nodes").mapInArrow(_structures, WRAPPER)
     salted = found.withColumn("salt", F.pmod(F.xxhash64(F.regexp_replace("nodes", r"[^a-z ]", "")), F.lit(SALTS)))
     return salted.groupBy("host", "salt").applyInPandas(lambda rows: _aligned(rows), WRAPPER).groupBy("host").applyInPandas(lambda rows: _aligned(rows), WRAPPER)
 
@@ -263,8 +287,10 @@ class Extractor:
         self.kinds = []
         for token, _, _, seen, fixed, chars, links in nodes:
             kind = _kind(token)
-            if kind == 1 and (fixed is not None and seen >= FIXED_PAGES and 2 * seen > pages or links > LINK_SHARE * chars):
+            if kind and fixed is not None and seen >= FIXED_PAGES and 2 * seen > pages or kind == 1 and links > LINK_SHARE * chars:
                 kind = 0
+            elif kind == 1 and fixed is None and seen >= FIXED_PAGES:
+                kind = 2
             self.kinds.append(kind)
         self.known: dict[tuple[str, ...], list[int]] = {}
 
@@ -303,11 +329,14 @@ def _texts(batches: Iterable[pa.RecordBatch], known: dict[str, tuple[int, str]]
 def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars.
 
-    The host's wrapper says which of a page's blocks are slots of the article: those in an article or
-    main element, without what the elements around them or their class, id or role show to be menus,
-    headers, footers, sidebars, notices, adverts, forms or comments. A page without such an element
-    gives its other blocks, without texts that are fixed in the host's template and blocks that are
-    mostly links. Blocks stand in page order, one a line; nothing else is dropped.
+    The host's wrapper says which of a page's blocks are slots of the article. Tags and classes speak
+    first: what the elements around a block or their class, id or role show to be menus, headers, footers,
+    sidebars, notices, adverts, forms or comments is none, and what is in an article or main element is
+    one. Then the host's pages do, copies counted once: a place whose text is the same on FIXED_PAGES pages
+    or more, and on most, is the template's, in an article too; one whose text differs between
+    FIXED_PAGES pages or more is a slot, beside an article too, unless it is mostly links. A place with
+    fewer pages is a slot only where a page has no other. Blocks stand in page order, one a line;
+    nothing else is dropped.
 
     A null html or one without text gives an empty text; a null url has the empty host. Repeated rows
     and null ids come out as they are; only page_id, url and html are read. Wrappers of up to

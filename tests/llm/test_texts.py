@@ -206,3 +206,12 @@ def test_wrapper_of_differing_pages():
     assert pages == 2 and wrapper.expression(nodes) == "h1[#PCDATA] (note[fixed])? p[fixed] foot[fixed]"
     structure, place, many = wrapper.folded(["h", "p", "q", "p", "q", "p", "q", "f"])
     assert structure == ("h", "p", "q", "f") and place == [0, 1, 2, 1, 2, 1, 2, 3] and many == [False, True, True, False]
+
+
+def test_wrapper_judges_beside_and_inside_an_article(spark):
+    page = "<html><body><h1>Head {0}</h1><article><p>Teaser</p></article><div><p>Body {0}</p><p>more of {0}</p></div><article><div>Always here</div><p>Own {0}</p></article><div>Same for all</div></body></html>"
+    copy = "<html><body><article><h2>Copied</h2><p>One story</p></article><div>stamp {0}</div></body></html>"
+    rows = [(k, "http://a.b/", page.format(k)) for k in range(6)] + [(20 + k, "http://c.d/", copy.format(0 if k < 5 else k)) for k in range(8)]
+    found = {row.page_id: row.text for row in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[4] == "Head 4\nBody 4\nmore of 4\nOwn 4"
+    assert found[20] == found[27] == "Copied\nOne story"
