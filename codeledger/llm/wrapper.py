@@ -8,7 +8,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
-from functools import partial
+from functools import lru_cache, partial
 
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +31,11 @@ MARKED = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
     "promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget contentinfo complementary alert".split()
 )
+#: Elements that are never marked: they hold the page or the article, whatever their class says of its layout.
+UNMARKED = frozenset("html body main article".split())
+#: Parts of a name that say nothing of what an element holds, and first parts of names that tell what a page has.
+NEUTRAL = frozenset("area block box container content inner item items left list outer panel posts right section wrap wrapper".split())
+STATES = frozenset("has is no not show with without".split())
 #: Texts that every page of a host has in a place, seen on so many pages, belong to its template; ones that differ are slots.
 FIXED_PAGES, LINK_SHARE = 3, 0.5
 #: Hosts' wrappers up to this many bytes go to every executor; more are joined.
@@ -57,9 +62,11 @@ class Leaf:
         self.place, self.text, self.links = place, text, links
 
 
+@lru_cache(maxsize=50_000)
 def _element(tag: str, attributes: str) -> str:
-    """An element's name in a place: the tag, and after a dot the words of its class, id and role."""
-    words = sorted({word for value in _NAMES.findall(attributes) for word in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())}) if attributes else ()
+    """An element's name in a place: the tag, and after a dot each the names of its class, id and role, their words joined by hyphens."""
+    names = (re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) for value in _NAMES.findall(attributes) for name in value.split()) if attributes else ()
+    words = sorted({"-".join(name) for name in names if name})
     return f"{tag}.{'.'.join(words)}" if words else tag
 
 
@@ -193,22 +200,79 @@ def expression(nodes: list[list]) -> str:
     return " ".join(shown)
 
 
-def _kind(token: str) -> int:
-    """0: outside of any article by its place; 2: in one; 1: neither."""
-    inside, verdict = False, 1
+def _is_marked(name: str) -> bool:
+    """Whether a name, or its head word, marks what is no article text: ``ad-box`` and ``cookie-notice`` do, ``no-sidebar`` and ``search-result-page`` don't."""
+    parts = name.split("-")
+    if parts[0] in STATES:
+        return False
+    while len(parts) > 1 and parts[-1] in NEUTRAL:
+        parts.pop()
+    return parts[-1] in MARKED
+
+
+@lru_cache(maxsize=50_000)
+def _read_element(element: str) -> tuple[str, bool, bool, bool]:
+    """An element's tag, whether its names mark it, whether they do but for a header, and whether it is an article's region."""
+    tag, *names = element.split(".")
+    marks = [name for name in names if _is_marked(name)] if tag not in UNMARKED else []
+    return tag, bool(marks), any(name.rpartition("-")[2] != "header" for name in marks), tag in REGIONS or tag == "div" and any("main" in name.split("-") and name.split("-")[0] not in STATES for name in names)
+
+
+def _kind(token: str, freed: frozenset[str] = frozenset()) -> int:
+    """0: outside of any article by its place; 2: in one; 1: neither. Elements in ``freed`` count as not marked."""
+    inside, verdict, path = False, 1, ""
     for element in token.split(" "):
-        tag, *words = element.split(".")
+        path = f"{path} {element}" if path else element
+        tag, marked, but_header, region = _read_element(element)
         # A header of an article has its heading, unlike that of a page.
-        if tag in OUTSIDE and not (inside and tag == "header") or not MARKED.isdisjoint(words):
+        if tag in OUTSIDE and not (inside and tag == "header") or (but_header if inside else marked) and path not in freed:
             return 0
-        if tag in REGIONS or "main" in words and tag == "div":
+        if region:
             inside, verdict = True, 2
     return verdict
 
 
+def _freed(held: dict[str, int]) -> frozenset[str]:
+    """Marked elements whose mark can't be true, by the characters without links that places hold.
+
+    Such an element has more than half of them, and an article or main element stands in it or none beside it.
+    """
+    inner: dict[str, int] = {}
+    within: set[str] = set()
+    for token, chars in held.items():
+        path, around = "", []
+        for element in token.split(" "):
+            path = f"{path} {element}" if path else element
+            tag, marked, _, region = _read_element(element)
+            if tag in OUTSIDE and tag != "header":
+                around = []
+                break
+            if region:
+                within.update(around)
+            if marked:
+                around.append(path)
+        for one in around:
+            inner[one] = inner.get(one, 0) + chars
+    if not inner:
+        return frozenset()
+    total = sum(held.values())
+    found = {path for path, chars in inner.items() if 2 * chars > total}
+    article = any(chars and _kind(token) == 2 for token, chars in held.items()) if found - within else False
+    return frozenset(path for path in found if path in within or not article)
+
+
+def _free(blocks: list[Leaf]) -> frozenset[str]:
+    held: dict[str, int] = {}
+    for block in blocks:
+        token = " ".join(block.place)
+        held[token] = held.get(token, 0) + len(block.text) - block.links
+    return _freed(held)
+
+
 def _prior(blocks: list[Leaf]) -> list[str]:
     """The texts of a page's blocks that its own tags and classes speak for most."""
-    kinds = [_kind(" ".join(block.place)) for block in blocks]
+    freed = _free(blocks)
+    kinds = [_kind(" ".join(block.place), freed) for block in blocks]
     best = max(kinds, default=0)
     return [block.text for block, kind in zip(blocks, kinds, strict=True) if kind == best and best]
 
@@ -285,27 +349,37 @@ class Extractor:
     def __init__(self, pages: int, nodes: list[list]) -> None:
         self.tokens = [node[0] for node in nodes]
         self.kinds = []
+        held: dict[str, int] = {}
+        for token, _, _, seen, fixed, chars, links in nodes:
+            if fixed is None or seen < FIXED_PAGES:
+                held[token] = held.get(token, 0) + chars - links
+        self.freed = _freed(held)
         for token, _, _, seen, fixed, chars, links in nodes:
-            kind = _kind(token)
+            kind = _kind(token, self.freed)
             if kind and fixed is not None and seen >= FIXED_PAGES and 2 * seen > pages or kind == 1 and links > LINK_SHARE * chars:
                 kind = 0
             elif kind == 1 and fixed is None and seen >= FIXED_PAGES:
                 kind = 2
             self.kinds.append(kind)
-        self.known: dict[tuple[str, ...], list[int]] = {}
+        self.fixed = [node[4] is not None and node[3] >= FIXED_PAGES and 2 * node[3] > pages or node[6] > LINK_SHARE * node[5] for node in nodes]
+        self.known: dict[tuple, list[int]] = {}
 
     def text(self, page: str) -> str:
         blocks = leaves(page)
         structure, place, _ = folded([" ".join(block.place) for block in blocks])
-        kinds = self.known.get(structure)
+        freed = _free(blocks) - self.freed
+        kinds = self.known.get((structure, freed))
         if kinds is None:
-            kinds = [_kind(token) for token in structure]
+            priors = [_kind(token, self.freed | freed) for token in structure]
+            kinds = priors.copy()
             matcher = SequenceMatcher(None, self.tokens, structure, autojunk=False)
             for a, b, n in matcher.get_matching_blocks():
-                kinds[b : b + n] = self.kinds[a : a + n]
+                for k in range(n):
+                    # What this page alone frees has no verdict of the host's but that of its template.
+                    kinds[b + k] = self.kinds[a + k] if not freed or self.kinds[a + k] or self.fixed[a + k] else priors[b + k]
             if len(self.known) > HELD:
                 self.known = {}
-            self.known[structure] = kinds
+            self.known[structure, freed] = kinds
         of = [kinds[k] for k in place]
         best = max(of, default=0)
         return "\n".join(block.text for block, kind in zip(blocks, of, strict=True) if kind == best) if best else ""
@@ -332,7 +406,9 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
     The host's wrapper says which of a page's blocks are slots of the article. Tags and classes speak
     first: what the elements around a block or their class, id or role show to be menus, headers, footers,
     sidebars, notices, adverts, forms or comments is none, and what is in an article or main element is
-    one. Then the host's pages do, copies counted once: a place whose text is the same on FIXED_PAGES pages
+    one. A class marks by its whole names or their head words, html, body, main and article are never
+    marked, nor is an element that holds most of the page's or of the host's slots' text, unless the article
+    is beside it. Then the host's pages do, copies counted once: a place whose text is the same on FIXED_PAGES pages
     or more, and on most, is the template's, in an article too; one whose text differs between
     FIXED_PAGES pages or more is a slot, beside an article too, unless it is mostly links. A place with
     fewer pages is a slot only where a page has no other. Blocks stand in page order, one a line;

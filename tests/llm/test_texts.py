@@ -215,3 +215,14 @@ def test_wrapper_judges_beside_and_inside_an_article(spark):
     found = {row.page_id: row.text for row in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found[4] == "Head 4\nBody 4\nmore of 4\nOwn 4"
     assert found[20] == found[27] == "Copied\nOne story"
+
+
+def test_class_names_do_not_empty_a_page(spark):
+    shells = [
+        "<body class='single no-sidebar'><p>{0}</p></body>", "<body class='has-header comments-open'><main id='main-widget'><p>{0}</p></main></body>", "<body><article class='post related-posts'><p>{0}</p></article></body>",
+        "<body><div class='search-result-page'><p>{0}</p></div></body>", "<body><div class='widget'><article><p>{0}</p></article></div><p>note</p></body>", "<body><div class='popup'><p>{0}</p></div><p>note</p></body>",
+        "<body><article><header class='entry-header'><h1>{0}</h1></header><div class='ad-box'>Buy</div><div class='relatedPosts'><p>More</p></div></article><div class='comments'><p>%s</p></div></body>" % ("Long comment. " * 20),
+    ]
+    rows = [(k, f"http://h{k}.b/", shell.format("A story of some length")) for k, shell in enumerate(shells)]
+    found = {row.page_id: row.text for row in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [found[k] for k in (0, 1, 2, 3, 4, 6)] == ["A story of some length"] * 6 and found[5].startswith("A story of some length")
