@@ -28,9 +28,8 @@ def _chosen(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter (``und``) go."""
-    found = language.predict(docs, language.fit(docs))
-    return _chosen(docs, found.select("doc_id", (F.col("lang_pred") != language.UNKNOWN).alias("kept")))
+    """Documents in a learned language; those without a letter or of too little evidence for any language go."""
+    return language.told(docs.select(*COLUMNS), language.fit(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -121,3 +122,15 @@ def test_pipeline_takes_odd_rows(spark, sf_dir, odd_documents, no_documents):
         for _, stage in corpus_pipeline.STAGES[:3]:
             assert tuple(stage(spark, docs, sf_dir).columns) == corpus_pipeline.COLUMNS
     assert corpus_pipeline.one_of_each(spark, odd_documents, sf_dir).count() > 0
+
+
+def test_language_stage_rejects_what_no_language_is(spark, sf_dir, documents):
+    made = np.random.default_rng(5)
+    letters = lambda n: " ".join("".join(made.choice(list("abcdefghijklmnopqrstuvwxyz"), int(made.integers(2, 10)))) for _ in range(n))
+    markup = " ".join(made.choice(["<div class='row'>", "</div>", "<span id=x>", "<td>", "</td>", "<br/>", "href='#'"], 300).tolist())
+    junk = [letters(100), letters(1000), markup, "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью", "123 !!", None]
+    planted = spark.createDataFrame([(10**9 + 4 * k, text, None, "s", 1) for k, text in enumerate(junk)], documents.schema)
+    kept = {row.doc_id for row in corpus_pipeline.known_language(spark, documents.unionByName(planted), sf_dir).collect()}
+    assert not kept & {10**9 + 4 * k for k in range(len(junk))}
+    clean = {row.doc_id for row in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").collect()} & {row.doc_id for row in documents.filter(language.held_out() & (F.length("text") >= 200)).collect()}
+    assert clean and clean <= kept
