@@ -41,16 +41,30 @@ class Band:
     entropy: tuple[float, float]
 
 
-#: Bands for a vocabulary of some ten thousand pieces, mostly of Latin script.
+#: Bands for a vocabulary of some ten thousand pieces, mostly of Latin script, set around public prose (the
+#: Universal Declaration of Human Rights, article 1). Characters per token there: English 4.23, Hungarian 2.20, Finnish 2.07,
+#: Polish 2.01, Turkish 1.89, random letters a-z up to 1.65; Russian 2.21, its letters at random up to 1.27; 0.76 to 0.98 where
+#: a token is a letter, which tells no order of letters, but 0.24 and less for letters of four bytes each. Byte shares there: up to 0.10.
 BANDS = {
-    "latin": Band((1.35, 9.0), 0.10, (0.35, 1.0)),
-    "cyrillic": Band((0.9, 8.0), 0.20, (0.30, 1.0)),
-    "greek": Band((0.5, 8.0), 0.40, (0.25, 1.0)),
-    "cjk": Band((0.25, 4.0), 0.85, (0.25, 1.0)),
-    "hiragana": Band((0.25, 4.0), 0.85, (0.25, 1.0)),
-    "katakana": Band((0.25, 4.0), 0.85, (0.25, 1.0)),
-    "": Band((0.2, 9.0), 1.0, (0.20, 1.0)),
+    "latin": Band((1.68, 7.0), 0.05, (0.35, 1.0)),
+    "vietnamese": Band((0.95, 4.0), 0.15, (0.35, 1.0)),
+    "cyrillic": Band((1.3, 6.0), 0.15, (0.30, 1.0)),
+    "greek": Band((0.6, 4.0), 0.25, (0.25, 1.0)),
+    "arabic": Band((0.6, 4.0), 0.30, (0.25, 1.0)),
+    "hebrew": Band((0.6, 4.0), 0.30, (0.25, 1.0)),
+    "devanagari": Band((0.5, 4.0), 0.40, (0.25, 1.0)),
+    "cjk": Band((0.4, 4.0), 0.70, (0.25, 1.0)),
+    "hiragana": Band((0.4, 4.0), 0.60, (0.25, 1.0)),
+    "katakana": Band((0.4, 4.0), 0.60, (0.25, 1.0)),
+    "hangul": Band((0.35, 4.0), 0.70, (0.25, 1.0)),
+    "thai": Band((0.5, 4.0), 0.40, (0.25, 1.0)),
+    # Living scripts that the vocabulary lacks have three bytes a letter.
+    "other": Band((0.27, 4.0), 1.0, (0.20, 1.0)),
+    "": Band((0.27, 9.0), 0.90, (0.20, 1.0)),
 }
+#: Latin letters of Vietnamese alone, and the least share of them: its syllables have fewer characters per token than random letters.
+VIETNAMESE = "\u01a0\u01a1\u01af\u01b0" + "".join(map(chr, range(0x1EA0, 0x1EFA)))
+VIETNAMESE_SHARE = 0.05
 
 
 @lru_cache(maxsize=2)
@@ -73,12 +87,26 @@ def _script_of() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def _vietnamese() -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[[ord(char) for char in VIETNAMESE]] = True
+    return table
+
+
 def script(text: str) -> str:
-    """The script of most letters of a text, the first of equals; "" without letters."""
+    """The script of most letters of a text, the first of equals; "" without letters.
+
+    Latin with the letters of Vietnamese is "vietnamese".
+    """
     if text.isascii():
         return "latin" if any(map(str.isalpha, text)) else ""
-    counts = np.bincount(_script_of()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=len(SCRIPTS) + 2)[1:]
-    return (*SCRIPTS, "other")[int(counts.argmax())] if counts.any() else ""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    counts = np.bincount(_script_of()[codes], minlength=len(SCRIPTS) + 2)[1:]
+    name = (*SCRIPTS, "other")[int(counts.argmax())] if counts.any() else ""
+    if name == "latin" and _vietnamese()[codes].sum() >= VIETNAMESE_SHARE * counts[0]:
+        return "vietnamese"
+    return name
 
 
 def repeated_words(words: list[str]) -> int:

@@ -226,3 +226,27 @@ def test_class_names_do_not_empty_a_page(spark):
     rows = [(k, f"http://h{k}.b/", shell.format("A story of some length")) for k, shell in enumerate(shells)]
     found = {row.page_id: row.text for row in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [found[k] for k in (0, 1, 2, 3, 4, 6)] == ["A story of some length"] * 6 and found[5].startswith("A story of some length")
+
+
+def test_production_bands(spark):
+    """Random letters, wrong encodings and unknown scripts go; prose of many scripts stays."""
+    made = np.random.default_rng(11)
+    prose = {
+        "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
+        "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm.",
+        "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση.",
+        "ar": "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق. وقد وهبوا عقلاً وضميراً وعليهم أن يعامل بعضهم بعضاً بروح الإخاء.",
+        "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה.",
+        "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है।",
+        "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+    }
+    shuffled = lambda text: " ".join(made.permutation(text.split() * -(-90 // len(text.split()))).tolist())
+    letters = lambda low, high, n: " ".join("".join(chr(int(c)) for c in made.integers(low, high, int(made.integers(2, 10)))) for _ in range(n))
+    good = [shuffled(text) for text in prose.values()]
+    bad = [letters(97, 123, 200), letters(97, 123, 2000), letters(0x430, 0x450, 200), letters(0x13000, 0x13400, 100), *(shuffled(prose[k]).encode().decode("latin-1") for k in ("ru", "el"))]
+    rows = list(enumerate(good)) + [(100 + k, text) for k, text in enumerate(bad)]
+    found = {row.doc_id: row for row in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
+    assert [found[k].reason for k in range(len(good)) if not found[k].base_failed] and {found[k].reason for k in range(len(good))} <= {None, "base"}
+    assert all(found[100 + k].reason not in (None, "base") for k in range(len(bad)))
