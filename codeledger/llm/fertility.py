@@ -177,6 +177,20 @@ def _judged(batches: Iterable[pa.RecordBatch], vocabulary_path: str, bands: dict
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def _good(batches: Iterable[pa.RecordBatch], vocabulary_path: str, bands: dict[str, Band]) -> Iterator[pa.RecordBatch]:
+    kept = SCHEMA.split(", ").index("kept boolean")
+    for batch in batches:
+        judged = [part.column(kept) for part in _judged([batch.select(["doc_id", "text"])], vocabulary_path, bands)]
+        if judged:
+            yield batch.filter(pa.concat_arrays(judged))
+
+
+def good(documents: DataFrame, vocabulary_path: str, bands: dict[str, Band] | None = None) -> DataFrame:
+    """The rows of ``documents`` that ``judge`` keeps, each judged for itself, without a shuffle."""
+    ship_package(documents.sparkSession)
+    return documents.mapInArrow(partial(_good, vocabulary_path=vocabulary_path, bands=bands or BANDS), documents.schema)
+
+
 def judge(documents: DataFrame, vocabulary_path: str, bands: dict[str, Band] | None = None) -> DataFrame:
     """One row per document: counts of its words, and what the vocabulary makes of them.
 

@@ -9,7 +9,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeledger.llm.common import ship_package, steps, stored
@@ -27,6 +27,8 @@ MEMBERS = 256
 PAIRS_LEFT = 4
 #: Buckets of up to so many members are compared pair by pair, larger ones by blocks of so many members.
 SMALL, BLOCK = 16, 256
+#: What a text with words has: a character that is none of the white space of ``shingles``.
+WORDED = r"[^\x09-\x0D ]"
 _SKETCHED = "doc_id long, mark long, n_shingles long, class binary, bands array<long>"
 
 
@@ -254,7 +256,32 @@ def _compared(batches: Iterable[pa.RecordBatch], likeness: Likeness) -> Iterator
 
 
 def near_duplicates(documents: DataFrame, likeness: Likeness) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """See _components: doc_id, n_shingles, component_id, kept."""
+    return _components(documents, likeness).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(documents: DataFrame, likeness: Likeness) -> DataFrame:
+    """The rows of ``documents`` (doc_id, text and others) of which one stays of each component, all columns.
+
+    Of a component that is the row of the smallest doc_id, nulls last, then of the smallest hash of the
+    text, then of the other columns; rows without words are linked with nothing and stay. So rows that
+    share an id are told apart. The row numbers' limits stand below the shuffle of the texts.
+    """
+    found = _components(documents, likeness).filter("root IS NOT NULL").select("root", "doc_id", "mark")
+    best = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "mark")
+    keys = [F.col("doc_id").isNull().alias("__unnamed"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("__id")]
+    first = found.withColumn("__place", F.row_number().over(best)).filter("__place = 1").select(*keys, F.col("mark").alias("__mark"))
+
+    text, names = F.col("text").cast("string"), ["__unnamed", "__id", "__mark"]
+    worded = F.coalesce(text.rlike(WORDED), F.lit(False))
+    others = F.xxhash64(*(F.col(name) for name in documents.columns if name not in ("doc_id", "text")))
+    rows = documents.filter(worded).select("*", *keys, F.xxhash64(text).alias("__mark"))
+    single = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*names).orderBy(others))).filter("__place = 1")
+    return single.join(first, names, "left_semi").select(*documents.columns).unionByName(documents.filter(~worded))
+
+
+def _components(documents: DataFrame, likeness: Likeness) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, and the mark and root by which it is told apart.
 
     Documents with equal sets are one class. Classes meet in buckets of equal bands. Where buckets
     are large, each class is first compared with a leader, and the confirmed links make components;
@@ -263,7 +290,7 @@ def near_duplicates(documents: DataFrame, likeness: Likeness) -> DataFrame:
     largest component with all. So a large group costs about as many comparisons as it has members,
     unless its members are not alike, and no pair is left out that could join two components.
 
-    component_id is the smallest doc_id that links reach, kept whether it is the document's own.
+    component_id is the smallest doc_id that links reach; near_duplicates keeps a document that has it as its own.
     A document without words or text is linked with nothing. Rows that share an id are documents of
     their own; a null id is linked as any other, but is no component's smallest, unless all are
     null. Only doc_id and text are read; an empty table gives no rows.
@@ -299,11 +326,11 @@ def near_duplicates(documents: DataFrame, likeness: Likeness) -> DataFrame:
         found = stored(found, "minhash-links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-    named = sketched.drop("bands", "mark")
+    named = sketched.drop("bands")
     if roots is None:
         named = named.withColumn("root", F.col("class"))
     else:
         named = named.join(roots, named["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
     least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return named.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return named.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"), "mark", "root")

@@ -1,6 +1,7 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
-Every stage works on all that the one before it has kept, read back from Parquet.
+Every stage works on all that the one before it has kept, read back from Parquet. Stages decide by row,
+not by id, so rows without an id or with a shared one stay or go by their own text.
 """
 
 from __future__ import annotations
@@ -8,23 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codeledger.llm import fertility, language, minhash, packing
 from codeledger.llm.common import stored
 from codeledger.llm.queries import BYTE_BPE, PIECES, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-_DECIDED = "__kept"
-
-
-def _chosen(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The documents whose row of ``decided`` (doc_id, kept) says so; those without an id stay where theirs does.
-
-    Rows that share an id stay if one of them does.
-    """
-    keep = decided.filter("kept").select(F.col("doc_id").alias(_DECIDED)).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col(_DECIDED)), "left_semi").select(*COLUMNS)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +24,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _chosen(docs, fertility.judge(docs, PIECES).select("doc_id", "kept"))
+    return fertility.good(docs.select(*COLUMNS), PIECES)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8 or more), the document with the smallest id."""
-    return _chosen(docs, minhash.near_duplicates(docs, minhash.Likeness(words=5, percent=80)).select("doc_id", "kept"))
+    """Of each group of near-duplicates (five words, 0.8 or more), one row, that of the smallest id."""
+    return minhash.one_of_each(docs.select(*COLUMNS), minhash.Likeness(words=5, percent=80))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,3 +134,16 @@ def test_language_stage_rejects_what_no_language_is(spark, sf_dir, documents):
     assert not kept & {10**9 + 4 * k for k in range(len(junk))}
     clean = {row.doc_id for row in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").collect()} & {row.doc_id for row in documents.filter(language.held_out() & (F.length("text") >= 200)).collect()}
     assert clean and clean <= kept
+
+
+def test_stages_decide_by_row(spark, sf_dir, documents):
+    text = documents.filter("lang = 'en' AND length(text) BETWEEN 600 AND 3000").orderBy("doc_id").first().text
+    other = " ".join(reversed(text.split()))
+    rows = [(7, text), (7, text), (7, "!! 12"), (8, text), (None, text + " end"), (None, other), (None, other), (9, ""), (9, None), (6, other + " x")]
+    docs = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in rows], documents.schema).repartition(3)
+    one = sorted(((row.doc_id, row.text) for row in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect()), key=str)
+    assert one == sorted([(7, text), (7, "!! 12"), (6, other + " x"), (9, ""), (9, None)], key=str)
+    good = [(row.doc_id, row.text) for row in corpus_pipeline.good_quality(spark, docs, sf_dir).collect()]
+    assert len(good) == 7 and (7, "!! 12") not in good
+    known = [row.text for row in corpus_pipeline.known_language(spark, documents.unionByName(docs), sf_dir).collect()]
+    assert "!! 12" not in known and "" not in known
