@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,71 +55,81 @@ def matching_rule(name: Column, where: Column, rules: tuple[Rule, ...]) -> tuple
     return text, block
 
 
-def segments(where: Column, depth: int) -> Column:
-    """The first ``depth`` segments of a path, numbers and long hexadecimal names as ``*``, file endings off.
-
-    A path with more segments ends in ``**``.
-    """
+def segments(where: Column) -> Column:
+    """The segments of a path, numbers and long hexadecimal names as ``*``, file endings off."""
 
     def shape(part: Column) -> Column:
         body = F.regexp_replace(part, r"\.[A-Za-z]{1,5}$", "")
         return F.when(body.rlike(VARIABLE), F.lit(ANY)).otherwise(body)
 
     parts = F.split(F.regexp_replace(where, "^/|/$", ""), "/")
-    return F.concat(F.transform(F.slice(parts, 1, depth), shape), F.when(F.size(parts) > depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+    return F.transform(parts, shape)
+
+
+def lower_bound(bad: Column, labelled: Column, z: float) -> Column:
+    """The least share of bad pages that the labelled ones leave likely (Wilson's interval); null without labels."""
+    n = F.nullif(labelled, F.lit(0)).cast("double")
+    share, over = bad / n, F.lit(z * z) / n
+    return (share + over / 2 - F.lit(z) * F.sqrt(share * (1 - share) / n + over / (4 * n))) / (1 + over)
 
 
-def template_tree(counts: DataFrame, depth: int, variety: int, support: float, z: float) -> DataFrame:
+def template_tree(counts: DataFrame, variety: int, support: float, z: float) -> DataFrame:
     """Generalise the templates of each host, level by level from the host down.
 
     counts: host, parts, n (pages), labelled, bad. Below a node a segment becomes ``*`` if it is rare
     (fewer than ``support`` of the node's pages, where the node has more than ``variety`` segments),
     or if its labelled pages are bad about as often as those of the node's other segments: the
     two-proportion statistic is at most ``z``, or it has no labelled page. Branches under the same
-    ``*`` are one from there on. Adds ``template``. Counts are summed before they are dealt out, so
+    ``*`` are one from there on. The walk ends with the longest path; a path that is the only one below its
+    node takes all its segments at once, so one long url makes no long walk. Adds ``template``. Counts are summed before they are dealt out, so
     a large host is no large group; only its different templates are rows here.
     """
-    rows = counts.withColumn("template", F.col("host"))
-    for level in range(depth + 1):
-        rows = stored(rows, "url-tree")  # each level reads the one above three times
-        rows = rows.withColumn("part", F.get("parts", F.lit(level)))
-        branches = rows.filter("part IS NOT NULL").groupBy("template", "part").agg(*(F.sum(name).alias(name) for name in ("n", "labelled", "bad")))
-        nodes = branches.groupBy("template").agg(F.count("*").alias("kinds"), *(F.sum(name).alias(f"all_{name}") for name in ("n", "labelled", "bad")))
+    rows = stored(counts.withColumns({"template": F.col("host"), "ends": F.size("parts")}), "url-tree")
+    for level in count():
+        if rows.filter(F.col("ends") > level).isEmpty():
+            return rows.drop("ends")
+        rows = rows.withColumn("part", F.when(F.col("ends") > level, F.get("parts", F.lit(level))))
+        branches = rows.filter("part IS NOT NULL").groupBy("template", "part").agg(F.count("*").alias("paths"), *(F.sum(name).alias(name) for name in ("n", "labelled", "bad")))
+        nodes = branches.groupBy("template").agg(F.count("*").alias("kinds"), F.sum("paths").alias("all_paths"), *(F.sum(name).alias(f"all_{name}") for name in ("n", "labelled", "bad")))
         here, there, all_ = F.col("labelled").cast("double"), (F.col("all_labelled") - F.col("labelled")).cast("double"), F.col("all_labelled").cast("double")
         apart = F.col("bad") * there - (F.col("all_bad") - F.col("bad")) * here
         similar = (here == 0) | ((there > 0) & (apart * apart * all_ <= F.lit(z * z) * here * there * F.col("all_bad") * (all_ - F.col("all_bad"))))
         rare = (F.col("kinds") > variety) & (F.col("n") < F.lit(support) * F.col("all_n"))
-        wide = branches.join(nodes, "template").filter(F.col("part").isin(ANY, "**") | ((F.col("kinds") > 1) & (rare | similar)))
-        named = wide.select("template", "part", F.when(F.col("part") == "**", F.lit("**")).otherwise(F.lit(ANY)).alias("as"))
-        rows = rows.join(named, ["template", "part"], "left")
-        rows = rows.withColumn("template", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("as", "part")))).drop("as", "part")
-    return stored(rows, "url-tree")
+        wide = branches.join(nodes, "template").filter((F.col("part") == ANY) | ((F.col("kinds") > 1) & (rare | similar)))
+        named = wide.select("template", "part", F.lit(ANY).alias("as"))
+        alone = nodes.filter("all_paths = 1").select("template", F.lit(True).alias("alone"))
+        rows = rows.join(named, ["template", "part"], "left").join(alone, "template", "left")
+        whole = F.concat_ws("/", F.col("template"), F.slice("parts", level + 1, F.greatest(F.size("parts"), F.lit(1))))
+        name = F.when(F.col("part").isNull(), F.col("template")).when(F.col("alone"), whole).otherwise(F.concat("template", F.lit("/"), F.coalesce("as", "part")))
+        ends = F.when(F.col("part").isNotNull() & F.col("alone"), F.lit(level)).otherwise(F.col("ends"))
+        rows = stored(rows.withColumns({"template": name, "ends": ends}).drop("as", "part", "alone"), "url-tree")  # each level reads the one above several times
 
 
 def judge(
-    pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = 3, variety: int = 20, support: float = 0.02, z: float = 2.0, smoothing: float = 10.0, purity: float = 0.8
+    pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, variety: int = 20, support: float = 0.02, z: float = 2.0, smoothing: float = 10.0, purity: float = 0.8, confidence: float = 1.645
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, template, bad_share.
 
     pages: page_id, url. labels: page_id, bad (boolean); a page with several is bad if one says so.
     A url under a rule has the verdict of the longest one. The others have that of their template
     (see template_tree): blocked if its smoothed share of bad pages, (bad + smoothing * share in the
-    whole table) / (labelled + smoothing), is ``purity`` or more. All pages count, those under rules
+    whole table) / (labelled + smoothing), or the lower bound of its own share (see lower_bound, with
+    ``confidence``) is ``purity`` or more: eleven labelled pages, all bad, are enough. All pages count, those under rules
     too. A null url or one without ``://`` has an empty host and path and is judged like any other.
     Repeated rows count and come out each; null ids have no label. Ties make no difference: all
     choices are by comparison with a bound. Empty tables give no rows. Only the named columns are read.
     """
     name, where = host(F.col("url")), path(F.col("url"))
-    rows = pages.select("page_id", name.alias("host"), where.alias("path")).withColumn("parts", segments(F.col("path"), depth))
+    rows = pages.select("page_id", name.alias("host"), where.alias("path")).withColumn("parts", segments(F.col("path")))
     marks = labels.filter("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     counts = rows.join(marks, "page_id", "left").groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
-    tree = template_tree(counts, depth, variety, support, z)
+    tree = template_tree(counts, variety, support, z)
     sums = tree.groupBy("template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     # The table's own share: one row, whatever the size of the input.
     share = tree.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("share"))
-    judged = sums.crossJoin(F.broadcast(share)).select("template", ((F.col("bad") + F.lit(smoothing) * F.col("share")) / (F.col("labelled") + F.lit(smoothing))).alias("bad_share"))
+    judged = sums.crossJoin(F.broadcast(share)).select("template", ((F.col("bad") + F.lit(smoothing) * F.col("share")) / (F.col("labelled") + F.lit(smoothing))).alias("bad_share"), F.coalesce(lower_bound(F.col("bad"), F.col("labelled"), confidence) >= purity, F.lit(False)).alias("sure"))
     verdicts = tree.select("host", "parts", "template").join(judged, "template")
     rule, block = matching_rule(F.col("host"), F.col("path"), rules)
     joined = rows.join(verdicts, ["host", "parts"])
-    blocked = F.coalesce(block, F.col("bad_share") >= purity)
+    blocked = F.coalesce(block, F.col("sure") | (F.col("bad_share") >= purity))
     return joined.select("page_id", "host", "path", rule.alias("rule"), F.when(blocked, "block").otherwise("allow").alias("verdict"), "template", "bad_share")

@@ -147,3 +147,14 @@ def test_stages_decide_by_row(spark, sf_dir, documents):
     assert len(good) == 7 and (7, "!! 12") not in good
     known = [row.text for row in corpus_pipeline.known_language(spark, documents.unionByName(docs), sf_dir).collect()]
     assert "!! 12" not in known and "" not in known
+
+
+def test_url_templates_of_deep_paths_and_few_labels(spark):
+    deep = "/".join("x" * (k + 1) for k in range(40))
+    rows = [(k, f"http://h.io/en/2021/05/spam-shop/p{k}") for k in range(12)] + [(100 + k, f"http://h.io/en/2021/05/news/p{k}") for k in range(12)] + [(200, f"http://long.io/{deep}")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, k < 100) for k, _ in rows], "page_id long, bad boolean")
+    got = {row.page_id: row for row in url_templates.judge(pages, labels).collect()}
+    assert {(got[k].template, got[k].verdict) for k in range(12)} == {("h.io/en/*/*/spam-shop/*", "block")}
+    assert {(got[100 + k].template, got[100 + k].verdict) for k in range(12)} == {("h.io/en/*/*/news/*", "allow")}
+    assert got[200].template == f"long.io/{deep}" and len(got) == len(rows)
