@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeledger.llm import bitpack, fertility, language, minhash, packing, preference, topk, unigram, url_templates, wrapper
+from codeledger.llm import align, bitpack, fertility, language, minhash, packing, preference, repair, topk, unigram, url_templates, warc, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents, language.fit(documents))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+def op12_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_wrapper_extraction": op1_wrapper_extraction,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -85,4 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_preference_format": op9_preference_format,
     "op10_language": op10_language,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_capture_index": op12_capture_index,
+    "op13_conversation_repair": op13_conversation_repair,
 }

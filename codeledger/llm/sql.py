@@ -104,8 +104,105 @@ SELECT pair_id, CAST(p AS BIGINT) AS prefix_turns, {joined("chosen[1:p]")} AS pr
 
 PREFERENCE = _preference()
 
+
+def _repair() -> str:
+    """The damage, the faults, and the dynamic program as a recursion over rows: for each state the least (cost, audit, output)."""
+    string = lambda name: f"coalesce(CAST({name} AS VARCHAR), ' ')"
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    # The checksum bit by bit: a byte is mixed in, then eight shifts follow (marked -1).
+    steps = "flatten(list_transform(string_split(k, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce({steps}, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295), 4294967295)"
+
+    def edit(state: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"CASE WHEN {state} IS NULL THEN NULL ELSE {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'o': {state}.o || {line}}} END"
+
+    def put(role: str) -> str:
+        return f"chr(10) || '{role}:'"
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    def kept(state: str, initial: str, role: str) -> list[str]:
+        keep = edit(state, "cut", "K", "chr(10) || role || ':' || text")
+        rerole = edit(state, "2 + cut", "R", f"{put(role)} || text")
+        return [f"CASE WHEN NOT gone AND initial = '{initial}' THEN {keep} END", f"CASE WHEN NOT gone THEN {rerole} END"]
+
+    def inserted(rows: str) -> str:
+        twice = lambda s: f"CASE WHEN {s} IS NULL THEN NULL ELSE {{'c': {s}.c + 4, 'a': {s}.a || 'II', 'o': {s}.o || {put('user')} || {put('assistant')}}} END"
+        user = [edit(s, "2", "I", put("user")) for s in ("n0", "n1", "n3")]
+        return f"SELECT conv_id, rn, n0 AS s0, n1 AS s1, {least('n2', *user)} AS s2, {least('n3', edit('n2', '2', 'I', put('assistant')), twice('n0'), twice('n1'))} AS s3 FROM ({rows})"
+
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR))"
+    begin = f"SELECT conv_id, CAST(0 AS BIGINT) AS rn, {{'c': CAST(0 AS BIGINT), 'a': '', 'o': ''}} AS n0, {none} AS n1, {none} AS n2, {none} AS n3 FROM convs"
+    row = f"""SELECT s.conv_id, f.rn, {edit("s0", "3", "D")} AS n0,
+      {least(edit("s1", "3", "D"), f"CASE WHEN NOT gone AND initial = 's' THEN {edit('s0', 'cut', 'K', 'chr(10) || role || chr(58) || text')} END")} AS n1,
+      {least(edit("s2", "3", "D"), *kept("s0", "u", "user"), *kept("s1", "u", "user"), *kept("s3", "u", "user"))} AS n2,
+      {least(edit("s3", "3", "D"), *kept("s2", "a", "assistant"))} AS n3
+    FROM steps s JOIN faults f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.rn = s.rn + 1"""
+    return f"""
+WITH RECURSIVE read AS (
+  SELECT conv_id, turn, {string("role")} AS role, {string("text")} AS text, {string("conv_id")} || ':' || {string("turn")} AS k FROM conversations
+), convs AS (SELECT DISTINCT conv_id FROM conversations),
+hit AS (SELECT *, {crc} % 20 AS fault FROM read),
+damaged AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, range(CASE fault WHEN 3 THEN 2 WHEN 0 THEN 0 ELSE 1 END) AS copies(i)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, left(role, 1) AS initial,
+    rtrim(text, {spaces}) AS bare
+  FROM damaged
+), seen AS (
+  SELECT *, bare = '' AS is_blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS is_repeat, right(bare, 1) NOT IN ('.', '!', '?') AS is_cut,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) AS prior
+  FROM placed
+), faults AS (
+  SELECT conv_id, rn, turn, role, text, initial, prior, is_blank, NOT is_blank AND is_repeat AS is_repeat, NOT is_blank AND NOT is_repeat AND is_cut AS is_cut,
+    is_blank OR is_repeat AS gone, CASE WHEN NOT is_blank AND NOT is_repeat AND is_cut THEN 1 ELSE 0 END AS cut
+  FROM seen
+), steps AS (
+  {inserted(begin)}
+  UNION ALL
+  {inserted(row)}
+), sums AS (
+  SELECT conv_id, max(rn) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (is_blank) AS blank,
+    count(*) FILTER (is_repeat) AS duplicate, count(*) FILTER (is_cut) AS truncated,
+    count(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+), best AS (
+  SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, list_min([s0, s3]) AS won
+  FROM convs c LEFT JOIN sums t ON c.conv_id IS NOT DISTINCT FROM t.conv_id JOIN steps s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.rn = coalesce(t.n, 0)
+)
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, won.c AS cost, won.a AS audit, sha256(substr(won.o, 2)) AS repaired_sha256 FROM best
+"""
+
+
+CONVERSATION_REPAIR = _repair()
+
+def _captures() -> str:
+    """Digests in base 32: five hexadecimal digits at a time are four letters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    part = "CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT)"
+    digest = f"array_to_string(list_transform(range(32), lambda i: substr('{letters}', CAST(1 + (({part} >> (15 - 5 * (i % 4))) & 31) AS INTEGER), 1)), '')"
+    return f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex, url FROM pages),
+ranked AS (
+  SELECT *, row_number() OVER same AS n, first_value(page_id) OVER same AS response FROM hashed
+  WINDOW same AS (PARTITION BY hex ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST)
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {digest} AS payload_digest,
+  CASE n WHEN 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN response END AS refers_to
+FROM ranked
+"""
+
+
+CAPTURES = _captures()
+
 ORACLES: dict[str, str] = {
     "op3_exact_top_k": TOP_K,
     "op7_url_templates": URL_TEMPLATES,
     "op9_preference_format": PREFERENCE,
+    "op12_capture_index": CAPTURES,
+    "op13_conversation_repair": CONVERSATION_REPAIR,
 }
