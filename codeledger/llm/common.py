@@ -9,14 +9,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from codeledger.session import scratch_dir, ship_package
 
 #: Texts of one step of work, in bytes: what a task holds besides the batch that Spark hands it.
 STEP_BYTES = 4_000_000
-#: Chunks whose ids an encoder remembers; beyond that it starts anew.
-REMEMBERED = 800_000
+#: Bytes of memory for the chunks that an encoder remembers, in two halves of which the older goes first.
+REMEMBERED_BYTES = 160_000_000
+#: What an entry costs besides its characters and ids: two objects and a place in the dictionary.
+ENTRY_BYTES = 180
 #: White space besides the space itself, of which a text seldom has any next to a space.
 OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 
@@ -44,10 +47,11 @@ class Encoder:
 
     The vocabulary's pre-tokenizer starts a token at every space that stands between two
     characters that are no white space. A text cut there has the ids of its chunks, one after
-    the other; texts with other spaces are cut only at such places, by a slower rule.
+    the other; texts with other spaces are cut only at such places, by a slower rule. ``prefix`` is put
+    before every text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, prefix: str = "") -> None:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,27 +65,59 @@ class Encoder:
         for token, k in self.tokenizer.get_vocab().items():
             self.bytes_of[k] = len(token)
         self.single_space = re.compile(r"(?<=\S) (?=\S)")
-        self.known: dict[str | None, bytes] = {}
+        self.prefix = prefix
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
-    def chunks(self, text: str) -> list[str]:
-        """The text cut at single spaces, which belong to the chunks after them."""
-        if "  " in text or text[:1] == " " or text[-1:] == " " or any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_SPACE):
-            return self.single_space.split(text)
-        return text.split(" ")
+    def plain(self, text: str) -> bool:
+        """Whether every space of the text stands between two characters that are no white space."""
+        return not ("  " in text or text[:1] == " " or text[-1:] == " " or any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_SPACE))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text as unsigned 32-bit integers; of a null text none."""
-        cut = [self.chunks(text) if text else [""] for text in texts]
-        first = [chunks[0] for chunks in cut]
-        begin = self._whole(set(first))
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        for chunks in cut:
-            chunks[0] = None  # stands for no text here: only chunks after a space are looked up
-        self.known[None] = b""
-        self._learn(set().union(*cut).difference(self.known))
-        known = self.known.__getitem__
-        return [np.frombuffer(begin[text] + b"".join(map(known, chunks)), "<u4") for text, chunks in zip(first, cut, strict=True)]
+        """The ids of each text as unsigned 32-bit integers; of a null or empty text those of the prefix."""
+        if self.held > REMEMBERED_BYTES // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        plain = [self.plain(text or "") for text in texts]
+        for kind in (True, False):
+            at = [k for k, value in enumerate(plain) if value == kind]
+            if not at:
+                continue
+            some = [texts[k] or "" for k in at]
+            cut = pc.split_pattern(pa.array(some, pa.large_string()), " ") if kind else pa.array([self.single_space.split(text) for text in some], pa.large_list(pa.large_string()))
+            for k, ids in zip(at, self._gathered(cut), strict=True):
+                out[k] = ids
+        return out
+
+    def _gathered(self, cut: pa.Array) -> list[np.ndarray]:
+        """The ids of texts cut into chunks: each distinct chunk is looked up once, its ids are gathered by number."""
+        ends, chunks = cut.offsets.to_numpy().astype(np.int64), cut.flatten()
+        ends, named = ends - ends[0], chunks.dictionary_encode()
+        number, first = named.indices.to_numpy().astype(np.int64), ends[:-1]
+        distinct = named.dictionary.to_pylist()
+        # First chunks follow no space, so they are entries of their own; other uses of their number may not exist.
+        heads, head = np.unique(number[first], return_inverse=True)
+        number[first] = len(distinct) + head
+        used = np.zeros(len(distinct) + len(heads), bool)
+        used[number] = True
+        new = {distinct[k] for k in np.flatnonzero(used[: len(distinct)]).tolist()}.difference(self.known)
+        again = {chunk: self.older[chunk] for chunk in new.intersection(self.older)}
+        self._remember(again)
+        self._learn(new.difference(again))
+        begin = [self.prefix + distinct[k] for k in heads.tolist()]
+        of = self._whole(set(begin))
+        entries = [self.known.get(chunk, b"") for chunk in distinct] + [of[text] for text in begin]
+        pool = np.frombuffer(b"".join(entries), "<u4")
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        starts, lengths = (np.cumsum(sizes) - sizes)[number], sizes[number]
+        before = np.cumsum(lengths) - lengths
+        ids = pool[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+        return np.split(ids, np.append(before, len(ids))[ends[1:-1]])
+
+    def _remember(self, found: dict[str, bytes]) -> None:
+        self.known.update(found)
+        self.held += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
 
     def _whole(self, texts) -> dict[str, bytes]:
         some = list(texts)
@@ -92,17 +128,15 @@ class Encoder:
 
         cut afterwards by the bytes of its tokens: as above, the ids are those of each alone.
         """
-        joined = [chunk for chunk in new if chunk and not chunk[0].isspace() and not chunk[-1].isspace()]
+        joined = [chunk for chunk in new if chunk and chunk.strip() == chunk]
         alone = self._whole(" " + chunk for chunk in new.difference(joined))
-        self.known.update((chunk[1:], ids) for chunk, ids in alone.items())
+        self._remember({chunk[1:]: ids for chunk, ids in alone.items()})
         for first in range(0, len(joined), 4096):
             some = joined[first : first + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(chunk.encode()) + 1 for chunk in some])) + 1
-            data, start = ids.tobytes(), 0
-            for chunk, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.known[chunk] = data[start:end]
-                start = end
+            data, places = ids.tobytes(), (4 * ends).tolist()
+            self._remember({chunk: data[start:end] for chunk, start, end in zip(some, [0, *places[:-1]], places, strict=True)})
 
 
 @lru_cache(maxsize=2)

@@ -109,7 +109,8 @@ def windows(documents: Iterable[tuple[int | None, np.ndarray]], window: int) ->
         for start in range(0, full, window):
             yield [(doc, start, ids[start : start + window], len(ids))]
         if full < len(ids):
-            filled = levels.place((doc, full, ids[full:], len(ids)))
+            # A copy, as a view would keep the whole document while its tail waits.
+            filled = levels.place((doc, full, ids[full:].copy(), len(ids)))
             if filled:
                 yield filled
     yield from levels.rest()
