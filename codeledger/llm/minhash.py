@@ -9,7 +9,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeledger.llm.common import ship_package, steps, stored
@@ -20,7 +20,7 @@ POSITION_BITS, SEED = 22, 20240229
 #: Shingles whose rows of the circulant matrix are gathered at once.
 GATHERED = 8192
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Members that a leader's text is compared with in one task.
 MEMBERS = 256
 #: When buckets have no more pairs than so many for each of their members, they are compared without leaders.
@@ -264,23 +264,35 @@ def one_of_each(documents: DataFrame, likeness: Likeness) -> DataFrame:
     """The rows of ``documents`` (doc_id, text and others) of which one stays of each component, all columns.
 
     Of a component that is the row of the smallest doc_id, nulls last, then of the smallest hash of the
-    text, then of the other columns; rows without words are linked with nothing and stay. So rows that
-    share an id are told apart. The row numbers' limits stand below the shuffle of the texts.
+    text and the other columns; rows without words are linked with nothing and stay. So rows that
+    share an id are told apart, and of rows equal in all columns one stays. The choice is made on
+    ids and hashes. The texts meet only what goes, a table that is broadcast when it turns out small.
     """
-    found = _components(documents, likeness).filter("root IS NOT NULL").select("root", "doc_id", "mark")
-    best = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "mark")
+    names = ["__unnamed", "__id", "__mark"]
     keys = [F.col("doc_id").isNull().alias("__unnamed"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("__id")]
-    first = found.withColumn("__place", F.row_number().over(best)).filter("__place = 1").select(*keys, F.col("mark").alias("__mark"))
+    others = [name for name in documents.columns if name not in ("doc_id", "text")]
+    found = _components(documents, likeness, others).filter("root IS NOT NULL").select("root", "doc_id", *keys, F.col("mark").alias("__mark"))
+    best = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "__mark")
+    first = found.withColumn("__place", F.row_number().over(best)).filter("__place = 1").select(*names, F.lit(True).alias("__first"))
+    told = found.groupBy(*names).agg(F.count("*").alias("__n")).join(first, names, "left")
+    told = stored(told.filter("__first IS NULL OR __n > 1"), "minhash-choice")
 
-    text, names = F.col("text").cast("string"), ["__unnamed", "__id", "__mark"]
+    text = F.col("text").cast("string")
     worded = F.coalesce(text.rlike(WORDED), F.lit(False))
-    others = F.xxhash64(*(F.col(name) for name in documents.columns if name not in ("doc_id", "text")))
-    rows = documents.filter(worded).select("*", *keys, F.xxhash64(text).alias("__mark"))
-    single = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*names).orderBy(others))).filter("__place = 1")
-    return single.join(first, names, "left_semi").select(*documents.columns).unionByName(documents.filter(~worded))
+    rows = documents.filter(worded).select("*", *keys, _mark(text, others).alias("__mark"))
+    alone = rows.join(told, names, "left_anti")
+    equal = rows.join(told.filter("__first").select(*names), names, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("__mark"))
+    one = equal.withColumn("__place", place).filter("__place = 1")
+    return alone.select(*documents.columns).unionByName(one.select(*documents.columns)).unionByName(documents.filter(~worded))
+
+
+def _mark(text: Column, others: list[str]) -> Column:
+    """A hash by which rows of one id are told apart; equal ones have equal texts."""
+    return F.xxhash64(text, *(F.col(name) for name in others))
 
 
-def _components(documents: DataFrame, likeness: Likeness) -> DataFrame:
+def _components(documents: DataFrame, likeness: Likeness, others: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and the mark and root by which it is told apart.
 
     Documents with equal sets are one class. Classes meet in buckets of equal bands. Where buckets
@@ -293,11 +305,11 @@ def _components(documents: DataFrame, likeness: Likeness) -> DataFrame:
     component_id is the smallest doc_id that links reach; near_duplicates keeps a document that has it as its own.
     A document without words or text is linked with nothing. Rows that share an id are documents of
     their own; a null id is linked as any other, but is no component's smallest, unless all are
-    null. Only doc_id and text are read; an empty table gives no rows.
+    null. Only doc_id, text and the ``others``, which go into the mark, are read; an empty table gives no rows.
     """
     ship_package(documents.sparkSession)
     text = F.col("text").cast("string")
-    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long"), _mark(text, others or []).alias("mark"), text.alias("text"))
     sketched = stored(rows.mapInArrow(partial(_sketched, likeness=likeness), _SKETCHED), "minhash")
     classes = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
     exploded = classes.select(F.explode("bands").alias("band"), "class")
