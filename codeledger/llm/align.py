@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 from itertools import chain
@@ -35,6 +36,8 @@ SLICE_BYTES = 1_000_000
 SHARD_KEYS = 65_536
 #: Blocks served by one copy of a shard, and vectors added up at once.
 BLOCKS_OF_COPY, FAN = 256, 16
+#: Blocks that a task of the second pass aligns, one after the other.
+BLOCKS_OF_TASK = 2
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -52,12 +55,8 @@ def byte_letters() -> dict[str, int]:
     return {**{chr(byte): byte for byte in printable}, **{chr(256 + k): byte for k, byte in enumerate(others)}}
 
 
-class Spaced(Encoder):
-    """The byte-level encoder for texts behind a space of their own: that space stays with the first chunk."""
-
-    def chunks(self, text: str) -> list[str]:
-        first, *rest = super().chunks(text[1:])
-        return [text[0] + first, *rest]
+class ByteLevel(Encoder):
+    """The byte-level encoder, with the bytes of its tokens."""
 
     def token_bytes(self) -> list[bytes]:
         of, entries = byte_letters(), [b""] * self.vocab_size
@@ -73,7 +72,7 @@ class Tokens:
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
 
-        self.a = Spaced(path_a)
+        self.a = ByteLevel(path_a, prefix=" ")
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         of_b = [bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode() for k, piece in enumerate(pieces)]
@@ -88,7 +87,7 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of space + text by both; None where the tokens' bytes are not those of the text."""
-        first = self.a.encode([" " + text for text in texts])
+        first = self.a.encode(texts)
         second = self.b.encode(texts, out_type=int, num_threads=1)
         sizes = [len(ids) for ids in second]
         joined = np.fromiter(chain.from_iterable(second), np.int64, sum(sizes))
@@ -113,6 +112,18 @@ def _joined(entries: pa.Array, ids: list[np.ndarray]) -> list[bytes]:
     return [data[start:end] for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def folded(ids: np.ndarray) -> bytes:
+    """Ids for storage: how many, then their bytes, all lowest ones first, compressed."""
+    planes = np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), ids.dtype.itemsize).T)
+    return struct.pack("<Q", len(ids)) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unfolded(data: bytes, dtype: np.dtype) -> np.ndarray:
+    (n,) = struct.unpack_from("<Q", data)
+    planes = pa.decompress(memoryview(data)[8:], decompressed_size=n * dtype.itemsize, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T).view(dtype).reshape(n)
+
+
 # --- Alignment --------------------------------------------------------------------------------------
 
 
@@ -204,7 +215,7 @@ def _first(batches: Iterable[pa.RecordBatch], path_a: str, path_b: str) -> Itera
                 keys.append(pair_keys)
                 counts.append(n)
             rows = [
-                {"kind": "doc", "block": block, "doc_id": doc, "a": pair and pair[0].tobytes(), "b": pair and pair[1].tobytes()} for doc, pair in zip(docs[start:end], ids, strict=True)
+                {"kind": "doc", "block": block, "doc_id": doc, "a": pair and folded(pair[0]), "b": pair and folded(pair[1])} for doc, pair in zip(docs[start:end], ids, strict=True)
             ]
             yield pa.RecordBatch.from_pylist(rows, _FIRST_ARROW)
             held += sum(len(text) for text in some)
@@ -410,7 +421,7 @@ def _second(batches: Iterable[pa.RecordBatch], path_a: str, path_b: str) -> Iter
     """A block's answers, then its documents: aligned again, with the counts of their links."""
     both, block, keys, counts, ready = tokens(path_a, path_b), None, [], [], False
     for batch in batches:
-        for start, end in _slices(3 * (len(a.as_buffer() or b"") if a.is_valid else 0) for a in batch.column("a")):
+        for start, end in _slices(4 * struct.unpack_from("<Q", a.as_buffer())[0] if a.is_valid else 0 for a in batch.column("a")):
             rows = batch.slice(start, end - start).to_pylist()
             while rows:
                 if rows[0]["block"] != block:
@@ -434,7 +445,7 @@ def _results(both: Tokens, docs: list[dict], known: np.ndarray, signed: np.ndarr
     rows = [{"doc_id": row["doc_id"], **dict.fromkeys(_RESULT_ARROW.names[1:-1], 0), "groups_sha256": ""} for row in docs]
     there = [k for k, row in enumerate(docs) if row["a"]]
     if there:
-        aligned = Alignment(both, *([np.frombuffer(docs[k][side], both.ids) for k in there] for side in "ab"))
+        aligned = Alignment(both, *([unfolded(docs[k][side], both.ids) for k in there] for side in "ab"))
         pairs = aligned.pairs()
         at = np.searchsorted(known, pairs)
         if not np.array_equal(known[at], pairs):
@@ -453,7 +464,7 @@ def _results(both: Tokens, docs: list[dict], known: np.ndarray, signed: np.ndarr
 # --- The operator -----------------------------------------------------------------------------------
 
 
-def dictionary(pairs: DataFrame, blocks: int, size_b: int) -> tuple[DataFrame, DataFrame, int]:
+def dictionary(pairs: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame, int]:
     """The distinct pairs' shards with their counts, the blocks' pairs by shard, and the number of copies.
 
     ``pairs`` has a row for each block: its distinct pairs as keys and their numbers as counts.
@@ -494,12 +505,14 @@ def align(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
     first = stored(rows.mapInArrow(partial(_first, path_a=path_a, path_b=path_b), _FIRST), "align-first", "kind")
     pairs, docs = first.filter("kind = 'pairs'"), first.filter("kind = 'doc'")
     size_b = tokens(os.fspath(path_a), os.fspath(path_b)).size_b
-    whole, parts, copies = dictionary(pairs, pairs.count(), size_b)
+    blocks = pairs.count()
+    whole, parts, copies = dictionary(pairs, blocks)
     whole = stored(whole, "align-dictionary")
     highest = whole.select("keys", "counts").mapInArrow(partial(_highest, size_b=size_b), "b long, n long").groupBy("b").agg(F.max("n").alias("n"))
     best = np.zeros(size_b, np.int64)
     for row in highest.collect():  # at most one for each id of the vocabulary
         best[row.b] = row.n
     answers = meet(whole, parts, copies).mapInArrow(partial(_answered, best=best), _FIRST)
-    ordered = answers.unionByName(docs).repartition("block").sortWithinPartitions("block", F.col("kind").desc())
+    tasks = max(1, -(-blocks // BLOCKS_OF_TASK))
+    ordered = answers.unionByName(docs).repartition(tasks, "block").sortWithinPartitions("block", F.col("kind").desc())
     return ordered.mapInArrow(partial(_second, path_a=path_a, path_b=path_b), RESULT)

@@ -22,7 +22,7 @@ def test_query_against_sql(spark, sf_dir, duck, key):
 
 def test_registration():
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert sorted(int(key[2:].split("_")[0]) for key in QUERIES) == list(range(1, 11))
+    assert sorted(int(key[2:].split("_")[0]) for key in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("scale", [1.0, 2.0**16])
