@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeledger.llm.common import Encoder, steps, stored
+from codeledger.llm.common import Encoder, steps, stored, working
 
 #: Text bytes of a block: its documents are aligned again with its own pairs at hand.
 BLOCK_BYTES = 16_000_000
@@ -100,10 +100,17 @@ class Tokens:
 
 
 @lru_cache(maxsize=1)
-def tokens(path_a: str, path_b: str) -> Tokens:
+def _tokens(path_a: str, path_b: str) -> Tokens:
     return Tokens(path_a, path_b)
 
 
+def tokens(path_a: str, path_b: str) -> Tokens:
+    """Both vocabularies, once for each Python worker, for the task that begins."""
+    both = _tokens(path_a, path_b)
+    working("align", both.a.forget)
+    return both
+
+
 def _joined(entries: pa.Array, ids: list[np.ndarray]) -> list[bytes]:
     """The bytes of each list of ids: one gather over all of them, cut at the lists' ends."""
     found = entries.take(pa.array(np.concatenate(ids)))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +25,26 @@ ENTRY_BYTES = 180
 OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 
 
+#: What operators remember in this Python worker, and how it is forgotten.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def working(name: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called as a task of an operator begins: what other operators have left in a reused worker is forgotten."""
+    for other in [other for other in _remembered if other != name]:
+        _remembered.pop(other)()
+        give_back()
+    _remembered[name] = forget
+
+
+def give_back() -> None:
+    """Return memory that is free to the system, which counts it against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def steps(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts together stay near STEP_BYTES; a longer text stands alone."""
     for batch in batches:
@@ -35,6 +56,8 @@ def steps(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBat
             end = max(first + 1, int(np.searchsorted(sizes, limit, "right")))
             yield batch.slice(first, end - first)
             first = end
+        pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _offsets(column: pa.Array) -> np.ndarray:
@@ -115,6 +138,9 @@ class Encoder:
         ids = pool[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
         return np.split(ids, np.append(before, len(ids))[ends[1:-1]])
 
+    def forget(self) -> None:
+        self.known, self.older, self.held = {}, {}, 0
+
     def _remember(self, found: dict[str, bytes]) -> None:
         self.known.update(found)
         self.held += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
@@ -140,11 +166,17 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and Python worker."""
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoder(path: str) -> Encoder:
+    """One encoder for each vocabulary and Python worker, for the task that begins."""
+    found = _encoder(path)
+    working(f"encoder {path}", found.forget)
+    return found
+
+
 def stored(frame: DataFrame, name: str, *by: str) -> DataFrame:
     """The rows, written to the shared folder and read back: lineage ends there, lost executors lose nothing."""
     path = shared_folder(frame.sparkSession, name)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeledger.llm.common import OTHER_SPACE, ship_package, steps
+from codeledger.llm.common import OTHER_SPACE, ship_package, steps, working
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
@@ -153,6 +153,7 @@ def verdict(name: str, chars_per_token: float, byte_share: float, entropy: float
 
 
 def _judged(batches: Iterable[pa.RecordBatch], vocabulary_path: str, bands: dict[str, Band]) -> Iterator[pa.RecordBatch]:
+    working("fertility")
     pieces, is_byte = vocabulary(vocabulary_path)
     names = [column.split(" ")[0] for column in SCHEMA.split(", ")]
     for batch in steps(batches, "text"):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeledger.llm.common import ship_package, steps
+from codeledger.llm.common import ship_package, steps, working
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 #: The blended spectrum: n-grams of one to ORDERS characters, each hashed to one of 2 ** SLOT_BITS slots.
@@ -158,6 +158,7 @@ def least_evidence(rows: np.ndarray, labels: list[str], languages: tuple[str, ..
 
 
 def _presence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    working("language")
     flags = np.zeros(SLOTS, bool)
     for batch in steps(batches, "text"):
         rows = []
@@ -202,6 +203,7 @@ def fit(documents: DataFrame, sample: int = 1024, landmarks: int = 192, ridge: f
 
 
 def _predicted(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    working("language")
     for batch in steps(batches, "text"):
         found, score = model.predict(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -220,6 +222,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def _told(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    working("language")
     for batch in steps(batches, "text"):
         yield batch.filter(pa.array(model.told(batch.column("text").to_pylist())))
 

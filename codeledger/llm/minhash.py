@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeledger.llm.common import ship_package, steps, stored
+from codeledger.llm.common import ship_package, steps, stored, working
 from codeledger.llm.components import components
 
 #: Positions that the permutations act on, and the seed of the second; the first is a hash of the shingles.
@@ -113,6 +113,7 @@ def alike(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def _sketched(batches: Iterable[pa.RecordBatch], likeness: Likeness) -> Iterator[pa.RecordBatch]:
+    working("shingles", _words.clear)
     bands, length = likeness.bands()
     for batch in steps(batches, "text"):
         sizes, classes, hashes, last = [], [], [], (None, None, None)
@@ -135,6 +136,7 @@ def _sketched(batches: Iterable[pa.RecordBatch], likeness: Likeness) -> Iterator
 
 def _verified(batches: Iterable[pa.RecordBatch], likeness: Likeness) -> Iterator[pa.RecordBatch]:
     """Rows in order of leader and salt, each leader's text before those of its members."""
+    working("shingles", _words.clear)
     leader, members = None, np.zeros(0, np.uint64)
     for batch in steps(batches, "text"):
         out = []
@@ -216,6 +218,7 @@ def _blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _compared(batches: Iterable[pa.RecordBatch], likeness: Likeness) -> Iterator[pa.RecordBatch]:
     """Links that join components within a block, by common shingles counted over an inverted index."""
+    working("shingles", _words.clear)
     here, names, roots, sets, index = None, [], [], [], None
     merged: dict[bytes, bytes] = {}
 
