@@ -17,9 +17,10 @@ from codeledger.plans.fixtures import FILE_OF, REVIEWED, spark_fixture
 from codeledger.plans.pipeline import Calls, followup_retry, three_steps
 from codeledger.plans.rounds import ask_round
 from codeledger.plans.rounds import classification_round as first_round, followup_round as second_round
-from codeledger.plans.stub import PROMPTS, stub_model
+from codeledger.plans.stub import PROMPTS, flaky_model, stub_model
 from codeledger.session import SETTINGS, scratch_dir, ship_package
 from codeledger.sources import attachments, tables
+from codeledger.sources.answers import read_answers
 from codeledger.streaming.intake import start_intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -406,6 +407,27 @@ def three_step_pipeline(spark, sf_dir):
     return answered.select("row_id", "raw1", "raw2", "raw3")
 
 
+@_query("answer_store")
+def answer_store(spark, sf_dir):
+    """Inquiries that come twice, on a day when calls fail and on a better one: each request is called once over both."""
+    ship_package(spark)
+    folder = _new_folder(spark, "store")
+    once = requests.admitted(spark_fixture(spark, sf_dir, "inquiries"))
+    inquiries = once.unionByName(once.filter("has_image").withColumn("row_id", F.concat("row_id", F.lit("-again"))))
+    first = three_steps(inquiries, PROMPTS, Calls(flaky_model, waves=2), folder)
+    failed = first.select("row_id", F.col("failed").alias("failed_first"))
+    # What failed is read before the second day's calls; a table of the run keeps it.
+    failed.write.parquet(f"{folder}/failed")
+    second = three_steps(inquiries, PROMPTS, Calls(stub_model), folder)
+    none = F.lit(None).cast("string")
+    rows = second.join(spark.read.parquet(f"{folder}/failed"), "row_id").select(
+        F.col("row_id").alias("name"), none.alias("step"), "failed_first", "raw1", "raw2", "raw3", F.lit(None).cast("long").alias("calls"), F.lit(None).cast("long").alias("errors")
+    )
+    calls = read_answers(spark, f"{folder}/answers").groupBy("step", "request_key").agg(F.count("*").alias("calls"), F.count("error").alias("errors"))
+    blank = {name: none for name in ("failed_first", "raw1", "raw2", "raw3")}
+    return rows.unionByName(calls.withColumnRenamed("request_key", "name").withColumns(blank))
+
+
 @_query("followup_retry")
 def followup_rerun(spark, sf_dir):
     ship_package(spark)

@@ -268,6 +268,25 @@ def _stub_chain(source: str, extra: str, files: str = "''") -> dict[str, str]:
     }
 
 
+def _request_key(step: str, system: str, request: str) -> str:
+    part = lambda text: f"coalesce(strlen({text}) || ':' || {text}, '-')"
+    return f"sha256({part(_q(step))} || {part(_q(system))} || {part(f'({request})')})"
+
+
+def _store_calls() -> dict[str, str]:
+    """The calls of two days: on the first every request in eight fails, and with it what follows."""
+    fails = lambda d: f"substr({d}, 10, 1) IN ('8', '9')"
+    steps = (("extract", "d1", _request1("NULL"), "true"), ("classify", "d2", _REQUEST2, f"NOT {fails('d1')}"), ("validate", "d3", _REQUEST3, f"NOT {fails('d1')} AND NOT {fails('d2')}"))
+    calls = [
+        f"""SELECT {_request_key(step, step, request)} AS name, '{step}' AS step,
+  1 + CAST({fails(f'any_value({d})')} AND bool_or({asked}) AS BIGINT) AS calls, CAST({fails(f'any_value({d})')} AND bool_or({asked}) AS BIGINT) AS errors
+FROM read3 GROUP BY ALL"""
+        for step, d, request, asked in steps
+    ]
+    first = " ".join(f"WHEN {fails(d)} THEN '{step}: RuntimeError: no answer'" for step, d, *_ in steps)
+    return {"calls": " UNION ALL ".join(calls).replace("GROUP BY ALL", "GROUP BY name"), "told": f"SELECT *, CASE {first} END AS failed_first FROM read3"}
+
+
 _ADMITTED = "(description <> '' OR has_image OR has_invoice) AND trim(user_name) <> ''"
 _IN_SET = lambda json, field, values: (
     f"CASE WHEN {json} IS NOT NULL THEN coalesce({_text(json, field)}, '') IN ({', '.join(map(_q, values))}) END"
@@ -572,6 +591,15 @@ FROM attachments WHERE regexp_matches(lower(path), '\\.(jpg|jpeg|jfif|png|webp|p
             **_stub_chain("admitted", "NULL"),
             select="SELECT row_id, raw1, raw2, raw3 FROM read3",
         ),
+        "answer_store": _with(
+            "inquiries",
+            admitted=f"""SELECT * FROM inquiries WHERE {_ADMITTED}
+UNION ALL SELECT * REPLACE (row_id || '-again' AS row_id) FROM inquiries WHERE {_ADMITTED} AND has_image""",
+            **_stub_chain("admitted", "NULL"),
+            **_store_calls(),
+            select="""SELECT row_id AS name, NULL AS step, failed_first, raw1, raw2, raw3, CAST(NULL AS BIGINT) AS calls, CAST(NULL AS BIGINT) AS errors FROM told
+UNION ALL SELECT name, step, NULL, NULL, NULL, NULL, calls, errors FROM calls""",
+        ),
         "followup_retry": _with(
             "cases", "answers",
             parsed=_PARSED,

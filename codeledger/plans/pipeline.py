@@ -1,27 +1,29 @@
 """The three chained model steps, and the retry with follow-up answers.
 
-A model call is slow and paid for, so the output of every step is written to a table in
-the shared work folder before the next step reads it: neither a re-planned query nor a
-lost executor repeats a finished step, and a job run again with ``resume=True`` goes on
-after the last finished one. (A reliable checkpoint would not do: it evaluates its input a
-second time.)
+A model call is slow and paid for. Every answer goes into a store (:mod:`codeledger.sources.answers`)
+under what was asked, before the next step reads it: equal requests are called once, whatever rows
+they come from, and a job run again asks only what has no answer yet. So neither a re-planned
+query nor a lost executor repeats a call whose answer was stored, and other inquiries get answers
+of their own. A call that fails costs its own rows: they say so and go no further.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeledger.functions.payload import usable_json, with_payloads
 from codeledger.operators import followup
 from codeledger.operators.requests import step1_text, step2_text, step3_text
+from codeledger.sources.answers import append_answers, outcome, read_answers, request_key
 
 # model_fn(system, text) -> answer text. With attachments: model_fn(system, text, attachments),
 # attachments being a list of {"media_type": ..., "data": ...}.
@@ -45,26 +47,37 @@ class Calls:
     """How the model is called.
 
     ``concurrency`` is the number of calls a task has under way at once, ``partitions`` the
-    number of tasks per step (by default that of the input).
+    number of tasks per step (by default that of the shuffle). A step is done in ``waves`` jobs, each
+    of which stores its answers when it ends: what a lost job loses.
     """
 
     factory: ModelFactory
     concurrency: int = 1
     partitions: int | None = None
+    waves: int = 1
 
 
-def _answers(calls: Calls, system: str, with_files: bool):
-    """A column function: request texts in, answer texts out, in the same order.
+_CALLED = T.StructType([T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
 
-    As a scalar function over batches it takes only the request through Python; the rest of
-    the row stays in the JVM. Rows are independent, so batches are whole texts in any number.
+
+def _called(calls: Calls, system: str, with_files: bool):
+    """A column function: request texts in, answers and errors out, in the same order.
+
+    As a scalar function over batches it takes only the request through Python. An exception
+    of the model function is that request's error.
     """
 
-    def ask(model: ModelFn, pool: ThreadPoolExecutor | None, *requests) -> pd.Series:
+    def one(model: ModelFn, *request) -> tuple[str | None, str | None]:
+        try:
+            return model(system, *request), None
+        except Exception as failed:  # whatever the caller's client raises
+            return None, f"{type(failed).__name__}: {failed}"
+
+    def ask(model: ModelFn, pool: ThreadPoolExecutor | None, *requests) -> pd.DataFrame:
         run = pool.map if pool else map
-        return pd.Series(list(run(lambda *request: model(system, *request), *requests)), dtype=object)
+        return pd.DataFrame(list(run(lambda *request: one(model, *request), *requests)), columns=_CALLED.names, dtype=object)
 
-    def pooled(batches, split) -> Iterator[pd.Series]:
+    def pooled(batches, split) -> Iterator[pd.DataFrame]:
         model = calls.factory()
         if calls.concurrency == 1:
             for batch in batches:
@@ -76,56 +89,67 @@ def _answers(calls: Calls, system: str, with_files: bool):
 
     if with_files:
 
-        def answer_files(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def answer_files(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             files = lambda given: [] if given is None else [dict(file) for file in given]
             yield from pooled(batches, lambda batch: (batch[0], batch[1].map(files)))
 
-        return F.pandas_udf(answer_files, T.StringType()).asNondeterministic()
+        return F.pandas_udf(answer_files, _CALLED).asNondeterministic()
 
-    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from pooled(batches, lambda batch: (batch,))
 
-    return F.pandas_udf(answer, T.StringType()).asNondeterministic()
+    return F.pandas_udf(answer, _CALLED).asNondeterministic()
 
 
-def _finished(rows: DataFrame, path: str, resume: bool) -> DataFrame:
-    """Write the rows, or with ``resume`` use what an earlier run wrote completely.
-
-    A step is finished when a table beside it, written after the step's own commit, has its
-    number of rows and the step still has as many. A step that failed half-way, whatever it
-    left, is written anew.
-    """
-    spark, mark = rows.sparkSession, f"{path}-finished"
-    if resume and (finished := _read(spark, mark, _MARK)) is not None and (expected := finished.first()) is not None:
-        stored = _read(spark, path, rows.schema)
-        if stored is not None and stored.count() == expected.rows:
-            return stored
-    rows.write.mode("overwrite" if resume else "errorifexists").parquet(path)
-    stored = spark.read.schema(rows.schema).parquet(path)
-    stored.agg(F.count("*").alias("rows")).coalesce(1).write.mode("overwrite").parquet(mark)
-    return stored
+#: Column of rows that go no further: the step whose call failed, and its error.
+FAILED = "failed"
 
 
-_MARK = T.StructType([T.StructField("rows", T.LongType())])
-
-
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def _with_failed(rows: DataFrame) -> DataFrame:
+    return rows if FAILED in rows.columns else rows.withColumn(FAILED, F.lit(None).cast("string"))
 
 
 def model_step(
-    rows: DataFrame, request: Column, answer: str, system: str, calls: Calls, files: str | None = None
+    rows: DataFrame, request: Column, answer: str, step: str, system: str, calls: Calls, store: str, files: str | None = None
 ) -> DataFrame:
-    """Add the column ``answer``: what the model function returns for the request text."""
-    if calls.partitions:
-        rows = rows.repartition(calls.partitions, "row_id")
-    ask = _answers(calls, system, files is not None)
-    return rows.withColumn(answer, ask(request, F.col(files)) if files else ask(request))
+    """Add the column ``answer``: what the model function returns for the request text.
+
+    Each distinct request without an answer in the store is called once, and all rows that make it get
+    its answer. Rows that have failed before ask nothing; those whose request fails now get ``failed``.
+    Besides the rows' own, the returned columns are the answer and ``failed``.
+    """
+    spark = rows.sparkSession
+    rows = _with_failed(rows).withColumn("_request", request)
+    key = request_key(step, system, F.col("_request"), F.col(files) if files else None)
+    rows = rows.withColumn("_key", F.when(F.col(FAILED).isNull(), key))
+    given = [F.first(name).alias(name) for name in ("_request", files) if name]
+    distinct = rows.filter(F.col("_key").isNotNull()).groupBy("_key").agg(*given)
+    ask = _called(calls, system, files is not None)
+    for wave in range(calls.waves):
+        answered = read_answers(spark, store, step).filter("error IS NULL").select(F.col("request_key").alias("_key"))
+        new = distinct.join(answered, "_key", "left_anti")
+        if calls.waves > 1:
+            new = new.filter(F.pmod(F.xxhash64("_key"), F.lit(calls.waves)) == wave)
+        if calls.partitions:
+            new = new.repartition(calls.partitions, "_key")
+        asked = new.select(F.col("_key").alias("request_key"), (ask("_request", files) if files else ask("_request")).alias("_call"))
+        append_answers(asked.select("request_key", "_call.answer", "_call.error"), store, step, f"{time.time_ns():020d}-{uuid.uuid4().hex}")
+    found = outcome(read_answers(spark, store, step)).select(F.col("request_key").alias("_key"), F.col("answer").alias(answer), F.col("error").alias("_error"))
+    # Rows that ask nothing are spread; no key of theirs equals a hash in hexadecimal.
+    spread = F.coalesce("_key", F.concat(F.lit("-"), F.xxhash64(*[name for name in rows.columns if name != files]).cast("string")))
+    joined = rows.withColumn("_key", spread).join(found, "_key", "left")
+    told = F.coalesce(FAILED, F.concat(F.lit(f"{step}: "), F.col("_error")))
+    return joined.withColumn(FAILED, told).drop("_request", "_key", "_error")
+
+
+def _store(work_dir: str, answers: str | None) -> str:
+    return answers or f"{work_dir}/answers"
+
+
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    """The rows as they are now, in a table of the run. It holds nothing that can't be made again."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def three_steps(
@@ -136,32 +160,33 @@ def three_steps(
     *,
     extra: str | None = None,
     files: str | None = None,
-    resume: bool = False,
+    answers: str | None = None,
 ) -> DataFrame:
-    """Extract, classify and validate: the inquiries with ``raw1, raw2, raw3``.
+    """Extract, classify and validate: the inquiries with ``raw1, raw2, raw3`` and ``failed``.
 
-    ``extra`` names a column with extra context, ``files`` one with an array of attachment
-    payloads, which only the first step is given and which is not stored with its answers;
-    ``work_dir`` is a folder of this run in shared storage.
+    ``failed`` is null, or the step whose call failed and the error: such a row has no later answers, and
+    a run over it again asks what is missing. ``extra`` names a column with extra context, ``files``
+    one with an array of attachment payloads, which only the first step is given and which is stored
+    nowhere. ``work_dir`` is a folder of this run in shared storage; ``answers`` is the folder of the store,
+    which runs may share, by default one in ``work_dir``.
     """
-    first = model_step(
-        inquiries, step1_text("description", "specs", extra), "raw1", prompts.extract, calls, files
-    )
-    first = _finished(first.drop(files) if files else first, f"{work_dir}/step1", resume)
-    second = model_step(first, step2_text(usable_json("raw1"), "raw1"), "raw2", prompts.classify, calls)
-    second = _finished(second, f"{work_dir}/step2", resume)
+    store = _store(work_dir, answers)
+    first = model_step(inquiries, step1_text("description", "specs", extra), "raw1", "extract", prompts.extract, calls, store, files)
+    if files:
+        # Without the payloads, so that the later steps don't read them again.
+        first = _written(first.drop(files), f"{work_dir}/step1")
+    second = model_step(first, step2_text(usable_json("raw1"), "raw1"), "raw2", "classify", prompts.classify, calls, store)
     request = step3_text("description", usable_json("raw1"), usable_json("raw2"), "raw2")
-    third = model_step(second, request, "raw3", prompts.validate, calls)
-    return _finished(third, f"{work_dir}/step3", resume)
+    return model_step(second, request, "raw3", "validate", prompts.validate, calls, store)
 
 
 def ask_questions(
-    requests: DataFrame, request: Column, prompts: Prompts, calls: Calls, work_dir: str, *, resume: bool = False
+    requests: DataFrame, request: Column, prompts: Prompts, calls: Calls, work_dir: str, *, answers: str | None = None
 ) -> DataFrame:
-    """``row_id, raw_q``: the answer of the question step to the given request text."""
-    asked = requests.select("row_id", request.alias("_request"))
-    answered = model_step(asked, F.col("_request"), "raw_q", prompts.ask, calls).drop("_request")
-    return _finished(answered, f"{work_dir}/questions", resume)
+    """``row_id, raw_q``: the answer of the question step to the given request text; rows whose call failed are left out."""
+    asked = requests.select("row_id", request.alias("_asked"))
+    answered = model_step(asked, F.col("_asked"), "raw_q", "ask", prompts.ask, calls, _store(work_dir, answers))
+    return answered.filter(F.col(FAILED).isNull()).select("row_id", "raw_q")
 
 
 def followup_retry(
@@ -173,24 +198,25 @@ def followup_retry(
     *,
     eligible: Callable[[DataFrame], Column] | None = None,
     files: str | None = None,
-    resume: bool = False,
+    store: str | None = None,
 ) -> DataFrame:
     """Second round: rerun the inquiries that need it and whose answers are complete.
 
-    All others keep their first round. Adds ``round`` (1 or 2) and ``qa``, the answers of a
-    rerun. ``eligible`` widens the choice, such as to inquiries offered an improvement;
+    All others keep their first round. Adds ``round`` (1 or 2), ``qa``, the answers of a
+    rerun, and ``failed`` (:func:`three_steps`). Inquiries that failed in their first round are not rerun. ``eligible`` widens the choice, such as to inquiries offered an improvement;
     only eligible rows are shuffled to their answers. Attachments are not among the columns returned.
     """
     eligible = eligible or (lambda parsed: followup.needs_followup())
     columns = [name for name in cases.columns if name != files]
     attached = [files] if files else []
-    parsed = with_payloads(cases)
-    flagged = parsed.withColumn("_eligible", eligible(parsed)).select(*columns, *attached, "_eligible")
+    parsed = with_payloads(_with_failed(cases))
+    columns = [*columns, FAILED] if FAILED not in columns else columns
+    flagged = parsed.withColumn("_eligible", eligible(parsed) & F.col(FAILED).isNull()).select(*columns, *attached, "_eligible")
     nothing = F.lit(None)
 
     complete = followup.collect_answers(answers).filter("complete").select("row_id", "qa")
     matched = flagged.filter("_eligible").drop("_eligible").join(complete, "row_id", "left")
-    matched = _finished(matched, f"{work_dir}/eligible", resume)
+    matched = _written(matched, f"{work_dir}/eligible")
 
     untouched = flagged.filter(~F.coalesce("_eligible", nothing.cast("boolean"), F.lit(False))).select(*columns)
     untouched = untouched.withColumn("qa", nothing.cast(matched.schema["qa"].dataType))
@@ -204,7 +230,7 @@ def followup_retry(
         f"{work_dir}/retry",
         extra="_extra",
         files=files,
-        resume=resume,
+        answers=_store(work_dir, store),
     ).select(*untouched.columns)
     first_round = untouched.unionByName(unanswered).withColumn("round", F.lit(1))
     return first_round.unionByName(rerun.withColumn("round", F.lit(2)))

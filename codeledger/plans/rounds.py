@@ -11,7 +11,7 @@ from codeledger import schemas
 from codeledger.functions.payload import typed, usable_json, with_payloads
 from codeledger.operators import followup
 from codeledger.operators.requests import admitted, question_text
-from codeledger.plans.pipeline import Calls, Prompts, ask_questions, followup_retry, three_steps
+from codeledger.plans.pipeline import FAILED, Calls, Prompts, ask_questions, followup_retry, three_steps
 from codeledger.sources.tables import append_history
 from codeledger.streaming.intake import ledger_rows
 
@@ -27,25 +27,28 @@ def classification_round(
     *,
     files: str | None = None,
     grain: str = "day",
-    resume: bool = False,
+    store: str | None = None,
 ) -> DataFrame:
     """Admit, ask in three steps, decide, look up, and log as the named batch of the ledger.
 
-    Returns the answered inquiries. Those that need follow-up are not logged; they go on to
-    :func:`ask_round`. ``files`` names a column with an array of attachment payloads
+    Returns the inquiries with their answers. Those that need follow-up are not logged; they go on to
+    :func:`ask_round`. Nor are those of which a call failed (``failed``): the round run again as the same
+    batch, with the same folder or ``store``, asks only what is missing and logs them, too. ``files`` names a column with an array of attachment payloads
     (``sources.attachments.by_request``), which goes into the first step only.
     """
-    answered = three_steps(admitted(inquiries), prompts, calls, work_dir, files=files, resume=resume)
-    append_history(ledger_rows(answered, verified), history_path, batch, grain=grain)
+    answered = three_steps(admitted(inquiries), prompts, calls, work_dir, files=files, answers=store)
+    append_history(ledger_rows(answered.filter(F.col(FAILED).isNull()), verified), history_path, batch, grain=grain)
     return answered
 
 
 def ask_round(
-    cases: DataFrame, prompts: Prompts, calls: Calls, work_dir: str, *, limit: int | None = None, resume: bool = False
+    cases: DataFrame, prompts: Prompts, calls: Calls, work_dir: str, *, limit: int | None = None, store: str | None = None
 ) -> DataFrame:
     """The questions to inquiries that need follow-up, one a row: ``row_id, pos, question``."""
+    if FAILED in cases.columns:
+        cases = cases.filter(F.col(FAILED).isNull())
     open_cases = with_payloads(cases.filter(followup.needs_followup(typed(usable_json("raw2"), schemas.STEP2))))
-    asked = ask_questions(open_cases, question_text(open_cases), prompts, calls, work_dir, resume=resume)
+    asked = ask_questions(open_cases, question_text(open_cases), prompts, calls, work_dir, answers=store)
     return followup.question_rows(asked, limit=limit)
 
 
@@ -61,13 +64,13 @@ def followup_round(
     eligible: Callable[[DataFrame], Column] | None = None,
     files: str | None = None,
     grain: str = "day",
-    resume: bool = False,
+    store: str | None = None,
 ) -> DataFrame:
-    """Rerun the inquiries whose questions are all answered, and log every rerun, however it ended.
+    """Rerun the inquiries whose questions are all answered, and log every rerun, however it ended, unless a call failed.
 
     Returns all cases with ``round`` and ``qa``. A rerun is logged with the answers given and
     without a note on earlier confirmations.
     """
-    both = followup_retry(cases, answers, prompts, calls, work_dir, eligible=eligible, files=files, resume=resume)
-    append_history(ledger_rows(both.filter(F.col("round") > 1)), history_path, batch, grain=grain)
+    both = followup_retry(cases, answers, prompts, calls, work_dir, eligible=eligible, files=files, store=store)
+    append_history(ledger_rows(both.filter((F.col("round") > 1) & F.col(FAILED).isNull())), history_path, batch, grain=grain)
     return both

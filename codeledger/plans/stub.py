@@ -35,3 +35,20 @@ def stub_model():
         return f"1. What about {digits[:4]}?"
 
     return answer
+
+
+def fails(digits: str) -> bool:
+    """Whether the flaky model has no answer: one request in eight."""
+    return digits[9] in "89"
+
+
+def flaky_model():
+    """The same model on a bad day."""
+    model = stub_model()
+
+    def answer(system: str, text: str | None, *files) -> str:
+        if fails(digits_of(system, text)):
+            raise RuntimeError("no answer")
+        return model(system, text, *files)
+
+    return answer

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from codeledger.functions.payload import with_payloads
 from codeledger.operators import followup, requests
 from codeledger.plans.pipeline import Calls, ask_questions, followup_retry, three_steps
-from codeledger.plans.stub import PROMPTS, stub_model
+from codeledger.plans.stub import PROMPTS, digits_of, stub_model
+from codeledger.sources.answers import request_key
 
 
 def inquiries(spark, n=20):
@@ -59,7 +60,7 @@ def test_one_call_per_step_however_often_it_is_read(spark, tmp_path):
     parsed.filter(followup.needs_followup()).count()
     parsed.select("step1", "step2", "step3").collect()
     assert len(os.listdir(marks)) == 60
-    three_steps(inquiries(spark), PROMPTS, calls, work, resume=True).count()
+    three_steps(inquiries(spark), PROMPTS, calls, work).count()
     assert len(os.listdir(marks)) == 60
 
 
@@ -74,25 +75,75 @@ def test_files_reach_the_first_step(spark, tmp_path):
     assert {row.row_id: row.raw1 for row in answered.collect()} == {"r0": "extract None image/pngQQ==", "r1": "extract None "}
 
 
-@pytest.mark.parametrize("step", ["extract", "classify", "validate"])
-def test_a_failed_step_is_done_again_in_the_same_folder(spark, tmp_path, step):
-    def broken():
+def broken(step, n=None):
+    """A factory whose function has no answer at a step, or to one request in n of it."""
+
+    def factory():
         model = stub_model()
 
-        def ask(system, text):
-            if system == getattr(PROMPTS, step):
+        def ask(system, text, *files):
+            if system == getattr(PROMPTS, step) and (n is None or int(digits_of(system, text)[:4]) % n == 0):
                 raise RuntimeError("no answer")
-            return model(system, text)
+            return model(system, text, *files)
 
         return ask
 
+    return factory
+
+
+@pytest.mark.parametrize("calls", [Calls, lambda factory: Calls(factory, concurrency=3, waves=3)])
+@pytest.mark.parametrize("step", ["extract", "classify", "validate"])
+def test_a_failed_call_costs_its_row_and_only_that_is_asked_again(spark, tmp_path, step, calls):
+    marks, work = tmp_path / "marks", str(tmp_path / "work")
+    marks.mkdir()
+    first = {row.row_id: row for row in three_steps(inquiries(spark), PROMPTS, calls(broken(step, 3)), work).collect()}
+    failed = {key for key, row in first.items() if row.failed}
+    assert len(first) == 20 and 0 < len(failed) < 20
+    assert {first[key].failed for key in failed} == {f"{step}: RuntimeError: no answer"}
+    assert all(first[key].raw3 is None for key in failed)
+    assert all((row.raw1, row.raw2, row.raw3) == expected(row) for key, row in first.items() if key not in failed)
+    again = three_steps(inquiries(spark), PROMPTS, calls(counting(str(marks))), work).collect()
+    assert len(again) == 20 and not any(row.failed for row in again)
+    assert all((row.raw1, row.raw2, row.raw3) == expected(row) for row in again)
+    steps = ["extract", "classify", "validate"]
+    assert len(os.listdir(marks)) == len(failed) * len(steps[steps.index(step):])
+
+
+def test_a_step_that_fails_altogether(spark, tmp_path):
+    rows = three_steps(inquiries(spark), PROMPTS, Calls(broken("extract")), str(tmp_path / "work")).collect()
+    assert len(rows) == 20 and {row.failed for row in rows} == {"extract: RuntimeError: no answer"}
+
+
+def test_other_inquiries_in_the_same_folder_get_their_own_answers(spark, tmp_path):
     work = str(tmp_path / "work")
-    with pytest.raises(Exception, match="no answer"):
-        three_steps(inquiries(spark), PROMPTS, Calls(broken), work)
-    again = three_steps(inquiries(spark), PROMPTS, Calls(stub_model), work, resume=True).collect()
-    assert len(again) == 20
-    for row in again:
-        assert (row.raw1, row.raw2, row.raw3) == expected(row)
+    three_steps(inquiries(spark, 3), PROMPTS, Calls(stub_model), work)
+    others = inquiries(spark, 8).filter("row_id > 'r2'")
+    rows = three_steps(others, PROMPTS, Calls(stub_model), work).collect()
+    assert {row.row_id for row in rows} == {"r3", "r4", "r5", "r6", "r7"}
+    assert all((row.raw1, row.raw2, row.raw3) == expected(row) for row in rows)
+
+
+def test_equal_requests_are_called_once_over_runs_that_share_a_store(spark, tmp_path):
+    marks, store = tmp_path / "marks", str(tmp_path / "store")
+    marks.mkdir()
+    same = inquiries(spark, 50).withColumns({"description": F.lit("pump"), "row_id": F.when(F.col("row_id") != "r3", F.col("row_id"))})
+    for run in ("one", "two"):
+        rows = three_steps(same, PROMPTS, Calls(counting(str(marks))), str(tmp_path / run), answers=store).collect()
+        assert len(rows) == 50 and all((row.raw1, row.raw2, row.raw3) == expected(row) for row in rows)
+    assert len(os.listdir(marks)) == 3
+
+
+def test_keys_tell_requests_apart(spark):
+    files = "array<struct<media_type string, data string>>"
+    rows = spark.createDataFrame([("a", None), ("a", []), ("a", [("x", "y")]), ("a", [("xy", "")]), ("a", [("x", None)]), (None, None), ("", None)], f"text string, files {files}")
+    keys = [row.key for row in rows.select(request_key("s", "p", F.col("text"), F.col("files")).alias("key")).collect()]
+    assert keys[0] == keys[1] and len(set(keys)) == 6
+    plain = rows.limit(1).select(request_key("s", "p", F.col("text")), request_key("sp", "", F.col("text")), request_key("s", "q", F.col("text"))).first()
+    assert len(set(plain)) == 3
+
+
+def test_no_inquiries(spark, tmp_path):
+    assert three_steps(inquiries(spark).limit(0), PROMPTS, Calls(stub_model), str(tmp_path / "work")).collect() == []
 
 
 def test_retry(spark, tmp_path):
