@@ -19,7 +19,7 @@ from codeledger.plans.rounds import ask_round
 from codeledger.plans.rounds import classification_round as first_round, followup_round as second_round
 from codeledger.plans.stub import PROMPTS, flaky_model, stub_model
 from codeledger.session import SETTINGS, scratch_dir, ship_package
-from codeledger.sources import attachments, tables
+from codeledger.sources import attachments, tables, versioned_ledger
 from codeledger.sources.answers import read_answers
 from codeledger.streaming.intake import start_intake
 
@@ -373,6 +373,22 @@ def folded_history(spark, sf_dir):
     )
 
 
+@_query("history_as_of")
+def history_as_of(spark, sf_dir):
+    """Three batches, the reviews folded in, small files put together: the ledger as it was after two, and as it is."""
+    folder = _new_folder(spark, "versions")
+    history = spark_fixture(spark, sf_dir, "history").withColumn("senior_reviewed", F.lower(F.trim("senior_reviewed")) == "yes")
+    digit = F.right("row_id", F.lit(1))
+    table, log = versioned_ledger.ledger(spark, f"{folder}/ledger"), versioned_ledger.review_log(spark, f"{folder}/reviews")
+    for batch, digits in (("one", "012"), ("two", "3456"), ("three", "789")):
+        versioned_ledger.append_history(history.filter(digit.isin(*digits)), table, batch, grain=GRAIN)
+    versioned_ledger.append_reviews(spark_fixture(spark, sf_dir, "reviews"), log, "first", grain=GRAIN)
+    versioned_ledger.fold_reviews(table, log)
+    table.compact()
+    shown = ["row_id", "outcome", "senior_reviewed", "senior_user", "senior_timestamp", "senior_verdict", "senior_comment", "ingest_batch"]
+    return table.read(2).select(F.lit("two").alias("as_of"), *shown).unionByName(table.read().select(F.lit("last").alias("as_of"), *shown))
+
+
 @_query("promote_confirmed")
 def promote_confirmed(spark, sf_dir):
     return reviews.promote_confirmed(spark_fixture(spark, sf_dir, "history"), spark_fixture(spark, sf_dir, "reviews"))

@@ -543,6 +543,17 @@ FROM history h LEFT JOIN latest l ON l.row_id = h.row_id""",
   CASE WHEN l.row_id IS NULL THEN h.senior_user ELSE l.senior_user END AS senior_user, l.reviewed_at AS senior_timestamp,
   coalesce(l.verdict, h.senior_verdict) AS senior_verdict, l.comment AS senior_comment
 FROM history h LEFT JOIN latest l ON l.row_id = h.row_id""",
+        ),
+        "history_as_of": _with(
+            "history", "reviews",
+            latest="SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY reviewed_at DESC, seq DESC) = 1",
+            dealt="""SELECT *, lower(trim(senior_reviewed)) = 'yes' AS was_reviewed,
+  CASE WHEN right(row_id, 1) IN ('0', '1', '2') THEN 'one' WHEN right(row_id, 1) IN ('3', '4', '5', '6') THEN 'two' ELSE 'three' END AS ingest_batch FROM history""",
+            select="""SELECT 'two' AS as_of, row_id, outcome, CAST(was_reviewed AS VARCHAR) AS senior_reviewed, senior_user,
+  CAST(NULL AS TIMESTAMP) AS senior_timestamp, senior_verdict, CAST(NULL AS VARCHAR) AS senior_comment, ingest_batch FROM dealt WHERE ingest_batch <> 'three'
+UNION ALL SELECT 'last', h.row_id, outcome, CAST(l.row_id IS NOT NULL OR was_reviewed AS VARCHAR),
+  CASE WHEN l.row_id IS NULL THEN h.senior_user ELSE l.senior_user END, l.reviewed_at, coalesce(l.verdict, h.senior_verdict), l.comment, ingest_batch
+FROM dealt h LEFT JOIN latest l ON l.row_id = h.row_id""",
         ),
         "promote_confirmed": _with(
             "history", "reviews",

@@ -83,7 +83,7 @@ def _write_batch(rows: DataFrame, path: str, schema: T.StructType, partitions: t
         left.getFileSystem(spark._jsc.hadoopConfiguration()).delete(left, False)
 
 
-def _conform(rows: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of the schema, in its order and types; missing ones are null."""
     return rows.select(
         *(
@@ -97,8 +97,8 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schemas.HISTORY_TABLE)
 
 
-def _period(grain: str) -> Column:
-    return F.date_trunc(grain, F.col("timestamp")).cast("date")
+def period_of(column: str, grain: str) -> Column:
+    return F.date_trunc(grain, F.col(column)).cast("date")
 
 
 def _within(rows: DataFrame) -> Column:
@@ -120,8 +120,8 @@ def append_history(records: DataFrame, path: str, batch: str, *, grain: str = "d
     per period. The rebalance splits a large period over several tasks, whatever its share
     of the rows, and the order by time lets file statistics prune within a period.
     """
-    placed = records.withColumns({"event_period": _period(grain), "ingest_batch": F.lit(batch)})
-    rows = _conform(placed, schemas.HISTORY_TABLE).hint("rebalance", "event_period")
+    placed = records.withColumns({"event_period": period_of("timestamp", grain), "ingest_batch": F.lit(batch)})
+    rows = conform(placed, schemas.HISTORY_TABLE).hint("rebalance", "event_period")
     ordered = rows.sortWithinPartitions("event_period", "timestamp")
     _write_batch(ordered, path, schemas.HISTORY_TABLE, LEDGER_PARTITIONS, batch)
 
@@ -132,7 +132,7 @@ def not_logged(cases: DataFrame, history: DataFrame, batch: str, *, grain: str =
     The ledger is searched in the periods of the cases only: a repeat has the time of the
     inquiry it repeats. Cases without an id repeat nothing.
     """
-    placed = cases.withColumn("event_period", _period(grain))
+    placed = cases.withColumn("event_period", period_of("timestamp", grain))
     logged = history.filter(_within(placed) & (F.col("ingest_batch") != batch)).select(
         F.col("event_period").alias("_period"),
         F.col("row_id").alias("_id"),
@@ -148,7 +148,7 @@ def read_verified(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_verified(answers: DataFrame, path: str, batch: str) -> None:
-    rows = _conform(answers.withColumn("ingest_batch", F.lit(batch)), VERIFIED_TABLE)
+    rows = conform(answers.withColumn("ingest_batch", F.lit(batch)), VERIFIED_TABLE)
     _write_batch(rows, path, VERIFIED_TABLE, ("ingest_batch",), batch)
 
 
@@ -157,7 +157,7 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_reviews(reviews: DataFrame, path: str, batch: str) -> None:
-    rows = _conform(reviews.withColumn("ingest_batch", F.lit(batch)), REVIEW_LOG)
+    rows = conform(reviews.withColumn("ingest_batch", F.lit(batch)), REVIEW_LOG)
     _write_batch(rows, path, REVIEW_LOG, ("ingest_batch",), batch)
 
 
