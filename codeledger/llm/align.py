@@ -106,9 +106,8 @@ def _tokens(path_a: str, path_b: str) -> Tokens:
 
 def tokens(path_a: str, path_b: str) -> Tokens:
     """Both vocabularies, once for each Python worker, for the task that begins."""
-    both = _tokens(path_a, path_b)
-    working("align", both.a.forget)
-    return both
+    working("align", _tokens.cache_clear)
+    return _tokens(path_a, path_b)
 
 
 def _joined(entries: pa.Array, ids: list[np.ndarray]) -> list[bytes]:

@@ -18,9 +18,11 @@ from codeledger.session import scratch_dir, ship_package
 #: Texts of one step of work, in bytes: what a task holds besides the batch that Spark hands it.
 STEP_BYTES = 4_000_000
 #: Bytes of memory for the chunks that an encoder remembers, in two halves of which the older goes first.
-REMEMBERED_BYTES = 160_000_000
+REMEMBERED_BYTES = 128_000_000
 #: What an entry costs besides its characters and ids: two objects and a place in the dictionary.
 ENTRY_BYTES = 180
+#: Stands where a text is cut; texts that have it themselves are cut another way.
+CUT = "\x00"
 #: White space besides the space itself, of which a text seldom has any next to a space.
 OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 
@@ -68,10 +70,10 @@ def _offsets(column: pa.Array) -> np.ndarray:
 class Encoder:
     """A byte-level BPE of the tokenizers library, each distinct chunk of text encoded once.
 
-    The vocabulary's pre-tokenizer starts a token at every space that stands between two
-    characters that are no white space. A text cut there has the ids of its chunks, one after
-    the other; texts with other spaces are cut only at such places, by a slower rule. ``prefix`` is put
-    before every text.
+    The vocabulary's pre-tokenizer starts a token at a space between two characters that are no white space,
+    between a letter or number and a comma or full stop, and on both sides of a single line break. A
+    text cut there has the ids of its chunks, one after the other; texts with other spaces are cut
+    only at spaces, by a slower rule. ``prefix`` is put before every text.
     """
 
     def __init__(self, path: str, prefix: str = "") -> None:
@@ -87,7 +89,7 @@ class Encoder:
         self.bytes_of = np.zeros(self.vocab_size, np.int64)
         for token, k in self.tokenizer.get_vocab().items():
             self.bytes_of[k] = len(token)
-        self.single_space = re.compile(r"(?<=\S) (?=\S)")
+        self.single_space = re.compile(r"(?<=\S)(?= \S)")
         self.prefix = prefix
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -95,7 +97,7 @@ class Encoder:
 
     def plain(self, text: str) -> bool:
         """Whether every space of the text stands between two characters that are no white space."""
-        return not ("  " in text or text[:1] == " " or text[-1:] == " " or any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_SPACE))
+        return not (CUT in text or "  " in text or text[:1] == " " or text[-1:] == " " or any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_SPACE))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers; of a null or empty text those of the prefix."""
@@ -107,39 +109,37 @@ class Encoder:
             at = [k for k, value in enumerate(plain) if value == kind]
             if not at:
                 continue
-            some = [texts[k] or "" for k in at]
-            cut = pc.split_pattern(pa.array(some, pa.large_string()), " ") if kind else pa.array([self.single_space.split(text) for text in some], pa.large_list(pa.large_string()))
+            some = [self.prefix + (texts[k] or "") for k in at]
+            cut = self._cut(some) if kind else pa.array([self.single_space.split(text) for text in some], pa.large_list(pa.large_string()))
             for k, ids in zip(at, self._gathered(cut), strict=True):
                 out[k] = ids
         return out
 
+    def _cut(self, texts: list[str]) -> pa.Array:
+        """The chunks of plain texts; a space belongs to the chunk after it."""
+        marked = pc.replace_substring(pa.array(texts, pa.large_string()), " ", CUT + " ")
+        marked = pc.replace_substring_regex(marked, r"([\pL\pN])([,.])", r"\1" + CUT + r"\2")
+        # A line break whose neighbour was the last one's is left uncut, which changes no ids.
+        marked = pc.replace_substring_regex(marked, r"([^\s\pZ\x{85}])\n([^\s\pZ\x{85}" + CUT + r"])", r"\1" + CUT + "\n" + CUT + r"\2")
+        return pc.split_pattern(marked, CUT)
+
     def _gathered(self, cut: pa.Array) -> list[np.ndarray]:
         """The ids of texts cut into chunks: each distinct chunk is looked up once, its ids are gathered by number."""
-        ends, chunks = cut.offsets.to_numpy().astype(np.int64), cut.flatten()
-        ends, named = ends - ends[0], chunks.dictionary_encode()
-        number, first = named.indices.to_numpy().astype(np.int64), ends[:-1]
-        distinct = named.dictionary.to_pylist()
-        # First chunks follow no space, so they are entries of their own; other uses of their number may not exist.
-        heads, head = np.unique(number[first], return_inverse=True)
-        number[first] = len(distinct) + head
-        used = np.zeros(len(distinct) + len(heads), bool)
-        used[number] = True
-        new = {distinct[k] for k in np.flatnonzero(used[: len(distinct)]).tolist()}.difference(self.known)
+        ends, named = cut.offsets.to_numpy().astype(np.int64), cut.flatten().dictionary_encode()
+        number, distinct = named.indices.to_numpy(), named.dictionary.to_pylist()
+        new = set(distinct).difference(self.known)
         again = {chunk: self.older[chunk] for chunk in new.intersection(self.older)}
         self._remember(again)
         self._learn(new.difference(again))
-        begin = [self.prefix + distinct[k] for k in heads.tolist()]
-        of = self._whole(set(begin))
-        entries = [self.known.get(chunk, b"") for chunk in distinct] + [of[text] for text in begin]
+        entries = list(map(self.known.__getitem__, distinct))
         pool = np.frombuffer(b"".join(entries), "<u4")
-        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
-        starts, lengths = (np.cumsum(sizes) - sizes)[number], sizes[number]
-        before = np.cumsum(lengths) - lengths
-        ids = pool[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
-        return np.split(ids, np.append(before, len(ids))[ends[1:-1]])
-
-    def forget(self) -> None:
-        self.known, self.older, self.held = {}, {}, 0
+        sizes = np.fromiter(map(len, entries), np.int32, len(entries)) // 4
+        lengths = sizes[number]
+        before = np.cumsum(lengths, dtype=np.int64) - lengths
+        shift = ((np.cumsum(sizes, dtype=np.int64) - sizes)[number] - before).astype(np.int32)
+        where = np.repeat(shift, lengths)
+        where += np.arange(len(where), dtype=np.int32)
+        return np.split(pool[where], np.append(before, len(where))[ends[1:-1] - ends[0]])
 
     def _remember(self, found: dict[str, bytes]) -> None:
         self.known.update(found)
@@ -150,17 +150,16 @@ class Encoder:
         return {text: np.array(found.ids, "<u4").tobytes() for text, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)}
 
     def _learn(self, new: set[str]) -> None:
-        """Encode chunks that follow a space. Those without white space at their ends go as one text,
+        """Encode chunks. Those of a space and what is no white space at its ends go as one text,
 
         cut afterwards by the bytes of its tokens: as above, the ids are those of each alone.
         """
-        joined = [chunk for chunk in new if chunk and chunk.strip() == chunk]
-        alone = self._whole(" " + chunk for chunk in new.difference(joined))
-        self._remember({chunk[1:]: ids for chunk, ids in alone.items()})
+        joined = [chunk for chunk in new if chunk[:1] == " " and len(chunk) > 1 and chunk[1:].strip() == chunk[1:]]
+        self._remember(self._whole(new.difference(joined)))
         for first in range(0, len(joined), 4096):
             some = joined[first : first + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(chunk.encode()) + 1 for chunk in some])) + 1
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(chunk.encode()) for chunk in some])) + 1
             data, places = ids.tobytes(), (4 * ends).tolist()
             self._remember({chunk: data[start:end] for chunk, start, end in zip(some, [0, *places[:-1]], places, strict=True)})
 
@@ -172,9 +171,8 @@ def _encoder(path: str) -> Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and Python worker, for the task that begins."""
-    found = _encoder(path)
-    working(f"encoder {path}", found.forget)
-    return found
+    working("encoder", _encoder.cache_clear)
+    return _encoder(path)
 
 
 def stored(frame: DataFrame, name: str, *by: str) -> DataFrame:

@@ -153,7 +153,7 @@ def verdict(name: str, chars_per_token: float, byte_share: float, entropy: float
 
 
 def _judged(batches: Iterable[pa.RecordBatch], vocabulary_path: str, bands: dict[str, Band]) -> Iterator[pa.RecordBatch]:
-    working("fertility")
+    working("fertility", vocabulary.cache_clear)
     pieces, is_byte = vocabulary(vocabulary_path)
     names = [column.split(" ")[0] for column in SCHEMA.split(", ")]
     for batch in steps(batches, "text"):

@@ -59,6 +59,11 @@ def _circulant(coordinates: int) -> np.ndarray:
 _words: dict[bytes, int] = {}
 
 
+def _forget() -> None:
+    _words.clear()
+    _circulant.cache_clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -113,7 +118,7 @@ def alike(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def _sketched(batches: Iterable[pa.RecordBatch], likeness: Likeness) -> Iterator[pa.RecordBatch]:
-    working("shingles", _words.clear)
+    working("shingles", _forget)
     bands, length = likeness.bands()
     for batch in steps(batches, "text"):
         sizes, classes, hashes, last = [], [], [], (None, None, None)
@@ -136,7 +141,7 @@ def _sketched(batches: Iterable[pa.RecordBatch], likeness: Likeness) -> Iterator
 
 def _verified(batches: Iterable[pa.RecordBatch], likeness: Likeness) -> Iterator[pa.RecordBatch]:
     """Rows in order of leader and salt, each leader's text before those of its members."""
-    working("shingles", _words.clear)
+    working("shingles", _forget)
     leader, members = None, np.zeros(0, np.uint64)
     for batch in steps(batches, "text"):
         out = []
@@ -218,7 +223,7 @@ def _blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _compared(batches: Iterable[pa.RecordBatch], likeness: Likeness) -> Iterator[pa.RecordBatch]:
     """Links that join components within a block, by common shingles counted over an inverted index."""
-    working("shingles", _words.clear)
+    working("shingles", _forget)
     here, names, roots, sets, index = None, [], [], [], None
     merged: dict[bytes, bytes] = {}
 
