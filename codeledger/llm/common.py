@@ -18,7 +18,9 @@ from codeledger.session import scratch_dir, ship_package
 #: Texts of one step of work, in bytes: what a task holds besides the batch that Spark hands it.
 STEP_BYTES = 4_000_000
 #: Bytes of memory for the chunks that an encoder remembers, in two halves of which the older goes first.
-REMEMBERED_BYTES = 128_000_000
+REMEMBERED_BYTES = 64_000_000
+#: Characters of texts whose chunks are gathered at once.
+GATHERED_BYTES = 2_000_000
 #: What an entry costs besides its characters and ids: two objects and a place in the dictionary.
 ENTRY_BYTES = 180
 #: Stands where a text is cut; texts that have it themselves are cut another way.
@@ -58,8 +60,7 @@ def steps(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBat
             end = max(first + 1, int(np.searchsorted(sizes, limit, "right")))
             yield batch.slice(first, end - first)
             first = end
-        pa.default_memory_pool().release_unused()
-    give_back()
+        give_back()
 
 
 def _offsets(column: pa.Array) -> np.ndarray:
@@ -107,12 +108,15 @@ class Encoder:
         plain = [self.plain(text or "") for text in texts]
         for kind in (True, False):
             at = [k for k, value in enumerate(plain) if value == kind]
-            if not at:
-                continue
-            some = [self.prefix + (texts[k] or "") for k in at]
-            cut = self._cut(some) if kind else pa.array([self.single_space.split(text) for text in some], pa.large_list(pa.large_string()))
-            for k, ids in zip(at, self._gathered(cut), strict=True):
-                out[k] = ids
+            while at:
+                some, size = [], 0
+                while len(some) < len(at) and (not some or size < GATHERED_BYTES):
+                    some.append(self.prefix + (texts[at[len(some)]] or ""))
+                    size += len(some[-1])
+                cut = self._cut(some) if kind else pa.array([self.single_space.split(text) for text in some], pa.large_list(pa.large_string()))
+                for k, ids in zip(at, self._gathered(cut), strict=False):
+                    out[k] = ids
+                at = at[len(some) :]
         return out
 
     def _cut(self, texts: list[str]) -> pa.Array:
