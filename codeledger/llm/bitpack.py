@@ -29,6 +29,8 @@ MANIFEST = "part int, file string, docs long, tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Documents that a reader takes at once.
 READ_DOCS = 512
+#: Widths of whole bytes: bits in order, lowest first, are then little-endian numbers.
+WHOLE_BYTES = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 def bits_for(vocab_size: int) -> int:
@@ -40,12 +42,16 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """Ids in ``bits`` bits each, without gaps, lowest bit first."""
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
+    if bits in WHOLE_BYTES:
+        return ids.astype(WHOLE_BYTES[bits]).tobytes()
     spread = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(spread[:, :bits].reshape(-1), bitorder="little").tobytes()
 
 
 def unpack_bits(data: bytes, bits: int, n: int) -> np.ndarray:
     """The first n ids of what pack_bits has made."""
+    if bits in WHOLE_BYTES:
+        return np.frombuffer(data, WHOLE_BYTES[bits], n).astype("<u4")
     spread = np.zeros((n, 32), np.uint8)
     spread[:, :bits] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
     return np.packbits(spread.reshape(-1), bitorder="little").view("<u4")
