@@ -20,7 +20,8 @@ from codeledger.llm.common import ship_package, steps, stored
 from codeledger.llm.url_templates import host
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-WRAPPER = "host string, pages long, nodes string"
+WRAPPER = "host string, part long, pages long, nodes string"
+STRUCTURE = "host string, shape long, pages long, nodes string"
 #: Elements that hold blocks, elements that are a block of text, and of both those that never hold an article.
 CONTAINERS = frozenset("html head body div section article main nav header footer aside ul ol dl table thead tbody tfoot tr form fieldset figure blockquote details center menu dialog template noscript select button svg iframe object video audio canvas map".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre figcaption summary caption address legend label option title textarea".split())
@@ -31,19 +32,23 @@ MARKED = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
     "promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget contentinfo complementary alert".split()
 )
+#: Those of them that mark wherever they stand in a name; the others do as its head word.
+MARKED_ANYWHERE = frozenset("ad ads advert adverts advertisement advertising comment comments cookie cookies disqus footer nav navbar newsletter share sharing social sponsor sponsored".split())
 #: Elements that are never marked: they hold the page or the article, whatever their class says of its layout.
 UNMARKED = frozenset("html body main article".split())
 #: Parts of a name that say nothing of what an element holds, and first parts of names that tell what a page has.
 NEUTRAL = frozenset("area block box container content inner item items left list outer panel posts right section wrap wrapper".split())
-STATES = frozenset("has is no not show with without".split())
+STATES = frozenset("has hide is no not show with without".split())
+#: Last parts of names that tell of a page's layout or of a state.
+LAYOUTS = frozenset("closed disabled enabled layout open page site template theme".split())
 #: Texts that every page of a host has in a place, seen on so many pages, belong to its template; ones that differ are slots.
 FIXED_PAGES, LINK_SHARE = 3, 0.5
 #: Hosts' wrappers up to this many bytes go to every executor; more are joined.
 BROADCAST_BYTES = 32_000_000
-#: Parts over which the structures of a host are aligned before they meet.
-SALTS = 16
-#: Structures that a task holds before it passes them on.
-HELD = 20_000
+#: Structures, and then wrappers, of a host that are aligned in one group, on average; a host with no more is one group.
+ALIGNED = 64
+#: Nodes of structures that a task holds before it passes them on; aligned structures that an extractor remembers.
+HELD_NODES, HELD = 200_000, 20_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/!?][^>]*\Z",
@@ -186,7 +191,7 @@ def align(left: list[list], right: list[list]) -> list[list]:
 def infer(wrappers: Iterable[tuple[int, list[list]]]) -> tuple[int, list[list]]:
     """The wrapper of many pages or wrappers, aligned one after the other, those of most pages first."""
     pages, nodes = 0, None
-    for n, other in sorted(wrappers, key=lambda x: (-x[0], [node[0] for node in x[1]])):
+    for n, other in sorted(wrappers, key=lambda x: (-x[0], [node[0] for node in x[1]], json.dumps(x[1]))):
         pages, nodes = pages + n, other if nodes is None else align(nodes, other)
     return pages, nodes or []
 
@@ -201,13 +206,18 @@ def expression(nodes: list[list]) -> str:
 
 
 def _is_marked(name: str) -> bool:
-    """Whether a name, or its head word, marks what is no article text: ``ad-box`` and ``cookie-notice`` do, ``no-sidebar`` and ``search-result-page`` don't."""
+    """Whether a name marks what is no article text, by some words anywhere in it, by others as its head word.
+
+    ``share-buttons``, ``comment-body`` and ``cookie-notice`` do; ``no-sidebar``, ``page-with-ads``, ``comments-open`` and ``search-result-page`` don't.
+    """
     parts = name.split("-")
-    if parts[0] in STATES:
+    if parts[0] in STATES or len(parts) > 1 and parts[-1] in LAYOUTS:
         return False
+    if any(part in MARKED_ANYWHERE and not (k and parts[k - 1] in STATES) for k, part in enumerate(parts)):
+        return True
     while len(parts) > 1 and parts[-1] in NEUTRAL:
         parts.pop()
-    return parts[-1] in MARKED
+    return parts[-1] in MARKED and not (len(parts) > 1 and parts[-2] in STATES)
 
 
 @lru_cache(maxsize=50_000)
@@ -298,49 +308,99 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(copies, pa.int64()), pa.array(shown, pa.string())], names=["host", "copy", "nodes"])
 
 
-def _structures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The structures of the pages of a task, one for each host and structure: a wrapper each."""
-    held: dict[tuple, list] = {}
+def _shape(nodes: list[list]) -> int:
+    """A hash of a structure's tokens, as a signed 64-bit integer."""
+    return xxhash.xxh3_64_intdigest("\n".join(node[0] for node in nodes).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _add(held: dict[tuple, list], key: tuple, pages: int, nodes: list[list]) -> bool:
+    """Count pages of a structure, a text being fixed only where all have it; whether the structure is new.
+
+    The same whatever the order and in however many steps, so it serves before a shuffle and after it.
+    """
+    old = held.get(key)
+    if old is None:
+        held[key] = [pages, nodes]
+        return True
+    old[0] += pages
+    for mine, node in zip(old[1], nodes, strict=True):
+        mine[1:] = [mine[1] or node[1], False, mine[3] + node[3], mine[4] if mine[4] == node[4] else None, mine[5] + node[5], mine[6] + node[6]]
+    return False
+
+
+def _batch(held: dict[tuple, list]) -> pa.RecordBatch:
+    """The structures held; keys begin with host and shape."""
+    rows = [{"host": key[0], "shape": key[1], "pages": pages, "nodes": json.dumps(nodes)} for key, (pages, nodes) in held.items()]
+    return pa.RecordBatch.from_pylist(rows, pa.schema([("host", pa.string()), ("shape", pa.int64()), ("pages", pa.int64()), ("nodes", pa.string())]))
 
-    def out():
-        rows = [{"host": key[0], "pages": n, "nodes": json.dumps(nodes)} for key, (n, nodes) in held.items()]
-        return pa.RecordBatch.from_pylist(rows, pa.schema([("host", pa.string()), ("pages", pa.int64()), ("nodes", pa.string())]))
 
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The structures of the pages of a task, most of them one row each."""
+    held: dict[tuple, list] = {}
+    size = 0
     for batch in batches:
         for name, text in zip(batch.column("host").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
             nodes = json.loads(text)
-            key = name, tuple(node[0] for node in nodes)
-            old = held.get(key)
-            if old is None:
-                held[key] = [1, nodes]
-            else:
-                old[0] += 1
-                for mine, node in zip(old[1], nodes, strict=True):
-                    mine[1:] = [mine[1] or node[1], False, mine[3] + 1, mine[4] if mine[4] == node[4] else None, mine[5] + node[5], mine[6] + node[6]]
-            if len(held) >= HELD:
-                yield out()
-                held = {}
+            size += _add(held, (name, _shape(nodes), tuple(node[0] for node in nodes)), 1, nodes) * len(nodes)
+            if size >= HELD_NODES:
+                yield _batch(held)
+                held, size = {}, 0
     if held:
-        yield out()
+        yield _batch(held)
+
+
+def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each structure of a host, from rows in order of host and shape; shapes that collide stay apart."""
+    done: dict[tuple, list] = {}
+    held: dict[tuple, list] = {}
+    of, size = None, 0
+    for batch in batches:
+        for name, shape, pages, text in zip(*(batch.column(column).to_pylist() for column in ("host", "shape", "pages", "nodes")), strict=True):
+            if of != (name, shape):
+                done.update(held)
+                held, of = {}, (name, shape)
+                if size >= HELD_NODES:
+                    yield _batch(done)
+                    done, size = {}, 0
+            nodes = json.loads(text)
+            size += _add(held, (name, shape, tuple(node[0] for node in nodes)), pages, nodes) * len(nodes)
+    done.update(held)
+    if done:
+        yield _batch(done)
 
 
 def _aligned(rows: pd.DataFrame) -> pd.DataFrame:
     pages, nodes = infer((int(n), json.loads(text)) for n, text in zip(rows["pages"], rows["nodes"], strict=True))
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "pages": [pages], "nodes": [json.dumps(nodes)]})
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "part": [int(rows["part"].iloc[0])], "pages": [pages], "nodes": [json.dumps(nodes)]})
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """One wrapper per host, of all its pages: host, html in; WRAPPER out.
+def wrappers(pages: DataFrame, aligned: int = ALIGNED) -> DataFrame:
+    """One wrapper per host, of all its pages: host, html in; host, pages, nodes out.
 
     A page is the stream of its text blocks, each with its place. Repeats are folded. Copies, pages of
     one host with the same text, have one vote together, so a text isn't taken for the template's because
-    its page is there often. Pages of one structure are counted together in each task, structures aligned in SALTS parts of a host and then the
-    parts: what is gathered for a host is its different structures, however many pages it has.
+    its page is there often. Pages of one structure are counted together, in each task and then in all;
+    structures are dealt by their hash into parts of ``aligned`` on average, each part is aligned, those of most
+    pages first, and so are the parts in rounds, ``aligned`` of them at a time. Parts hang on a host's own structures
+    alone, so the wrapper is the same however rows lie and whatever other hosts there are, and what a
+    group gathers is bounded by ``aligned`` but for the length of the wrappers themselves.
     """
     votes = pages.mapInArrow(_read, "host string, copy long, nodes string").groupBy("host", "copy").agg(F.min("nodes").alias("nodes"))
-    found = votes.select("host", "nodes").mapInArrow(_structures, WRAPPER)
-    salted = found.withColumn("salt", F.pmod(F.xxhash64(F.regexp_replace("nodes", r"[^a-z ]", "")), F.lit(SALTS)))
-    return salted.groupBy("host", "salt").applyInPandas(lambda rows: _aligned(rows), WRAPPER).groupBy("host").applyInPandas(lambda rows: _aligned(rows), WRAPPER)
+    counted = votes.select("host", "nodes").mapInArrow(_counted, STRUCTURE).repartition("host", "shape").sortWithinPartitions("host", "shape")
+    found = stored(counted.mapInArrow(_merged, STRUCTURE), "structures")
+    parts = found.groupBy("host").agg(F.ceil(F.count("*") / aligned).alias("parts"))
+    left = parts.agg(F.max("parts")).first()[0] or 1
+    rows = found.join(parts, "host").select("host", F.pmod("shape", "parts").cast("long").alias("part"), "pages", "nodes")
+    while True:
+        rows = rows.groupBy("host", "part").applyInPandas(_aligned, WRAPPER)
+        if left <= 1:
+            return rows.drop("part")
+        left = -(-left // aligned)
+        rows = rows.withColumn("part", F.floor(F.col("part") / aligned).cast("long"))
+
+
+def _is_headline(block: Leaf) -> bool:
+    return block.place[-1].partition(".")[0] == "h1"
 
 
 class Extractor:
@@ -382,6 +442,10 @@ class Extractor:
             self.known[structure, freed] = kinds
         of = [kinds[k] for k in place]
         best = max(of, default=0)
+        if best == 2:
+            first = of.index(2)
+            if first and of[first - 1] and _is_headline(blocks[first - 1]) and sum(map(_is_headline, blocks)) == 1:
+                of[first - 1] = 2
         return "\n".join(block.text for block, kind in zip(blocks, of, strict=True) if kind == best) if best else ""
 
 
@@ -406,8 +470,8 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
     The host's wrapper says which of a page's blocks are slots of the article. Tags and classes speak
     first: what the elements around a block or their class, id or role show to be menus, headers, footers,
     sidebars, notices, adverts, forms or comments is none, and what is in an article or main element is
-    one. A class marks by its whole names or their head words, html, body, main and article are never
-    marked, nor is an element that holds most of the page's or of the host's slots' text, unless the article
+    one, with the page's only h1 if it stands right before. A class marks by its whole names, their head words or, for some words, any
+    part of a name, but for names of states and layouts; html, body, main and article are never marked, nor is an element that holds most of the page's or of the host's slots' text, unless the article
     is beside it. Then the host's pages do, copies counted once: a place whose text is the same on FIXED_PAGES pages
     or more, and on most, is the template's, in an article too; one whose text differs between
     FIXED_PAGES pages or more is a slot, beside an article too, unless it is mostly links. A place with

@@ -4,6 +4,7 @@ import html
 import re
 import zlib
 from collections import Counter
+from functools import partial, reduce
 
 import numpy as np
 import pytest
@@ -250,3 +251,77 @@ def test_production_bands(spark):
     found = {row.doc_id: row for row in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
     assert [found[k].reason for k in range(len(good)) if not found[k].base_failed] and {found[k].reason for k in range(len(good))} <= {None, "base"}
     assert all(found[100 + k].reason not in (None, "base") for k in range(len(bad)))
+
+
+def test_class_names_that_mark(spark):
+    """What is no article by any part of its name goes, on a page without others of its host too; states and layouts stay."""
+    names = ["share-buttons", "ad-slot", "social-links", "newsletter-form", "comment-form", "comment-body", "disqus_thread", "cookie-text"]
+    story = "A story of some length, which has more to say than all that stands around it. " * 3
+    rows = [(k, f"http://n{k}.b/", f"<body><article><p>{story}</p><div class='{name}'><p>Other words</p></div></article></body>") for k, name in enumerate(names)]
+    rows += [(100 + k, f"http://s{k}.b/", f"<body><p>{story}</p><div class='{name}'><p>Other words</p></div></body>") for k, name in enumerate(["nav-open", "page-with-ads", "no-comments", "share-page"])]
+    headline = "<body><div><p>Menu of the day</p><h1>The news</h1></div><article><p>{0}</p></article></body>"
+    rows += [(200, "http://h.b/", headline.format(story)), (201, "http://h2.b/", headline.format(f"{story}<h1>Own</h1>"))]
+    found = {row.page_id: row.text for row in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = story.strip()
+    assert {found[k] for k in range(len(names))} == {story}
+    assert {found[100 + k] for k in range(4)} == {f"{story}\nOther words"}
+    assert found[200] == f"The news\n{story}" and "The news" not in found[201]
+
+
+def _differing_pages(n, seed):
+    """Pages of two hosts and of none, of many structures: parts come and go, repeat and change their order, with template texts and slots."""
+    made, rows = np.random.default_rng(seed), []
+    for k in range(n):
+        word = lambda: " ".join(f"w{x}" for x in made.integers(0, 500, 6))
+        parts = ["<div class='a'><p>All rights</p></div>", f"<section class='b'><p>{word()}</p></section>", f"<div class='c'><h2>{word()}</h2></div>", "<ul class='d'><li>Again</li></ul>", "".join(f"<blockquote><p>{word()}</p></blockquote>" for _ in range(int(made.integers(1, 4))))]
+        chosen = [parts[i] for i in made.permutation(5) if made.random() < 0.7]
+        article = f"<article><p>{word()}</p>{'<p class=x>Read on</p>' if made.random() < 0.5 else ''}</article>" if made.random() < 0.5 else ""
+        rows.append((k, [f"http://one.b/{k}", f"http://two.b/{k}", None][k % 3], f"<body>{''.join(chosen)}{article}<div class='e'><p>{word()}</p></div></body>"))
+    return rows
+
+
+def _shuffled_pages(spark, rows, seed, parts):
+    return spark.createDataFrame([rows[i] for i in np.random.default_rng(seed).permutation(len(rows))], "page_id long, url string, html string").repartition(parts)
+
+
+def test_wrappers_are_the_same_on_any_layout(spark, monkeypatch):
+    rows = _differing_pages(180, 3)
+    monkeypatch.setattr(wrapper, "wrappers", partial(wrapper.wrappers, aligned=4))  # several rounds
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (1, 2, 8, 31):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.append({row.page_id: row.text for row in wrapper.extract(_shuffled_pages(spark, rows, parts, parts)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(found == seen[0] for found in seen[1:])
+    # Another host's pages change nothing.
+    alone = [row for row in rows if row[0] % 3 == 1]
+    found = {row.page_id: row.text for row in wrapper.extract(_shuffled_pages(spark, alone, 5, 2)).collect()}
+    assert found == {k: seen[0][k] for k in found} and len(found) == 60
+
+
+def test_inference_by_brute_force(spark):
+    """One host's wrapper, made in plain Python page by page, judges as the distributed one does."""
+    rows = [row for row in _differing_pages(150, 8) if row[0] % 3 == 0]
+    by_tokens, copies = {}, {}
+    for _, _, page in rows:
+        blocks = wrapper.leaves(page)
+        structure, place, many = wrapper.folded([" ".join(block.place) for block in blocks])
+        texts = [[block for block, k in zip(blocks, place, strict=True) if k == at] for at in range(len(structure))]
+        nodes = [[token, flag, tuple(block.text for block in held), sum(len(block.text) for block in held), sum(block.links for block in held)] for token, flag, held in zip(structure, many, texts, strict=True)]
+        copies.setdefault("\n".join(wrapper._prior(blocks)), []).append(nodes)
+    assert all(len(same) == 1 for same in copies.values())
+    for (nodes,) in copies.values():
+        by_tokens.setdefault(tuple(node[0] for node in nodes), []).append(nodes)
+    assert 10 < len(by_tokens) <= wrapper.ALIGNED
+    crc = lambda held: reduce(lambda value, text: zlib.crc32(f"{text}\n".encode(), value), held, 0)
+    merged = []
+    for tokens, pages in by_tokens.items():
+        column = lambda at, field: [nodes[at][field] for nodes in pages]  # noqa: B023, E731
+        merged.append((len(pages), [[token, any(column(at, 1)), False, len(pages), crc(column(at, 2)[0]) if len(set(column(at, 2))) == 1 else None, sum(column(at, 3)), sum(column(at, 4))] for at, token in enumerate(tokens)]))
+    expected = wrapper.Extractor(*wrapper.infer(merged))
+    found = {row.page_id: row.text for row in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert found == {page_id: expected.text(page) for page_id, _, page in rows}
+    # The inference decides: tags and classes alone give other texts.
+    assert any(text != "\n".join(wrapper._prior(wrapper.leaves(page))) for (_, _, page), text in zip(rows, map(found.get, [row[0] for row in rows]), strict=True))
