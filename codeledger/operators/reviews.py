@@ -55,7 +55,7 @@ def relevant_verified(verified: DataFrame, inquiries: DataFrame) -> DataFrame:
     return verified.join(wanted, "product_fingerprint", "left_semi")
 
 
-def verified_lookup(inquiries: DataFrame, verified: DataFrame) -> DataFrame:
+def verified_lookup(inquiries: DataFrame, verified: DataFrame, *, one_each: bool = False) -> DataFrame:
     """Add the earliest confirmation with the fingerprint of the description, or nulls.
 
     The inquiries need ``row_id`` and ``description``; their fingerprint is kept in
@@ -64,13 +64,14 @@ def verified_lookup(inquiries: DataFrame, verified: DataFrame) -> DataFrame:
     below the session's threshold. Otherwise both sides meet in a shuffle join, where a hot
     fingerprint is split by adaptive execution because the other side has one row for it.
     Inquiries that cannot match get a key of their own instead of one shared blank key.
+    ``one_each`` says that the confirmations have no fingerprint twice and no blank one.
     """
     keyed = inquiries.withColumn("product_fingerprint", fingerprint("description"))
     mark = F.col("product_fingerprint")
     keyed = keyed.withColumn(
         "_probe", F.when(F.coalesce(mark, F.lit("")) != "", mark).otherwise(F.concat(F.lit("#"), "row_id"))
     )
-    found = first_verified(verified).select(
+    found = (verified if one_each else first_verified(verified)).select(
         F.col("product_fingerprint").alias("_found"),
         F.col("row_id").alias("verified_row_id"),
         F.col("cn_code").alias("verified_cn_code"),

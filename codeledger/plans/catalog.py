@@ -19,7 +19,7 @@ from codeledger.plans.rounds import ask_round
 from codeledger.plans.rounds import classification_round as first_round, followup_round as second_round
 from codeledger.plans.stub import PROMPTS, flaky_model, stub_model
 from codeledger.session import SETTINGS, scratch_dir, ship_package
-from codeledger.sources import attachments, tables, versioned_ledger
+from codeledger.sources import attachments, keyed, tables, versioned_ledger
 from codeledger.sources.answers import read_answers
 from codeledger.streaming.intake import start_intake
 
@@ -27,8 +27,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 LIST_SEPARATOR = " | "
-# Days and months of the given tables hold too few rows for a partition of their own.
+# Days and months of the given tables hold too few rows for a partition of their own, and so do many buckets.
 GRAIN = "year"
+KEY_BUCKETS = 4
 
 
 def _flat(rows: DataFrame) -> DataFrame:
@@ -503,6 +504,35 @@ def stream_log(spark, sf_dir):
     return ledger.history_text(logged, "verified_by", "product_fingerprint")
 
 
+@_query("stream_repeats")
+def stream_repeats(spark, sf_dir):
+    """All inquiries arrive, then all of them again a year and a day later: each is logged once; confirmations are looked up by bucket."""
+    folder = _new_folder(spark, "repeats")
+    cases = spark_fixture(spark, sf_dir, "cases")
+    confirmed = keyed.confirmed_answers(spark, f"{folder}/index/confirmed", KEY_BUCKETS)
+    keyed.merge_confirmed(_verified(spark_fixture(spark, sf_dir, "history")), confirmed, "import")
+    for arriving in (cases, cases.withColumn("timestamp", F.expr("timestamp + INTERVAL 366 DAYS"))):
+        arriving.write.mode("append").parquet(f"{folder}/source")
+        start_intake(
+            spark, f"{folder}/source", f"{folder}/history", f"{folder}/verified", f"{folder}/checkpoint", grain=GRAIN, index_path=f"{folder}/index", buckets=KEY_BUCKETS
+        ).awaitTermination()
+    logged = tables.read_history(spark, f"{folder}/history")
+    return ledger.history_text(logged, "verified_by", "product_fingerprint")
+
+
+@_query("confirmed_by_fingerprint")
+def confirmed_by_fingerprint(spark, sf_dir):
+    """Three batches of confirmations, the last digits first, one of them twice: the earliest of each fingerprint."""
+    answers = _verified(spark_fixture(spark, sf_dir, "history"))
+    table = keyed.confirmed_answers(spark, f"{_new_folder(spark, 'confirmed')}/table", KEY_BUCKETS)
+    digit = F.right("row_id", F.lit(1))
+    dealt = answers.withColumn("dealt", F.when(digit.isin(*"012"), "one").when(digit.isin(*"3456"), "two").otherwise("three"))
+    for batch in ("three", "two", "one", "two"):
+        keyed.merge_confirmed(dealt.filter(F.col("dealt") == batch), table, batch)
+    table.compact()
+    return table.table.read().select("product_fingerprint", "row_id", "cn_code", "taric_code", "senior_user", "senior_timestamp", "original_description", "ingest_batch")
+
+
 # How did the inquiries end?
 
 

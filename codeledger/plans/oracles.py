@@ -630,6 +630,17 @@ FROM (SELECT *, {_RESULT} FROM rounds)""",
             "answers",
             **answered,
         ),
+        "stream_repeats": _over_lookup(
+            _history_text("row_id", f", verified_by, {_fingerprint('description')} AS product_fingerprint") + f" FROM looked_up WHERE {_ADMITTED} AND NOT {_NEEDS}"
+        ),
+        "confirmed_by_fingerprint": _with(
+            "history",
+            verified=f"SELECT *, {_fingerprint('description')} AS mark FROM history WHERE senior_verdict = 'CONFIRMED'",
+            first=_FIRST,
+            select="""SELECT mark AS product_fingerprint, row_id, cn_code, taric_code, senior_user, ts AS senior_timestamp, description AS original_description,
+  CASE WHEN right(row_id, 1) IN ('0', '1', '2') THEN 'one' WHEN right(row_id, 1) IN ('3', '4', '5', '6') THEN 'two' ELSE 'three' END AS ingest_batch
+FROM first""",
+        ),
         "verdict_summary": _with(
             "resp2", "resp3",
             **_join_steps(),

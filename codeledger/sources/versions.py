@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Files below this are put together, up to this.
 TARGET_BYTES = 128 * 1024 * 1024
+#: Lists of files that are read or written at a time.
+AT_ONCE = 16
 
 
 class Conflict(RuntimeError):
@@ -72,6 +75,14 @@ class _Folder:
         finally:
             source.close()
 
+    def read_all(self, names: list[str]) -> list:
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            return list(pool.map(self.read, names))
+
+    def write_all(self, values: dict[str, object]) -> None:
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            list(pool.map(self.write, values.keys(), values.values()))
+
     def publish(self, name: str, target: str) -> None:
         """Rename, unless the target is there."""
         kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
@@ -127,7 +138,7 @@ class VersionedTable:
     def files(self, version: int | None = None, periods: Callable[[str], bool] | None = None) -> list[File]:
         """The files of a version, of all periods or of those that ``periods`` takes (as text; the empty text is null)."""
         parts = self._parts(self.latest() if version is None else version)
-        listed = (self.folder.read(f"parts/{part}") for period, part in parts.items() if periods is None or periods(period))
+        listed = self.folder.read_all([f"parts/{part}" for period, part in parts.items() if periods is None or periods(period)])
         return [File(**{**entry, "batches": tuple(entry["batches"])}) for entries in listed for entry in entries]
 
     def read(self, version: int | None = None, periods: Callable[[str], bool] | None = None) -> DataFrame:
@@ -175,13 +186,17 @@ class VersionedTable:
     def _publish(self, added: list[File], removed: list[File], on: int, what: str) -> int:
         parts = dict(self._parts(on))
         gone = {file.path for file in removed}
-        for period in {file.period for file in [*added, *removed]}:
-            kept = [] if period not in parts else [entry for entry in self.folder.read(f"parts/{parts[period]}") if entry["path"] not in gone]
-            entries = kept + [asdict(file) for file in added if file.period == period]
+        entries: dict[str, list] = {period: [] for period in {file.period for file in [*added, *removed]}}
+        before = [period for period in entries if period in parts]
+        for period, listed in zip(before, self.folder.read_all([f"parts/{parts[period]}" for period in before]), strict=True):
+            entries[period] += [entry for entry in listed if entry["path"] not in gone]
+        for file in added:
+            entries[file.period].append(asdict(file))
+        for period, listed in entries.items():
             parts.pop(period, None)
-            if entries:
+            if listed:
                 parts[period] = f"{uuid.uuid4().hex}.json"
-                self.folder.write(f"parts/{parts[period]}", entries)
+        self.folder.write_all({f"parts/{parts[period]}": listed for period, listed in entries.items() if listed})
         waiting = f"versions/.{uuid.uuid4().hex}"
         self.folder.write(waiting, {"version": on + 1, "what": what, "parts": parts})
         self.folder.publish(waiting, f"versions/{on + 1:020d}.json")

@@ -11,11 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codeledger import schemas
 from codeledger.functions.payload import with_payloads
+from codeledger.functions.text import fingerprint
 from codeledger.operators.decisions import resolve_result
 from codeledger.operators.followup import needs_followup
 from codeledger.operators.ledger import history_record
 from codeledger.operators.requests import admitted
 from codeledger.operators.reviews import relevant_verified, verified_by, verified_lookup
+from codeledger.sources import keyed
 from codeledger.sources.tables import append_history, not_logged, read_history, read_verified
 
 
@@ -40,17 +42,17 @@ def one_of_each(cases: DataFrame) -> DataFrame:
     return first.unionByName(cases.filter("row_id IS NULL"))
 
 
-def ledger_rows(cases: DataFrame, verified: DataFrame | None = None) -> DataFrame:
+def ledger_rows(cases: DataFrame, verified: DataFrame | None = None, *, one_each: bool = False) -> DataFrame:
     """Ledger rows of admitted, answered inquiries.
 
     A first round that needs follow-up is not logged; its rerun is, however it ended, with
     the answers given and without a note on earlier confirmations. Rows of
     :func:`codeledger.plans.pipeline.followup_retry` say which round they are of. Without
-    ``verified`` no row has a note.
+    ``verified`` no row has a note; ``one_each`` is that of the lookup.
     """
     logged = resolve_result(with_payloads(loggable(cases)))
     if verified is not None:
-        logged = verified_lookup(logged, verified).withColumn("verified_by", F.when(~_rerun(cases), verified_by()))
+        logged = verified_lookup(logged, verified, one_each=one_each).withColumn("verified_by", F.when(~_rerun(cases), verified_by()))
     return history_record(logged, qa="qa" if "qa" in cases.columns else None)
 
 
@@ -64,6 +66,8 @@ def start_intake(
     name: str = "intake",
     max_files: int | None = None,
     grain: str = "day",
+    index_path: str | None = None,
+    buckets: int = keyed.BUCKETS,
 ) -> StreamingQuery:
     """Process what has arrived and stop; run again, or on a schedule, to go on.
 
@@ -72,6 +76,13 @@ def start_intake(
     is run again after a failure replaces what it wrote before: its rows are stored under its
     name and number. ``name`` must therefore stay with its checkpoint. An inquiry that another
     batch has logged, in the same round and period, is not logged again.
+
+    With ``index_path`` the folder has the index of logged requests (``logged``), which the stream keeps, and the
+    confirmed answers by fingerprint (``confirmed``), which it reads instead of ``verified_path``
+    (:mod:`codeledger.sources.keyed`). Of both a batch reads only the buckets of its own keys, and an inquiry that
+    was logged under any date is not logged again. The index is written after the ledger: a batch lost in
+    between is run again under its name, which replaces both. Tables that are new get ``buckets``. For a ledger
+    kept without an index see ``index_history``.
     """
 
     def log_batch(batch: DataFrame, batch_id: int) -> None:
@@ -80,12 +91,28 @@ def start_intake(
         # Used several times below, and a stream's batch is read whole each time.
         cases = one_of_each(arrived).persist()
         try:
+            if index_path:
+                log_by_index(session, cases, label)
+                return
             new = not_logged(cases, read_history(session, history_path), label, grain=grain)
             verified = relevant_verified(read_verified(session, verified_path), cases)
             append_history(ledger_rows(new, verified), history_path, label, grain=grain)
         finally:
             cases.unpersist()
 
+    def log_by_index(session: SparkSession, cases: DataFrame, label: str) -> None:
+        index = keyed.logged_requests(session, f"{index_path}/logged", buckets)
+        confirmed = keyed.confirmed_answers(session, f"{index_path}/confirmed", buckets)
+        new = keyed.not_logged(cases, index, label).persist()
+        try:
+            wanted = new.select(fingerprint("description").alias("product_fingerprint")).distinct().persist()
+            verified = keyed.relevant_confirmed(confirmed, wanted)
+            append_history(ledger_rows(new, verified, one_each=True), history_path, label, grain=grain)
+            wanted.unpersist()
+            keyed.index_logged(new, index, label)
+        finally:
+            new.unpersist()
+
     source = spark.readStream.schema(schemas.INTAKE)
     if max_files:
         source = source.option("maxFilesPerTrigger", max_files)

@@ -1,0 +1,163 @@
+from datetime import datetime
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from codeledger import schemas
+from codeledger.functions.text import fingerprint
+from codeledger.operators.reviews import first_verified, verified_lookup
+from codeledger.sources import keyed, tables
+from codeledger.sources.versions import Conflict, VersionedTable
+from codeledger.streaming.intake import start_intake
+
+from test_streaming import case, write
+
+
+def answers(spark, rows):
+    """Confirmations of (row, fingerprint, code, day)."""
+    shown = [(name, mark, code, "", "eve", None if day is None else datetime(2024, 1, day), "", mark) for name, mark, code, day in rows]
+    return spark.createDataFrame(shown, schemas.VERIFIED)
+
+
+def held(table):
+    rows = table.table.read().collect()
+    return sorted((row.product_fingerprint, row.row_id, row.cn_code) for row in rows)
+
+
+def test_the_earliest_confirmation_stays(spark, tmp_path):
+    table = keyed.confirmed_answers(spark, str(tmp_path / "c"), 4)
+    assert keyed.merge_confirmed(answers(spark, [("r2", "pump", "02", 2), ("r5", "pump", "05", 5), ("r1", "", "01", 1), ("r9", None, "09", 1)]), table, "a") == 1
+    assert held(table) == [("pump", "r2", "02")]
+    # Later ones and repeats change nothing, not even the version.
+    assert keyed.merge_confirmed(answers(spark, [("r3", "pump", "03", 3), ("r2", "pump", "02", 2)]), table, "b") == 1
+    # An earlier one takes the place, a new fingerprint is added.
+    assert keyed.merge_confirmed(answers(spark, [("r0", "pump", "00", 1), ("r7", "valve", "07", 7)]), table, "c") == 2
+    assert held(table) == [("pump", "r0", "00"), ("valve", "r7", "07")]
+    assert keyed.merge_confirmed(answers(spark, []), table, "d") == 2
+    # The number of buckets is the table's, whatever is asked for later.
+    assert keyed.confirmed_answers(spark, str(tmp_path / "c"), 99).buckets == 4
+
+
+def test_only_buckets_with_an_earlier_row_are_written_anew(spark, tmp_path):
+    table = keyed.confirmed_answers(spark, str(tmp_path / "c"), 8)
+    keyed.merge_confirmed(answers(spark, [(f"r{k}", f"mark {k}", "01", 9) for k in range(64)]), table, "a")
+    before = {file.path for file in table.table.files()}
+    keyed.merge_confirmed(answers(spark, [("late", "mark 5", "02", 20), ("new", "mark 500", "02", 20)]), table, "b")
+    assert before < {file.path for file in table.table.files()}
+    keyed.merge_confirmed(answers(spark, [("early", "mark 5", "02", 1)]), table, "c")
+    after = table.table.files()
+    assert len(before & {file.path for file in after}) == len(before) - 1
+    assert sum(file.rows for file in after) == 65 and ("mark 5", "early", "02") in held(table)
+
+
+confirmation = st.tuples(st.sampled_from(["r1", "r2", "r3"]), st.sampled_from(["pump", "valve", "tap", ""]), st.sampled_from(["01", "02"]), st.one_of(st.none(), st.integers(1, 4)))
+
+
+@settings(max_examples=6, deadline=None)
+@given(batches=st.lists(st.lists(confirmation, max_size=6), min_size=1, max_size=3))
+def test_any_order_of_batches_gives_the_earliest(spark, tmp_path_factory, batches):
+    table = keyed.confirmed_answers(spark, str(tmp_path_factory.mktemp("c") / "t"), 2)
+    for k, rows in enumerate(batches):
+        keyed.merge_confirmed(answers(spark, rows), table, f"b{k}")
+    best = {}
+    for name, mark, code, day in (row for rows in batches for row in rows if row[1]):
+        best[mark] = min(best.get(mark, ((9, 9), "z", "z")), ((0, 0) if day is None else (1, day), name, code))
+    assert held(table) == sorted((mark, name, code) for mark, (_, name, code) in best.items())
+
+
+def test_a_merge_overtaken_is_done_again(spark, tmp_path, monkeypatch):
+    table = keyed.confirmed_answers(spark, str(tmp_path / "c"), 2)
+    publish, overtaken = VersionedTable._publish, []
+
+    def late(self, *args):
+        if not overtaken:
+            overtaken.append(True)
+            keyed.merge_confirmed(answers(spark, [("r1", "pump", "01", 1)]), table, "other")
+        return publish(self, *args)
+
+    monkeypatch.setattr(VersionedTable, "_publish", late)
+    keyed.merge_confirmed(answers(spark, [("r2", "pump", "02", 2), ("r3", "tap", "03", 3)]), table, "mine")
+    assert held(table) == [("pump", "r1", "01"), ("tap", "r3", "03")]
+    monkeypatch.setattr(VersionedTable, "_publish", lambda *_: (_ for _ in ()).throw(Conflict("always")))
+    with pytest.raises(Conflict):
+        table.merge(table.placed(answers(spark, [("r4", "new", "04", 4)])), ("senior_timestamp",), tries=2)
+
+
+def test_lookup_does_not_shuffle_the_confirmed_answers(spark, tmp_path):
+    table = keyed.confirmed_answers(spark, str(tmp_path / "c"), 16)
+    stored = answers(spark, [(f"r{k}", f"mark {k}", f"{k:02}", 1) for k in range(60)])
+    keyed.merge_confirmed(stored.withColumn("product_fingerprint", fingerprint("original_description")), table, "a")
+    asked = spark.createDataFrame([("q1", "mark 7"), ("q2", "other"), ("q3", None)], "row_id string, description string")
+    wanted = asked.select(fingerprint("description").alias("product_fingerprint")).distinct().persist()
+    assert 0 < len(table.files_for(wanted)) <= 3 < len(table.table.files())
+    verified = keyed.relevant_confirmed(table, wanted)
+    found = verified_lookup(asked, verified, one_each=True)
+    scan = found._jdf.queryExecution().executedPlan().toString().split("FileScan parquet")
+    assert len(scan) == 2
+    above = verified._jdf.queryExecution().executedPlan().toString().split("FileScan parquet")[0]
+    assert "BroadcastHashJoin" in above and "Exchange hashpartitioning" not in above and "Sort" not in above
+    usual = verified_lookup(asked, first_verified(table.table.read()))
+    shown = lambda rows: sorted((row.row_id, row.verified_row_id, row.verified_cn_code) for row in rows.collect())
+    assert shown(found) == shown(usual) and ("q1", "r7", "07") in shown(found)
+    wanted.unpersist()
+
+
+def run(spark, folder, **options):
+    paths = [str(folder / name) for name in ("source", "history", "verified", "checkpoint")]
+    start_intake(spark, *paths, index_path=str(folder / "index"), **options).awaitTermination()
+    return tables.read_history(spark, paths[1])
+
+
+def redated(row, day):
+    return (row[0], datetime(2025, 3, day), *row[2:])
+
+
+def test_a_request_is_logged_once_whatever_its_date(spark, tmp_path):
+    source, asked = tmp_path / "source", [("Use?", "water")]
+    write(spark, source, case("a", "pump"), case("b", "valve"), case("c", "tap", code=""), (None, *case("", "x")[1:]))
+    run(spark, tmp_path)
+    again = [(*redated(case("a", "pump"), 1), None, None), (*redated(case("b", "valve"), 2), 1, None), (*redated(case("c", "tap"), 3), 2, asked), (*redated(case("d", "new"), 3), 1, None), (None, *case("", "x")[1:], 1, None)]
+    write(spark, source, *again, schema=schemas.INTAKE)
+    logged = run(spark, tmp_path).collect()
+    shown = sorted((row.row_id or "", row.round, row.timestamp.year) for row in logged)
+    assert shown == [("", 1, 2024), ("", 1, 2024), ("a", 1, 2024), ("b", 1, 2024), ("c", 2, 2025), ("d", 1, 2025)]
+
+
+def test_a_replayed_batch_has_its_rows_and_entries_once(spark, tmp_path):
+    write(spark, tmp_path / "source", case("a", "pump"), case("b", "valve"))
+    run(spark, tmp_path)
+    for commit in (tmp_path / "checkpoint" / "commits").iterdir():
+        commit.unlink()
+    assert run(spark, tmp_path).count() == 2
+    assert keyed.logged_requests(spark, str(tmp_path / "index/logged")).table.read().count() == 2
+
+
+def test_confirmed_by_index_in_the_stream(spark, tmp_path):
+    confirmed = keyed.confirmed_answers(spark, str(tmp_path / "index/confirmed"))
+    submitted = spark.createDataFrame(
+        [("v", "CONFIRMED", "eve", "", datetime(2024, 1, 1), 1, "01020304", "", "Pump"), ("w", "REJECTED", "eve", "", datetime(2024, 1, 1), 2, "09", "", "valve")],
+        "row_id string, verdict string, senior_user string, comment string, reviewed_at timestamp_ntz, seq long, cn_code string, taric_code string, description string",
+    )
+    keyed.submit_reviews(submitted, str(tmp_path / "reviews"), str(tmp_path / "verified"), confirmed, "r0")
+    write(spark, tmp_path / "source", case("a", "pump"), case("b", "valve"))
+    assert {row.row_id: row.verified_by for row in run(spark, tmp_path).collect()} == {"a": "eve on 2024-01-01", "b": None}
+    assert tables.read_reviews(spark, str(tmp_path / "reviews")).count() == 2
+    assert tables.read_verified(spark, str(tmp_path / "verified")).count() == 1
+
+
+def test_an_old_ledger_is_indexed(spark, tmp_path):
+    index = keyed.logged_requests(spark, str(tmp_path / "logged"), 16)
+    history = spark.range(200).select(F.concat(F.lit("r"), "id").alias("row_id"), F.lit(None).cast("int").alias("round"), F.lit("old").alias("ingest_batch"))
+    keyed.index_history(history.unionByName(history).unionByName(history.withColumn("row_id", F.lit(None).cast("string"))), index)
+    assert index.table.read().count() == 200
+    cases = spark.createDataFrame([("r7", 1), ("r7", 2), ("new", 1), (None, 1), (None, 1)], "row_id string, round int").persist()
+    # Of sixteen buckets those of three requests.
+    assert len(index.files_for(cases.filter("row_id IS NOT NULL"))) <= 3 < len(index.table.files())
+    left = lambda batch: sorted((row.row_id or "", row.round) for row in keyed.not_logged(cases, index, batch).collect())
+    assert left("b") == [("", 1), ("", 1), ("new", 1), ("r7", 2)]
+    assert left("old") == [("", 1), ("", 1), ("new", 1), ("r7", 1), ("r7", 2)]
+    index.compact()
+    assert left("b") == [("", 1), ("", 1), ("new", 1), ("r7", 2)]
+    cases.unpersist()
