@@ -22,28 +22,13 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
-def _url_templates(depth: int = 3, variety: int = 20, support: float = 0.02, z: float = 2.0, smoothing: float = 10.0, purity: float = 0.8) -> str:
-    levels, rows = [], "counts0"
-    for level in range(depth + 1):
-        levels.append(f"""
-b{level} AS (SELECT template, parts[{level + 1}] AS part, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM {rows} WHERE len(parts) > {level} GROUP BY ALL),
-t{level} AS (SELECT template, count(*) AS kinds, sum(n) AS all_n, CAST(sum(labelled) AS DOUBLE) AS al, CAST(sum(bad) AS DOUBLE) AS ab FROM b{level} GROUP BY ALL),
-w{level} AS (
-  SELECT template, part, CASE WHEN part = '**' THEN '**' ELSE '*' END AS wide
-  FROM (SELECT *, CAST(labelled AS DOUBLE) AS h, al - labelled AS r, bad * (al - labelled) - (ab - bad) * labelled AS apart FROM b{level} JOIN t{level} USING (template))
-  WHERE part IN ('*', '**') OR (kinds > 1 AND ((kinds > {variety} AND n < {support} * all_n) OR h = 0 OR (r > 0 AND apart * apart * al <= {z * z} * h * r * ab * (al - ab))))
-),
-counts{level + 1} AS (
-  SELECT host, parts, n, labelled, bad, CASE WHEN len(parts) <= {level} THEN c.template ELSE c.template || '/' || coalesce(wide, c.parts[{level + 1}]) END AS template
-  FROM {rows} c LEFT JOIN w{level} w ON c.template = w.template AND c.parts[{level + 1}] = w.part
-)""")
-        rows = f"counts{level + 1}"
+def _url_templates(variety: int = 20, support: float = 0.02, z: float = 2.0, smoothing: float = 10.0, purity: float = 0.8, confidence: float = 1.645) -> str:
     rule = block = ""
     for one in sorted(RULES, key=lambda one: (-len(one.text), one.text)):
         fits = f"(host = '{one.host}' OR ends_with(host, '.{one.host}')) AND starts_with(path, '{one.path}')"
         rule, block = rule + f" WHEN {fits} THEN '{one.text}'", block + f" WHEN {fits} THEN {str(one.block).lower()}"
     return f"""
-WITH urls AS (
+WITH RECURSIVE urls AS (
   SELECT page_id,
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
@@ -53,18 +38,34 @@ WITH urls AS (
 ), marked AS (
   SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id
 ), shaped AS (
-  SELECT page_id, host, path, bad, list_concat(
-    list_transform(raw[1:{depth}], lambda s: CASE WHEN regexp_matches(regexp_replace(s, '\\.[A-Za-z]{{1,5}}$', ''), '{VARIABLE}') THEN '*' ELSE regexp_replace(s, '\\.[A-Za-z]{{1,5}}$', '') END),
-    CASE WHEN len(raw) > {depth} THEN ['**'] ELSE CAST([] AS VARCHAR[]) END) AS parts
+  SELECT page_id, host, path, bad, list_transform(raw, lambda s: CASE WHEN regexp_matches(regexp_replace(s, '\\.[A-Za-z]{{1,5}}$', ''), '{VARIABLE}') THEN '*' ELSE regexp_replace(s, '\\.[A-Za-z]{{1,5}}$', '') END) AS parts
   FROM parted LEFT JOIN marked USING (doc_id)
-), counts0 AS (
-  SELECT host, parts, count(*) AS n, count(bad) AS labelled, count(*) FILTER (bad) AS bad, host AS template FROM shaped GROUP BY host, parts
-),{",".join(levels)},
-share AS (SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0.0) AS share FROM {rows}),
-judged AS (SELECT template, (sum(bad) + {smoothing} * any_value(share)) / (sum(labelled) + {smoothing}) AS bad_share FROM {rows}, share GROUP BY template)
+), counts AS (
+  SELECT host, parts, count(*) AS n, count(bad) AS labelled, count(*) FILTER (bad) AS bad FROM shaped GROUP BY host, parts
+), walk AS (
+  SELECT host, parts, n, labelled, bad, host AS template, 0 AS level FROM counts
+  UNION ALL
+  SELECT host, parts, n, labelled, bad, template || '/' || CASE WHEN part = '*' OR (kinds > 1 AND (
+    (kinds > {variety} AND part_n < {support} * all_n) OR here = 0
+    OR (al > here AND (b * (al - here) - (ab - b) * here) * (b * (al - here) - (ab - b) * here) * al <= {z * z} * here * (al - here) * ab * (al - ab)))) THEN '*' ELSE part END, level + 1
+  FROM (
+    SELECT *, sum(n) OVER same AS part_n, CAST(sum(labelled) OVER same AS DOUBLE) AS here, CAST(sum(bad) OVER same AS DOUBLE) AS b,
+      sum(n) OVER node AS all_n, CAST(sum(labelled) OVER node AS DOUBLE) AS al, CAST(sum(bad) OVER node AS DOUBLE) AS ab, count(DISTINCT part) OVER node AS kinds
+    FROM (SELECT *, parts[level + 1] AS part FROM walk WHERE len(parts) > level)
+    WINDOW same AS (PARTITION BY template, part), node AS (PARTITION BY template)
+  )
+), tree AS (SELECT * FROM walk WHERE level = len(parts)),
+share AS (SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0.0) AS share FROM tree),
+sums AS (SELECT template, sum(labelled) AS labelled, sum(bad) AS bad FROM tree GROUP BY template),
+judged AS (
+  SELECT template, (bad + {smoothing} * share) / (labelled + {smoothing}) AS bad_share, CASE WHEN labelled > 0 THEN
+    (bad / labelled + {confidence * confidence} / labelled / 2 - {confidence} * sqrt(bad / labelled * (1 - bad / labelled) / labelled + {confidence * confidence} / labelled / (4 * labelled))) / (1 + {confidence * confidence} / labelled) >= {purity}
+    ELSE false END AS sure
+  FROM sums, share
+)
 SELECT page_id, host, path, CASE{rule} END AS rule,
-  CASE WHEN coalesce(CASE{block} END, bad_share >= {purity}) THEN 'block' ELSE 'allow' END AS verdict, template, bad_share
-FROM shaped JOIN (SELECT host, parts, template, bad_share FROM {rows} JOIN judged USING (template)) USING (host, parts)
+  CASE WHEN coalesce(CASE{block} END, sure OR bad_share >= {purity}) THEN 'block' ELSE 'allow' END AS verdict, template, bad_share
+FROM shaped JOIN (SELECT host, parts, template, bad_share, sure FROM tree JOIN judged USING (template)) USING (host, parts)
 """
 
 

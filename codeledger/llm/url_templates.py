@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from codeledger.llm.common import stored
 
 ANY = "*"
+#: Comes after every segment (the last code point).
+LAST = "\U0010ffff"
 #: Segments that vary: numbers, and hexadecimal names with a digit.
 VARIABLE = r"^([0-9]+|[0-9A-Fa-f-]*[0-9][0-9A-Fa-f-]{7,}|[0-9A-Fa-f-]{7,}[0-9][0-9A-Fa-f-]*)$"
 
@@ -80,29 +81,43 @@ def template_tree(counts: DataFrame, variety: int, support: float, z: float) ->
     (fewer than ``support`` of the node's pages, where the node has more than ``variety`` segments),
     or if its labelled pages are bad about as often as those of the node's other segments: the
     two-proportion statistic is at most ``z``, or it has no labelled page. Branches under the same
-    ``*`` are one from there on. The walk ends with the longest path; a path that is the only one below its
-    node takes all its segments at once, so one long url makes no long walk. Adds ``template``. Counts are summed before they are dealt out, so
-    a large host is no large group; only its different templates are rows here.
+    ``*`` are one from there on. Segments that all longer paths below a node share are taken at once, whatever paths
+    end on the way, so long urls make no long walk: a round is a level at which templates part. Adds ``template``. Counts are summed before they
+    are dealt out, so a large host is no large group; only its different templates are rows here.
     """
-    rows = stored(counts.withColumns({"template": F.col("host"), "ends": F.size("parts")}), "url-tree")
-    for level in count():
-        if rows.filter(F.col("ends") > level).isEmpty():
-            return rows.drop("ends")
-        rows = rows.withColumn("part", F.when(F.col("ends") > level, F.get("parts", F.lit(level))))
-        branches = rows.filter("part IS NOT NULL").groupBy("template", "part").agg(F.count("*").alias("paths"), *(F.sum(name).alias(name) for name in ("n", "labelled", "bad")))
-        nodes = branches.groupBy("template").agg(F.count("*").alias("kinds"), F.sum("paths").alias("all_paths"), *(F.sum(name).alias(f"all_{name}") for name in ("n", "labelled", "bad")))
+    # A template has a segment for each that was taken, so rows of one template have taken as many.
+    rows = stored(counts.withColumns({"template": F.col("host"), "rest": F.col("parts")}), "url-tree")
+    while not rows.filter(F.size("rest") > 0).isEmpty():
+        part = F.when(F.size("rest") > 0, F.get("rest", F.lit(0)))
+        rows = rows.withColumn("part", part)
+        open_ = rows.filter("part IS NOT NULL")
+        branches = open_.groupBy("template", "part").agg(*(F.sum(name).alias(name) for name in ("n", "labelled", "bad")))
+        nodes = branches.groupBy("template").agg(F.count("*").alias("kinds"), *(F.sum(name).alias(f"all_{name}") for name in ("n", "labelled", "bad")))
         here, there, all_ = F.col("labelled").cast("double"), (F.col("all_labelled") - F.col("labelled")).cast("double"), F.col("all_labelled").cast("double")
         apart = F.col("bad") * there - (F.col("all_bad") - F.col("bad")) * here
         similar = (here == 0) | ((there > 0) & (apart * apart * all_ <= F.lit(z * z) * here * there * F.col("all_bad") * (all_ - F.col("all_bad"))))
         rare = (F.col("kinds") > variety) & (F.col("n") < F.lit(support) * F.col("all_n"))
         wide = branches.join(nodes, "template").filter((F.col("part") == ANY) | ((F.col("kinds") > 1) & (rare | similar)))
         named = wide.select("template", "part", F.lit(ANY).alias("as"))
-        alone = nodes.filter("all_paths = 1").select("template", F.lit(True).alias("alone"))
-        rows = rows.join(named, ["template", "part"], "left").join(alone, "template", "left")
-        whole = F.concat_ws("/", F.col("template"), F.slice("parts", level + 1, F.greatest(F.size("parts"), F.lit(1))))
-        name = F.when(F.col("part").isNull(), F.col("template")).when(F.col("alone"), whole).otherwise(F.concat("template", F.lit("/"), F.coalesce("as", "part")))
-        ends = F.when(F.col("part").isNotNull() & F.col("alone"), F.lit(level)).otherwise(F.col("ends"))
-        rows = stored(rows.withColumns({"template": name, "ends": ends}).drop("as", "part", "alone"), "url-tree")  # each level reads the one above several times
+        rows = rows.join(named, ["template", "part"], "left").join(_shared(open_), "template", "left")
+        taken = F.greatest(F.least(F.col("shared"), F.size("rest")), F.lit(1))
+        name = F.when(F.col("part").isNull(), F.col("template")).when(F.col("shared") > 0, F.concat_ws("/", F.col("template"), F.slice("rest", F.lit(1), taken))).otherwise(F.concat("template", F.lit("/"), F.coalesce("as", "part")))
+        rest = F.when(F.col("part").isNull(), F.col("rest")).otherwise(F.slice("rest", taken + 1, F.greatest(F.size("rest"), F.lit(1))))
+        rows = stored(rows.withColumns({"template": name, "rest": rest}).drop("as", "part", "shared"), "url-tree")  # each round reads the one above several times
+    return rows.drop("rest")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """How many segments the rests below a template share until two of them differ; ends before that do no harm.
+
+    In the order of lists the greatest rest, and the least one where an end comes after every segment, are the first
+    to differ of all; where none do, both are the longest.
+    """
+    ended = F.concat("rest", F.array(F.lit(LAST)))
+    ends = rows.groupBy("template").agg(F.min(ended).alias("least"), F.max("rest").alias("greatest"))
+    least = F.slice("least", F.lit(1), F.size("least") - 1)
+    differs = F.array_position(F.zip_with(least, "greatest", lambda a, b: a.eqNullSafe(b)), False)
+    return ends.select("template", F.when(differs > 0, differs - 1).otherwise(F.size("greatest")).cast("int").alias("shared"))
 
 
 def judge(

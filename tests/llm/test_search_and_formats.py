@@ -1,5 +1,6 @@
 """Top-k, URL templates, preference pairs and the pipeline."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ import __spark_entry__ as contract
 import corpus_pipeline
 from codeledger.llm import fertility, language, minhash, preference, topk, url_templates
 from codeledger.llm.queries import PIECES, QUERIES
-from codeledger.llm.sql import ORACLES
+from codeledger.llm.sql import ORACLES, URL_TEMPLATES
 
 
 @pytest.mark.parametrize("key", ORACLES)
@@ -158,3 +159,38 @@ def test_url_templates_of_deep_paths_and_few_labels(spark):
     assert {(got[k].template, got[k].verdict) for k in range(12)} == {("h.io/en/*/*/spam-shop/*", "block")}
     assert {(got[100 + k].template, got[100 + k].verdict) for k in range(12)} == {("h.io/en/*/*/news/*", "allow")}
     assert got[200].template == f"long.io/{deep}" and len(got) == len(rows)
+
+
+def test_deep_paths_against_the_checking_sql(spark, tmp_path):
+    """Paths of up to nine segments that part and end at every level, bad sections deep down, labels for some, hosts and paths missing."""
+    made, urls = np.random.default_rng(5), []
+    for k in range(1500):
+        depth = int(made.integers(1, 9))
+        parts = ["news", *(str(made.choice(["a", "b", "spam", f"p{int(made.integers(60))}"], p=[0.4, 0.3, 0.2, 0.1])) for _ in range(depth))]
+        urls.append(f"http://{['one.b', 'two.b', 'x.example.com'][k % 3]}/{'/'.join(parts)}/{k}.html")
+    # One section, bad throughout, six segments down; paths that end inside of others; none at all.
+    urls += [f"http://three.b/w/x/y/z/{'bad' if k % 2 else 'good'}/more/{k + 1500}" for k in range(60)] + ["http://four.b" + "/s" * k for k in range(40)] + ["http://four.b", "http://five.b//", "", "none", None, None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("")).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    labels = [(k, int(not ("spam" in url if k < 1500 else "/bad/" in url)), 0) for k, url in enumerate(urls[:1560]) if k % 3 or k >= 1500]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    connection = duckdb.connect()
+    for name in ("pages", "labels"):
+        connection.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    checked = connection.execute(URL_TEMPLATES)
+    names = [column[0] for column in checked.description]
+    found = QUERIES["op7_url_templates"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(checked.fetchall(), key=repr) and len(found) == len(urls)
+    # Each side of the deep section is judged for itself.
+    assert {(row.path.split("/")[5], row.verdict) for row in found if row.host == "three.b"} == {("bad", "block"), ("good", "allow")}
+
+
+def test_long_shared_paths_make_no_long_walk(spark, monkeypatch):
+    walked = []
+    keep = url_templates.stored
+    monkeypatch.setattr(url_templates, "stored", lambda *given: walked.append(1) or keep(*given))
+    shared = "http://a.b" + "/s" * 1000
+    urls = [f"{shared}/one/x", f"{shared}/two/y", *("http://trap.b" + "/loop" * k for k in range(50, 1001, 50))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {row.page_id: row.template for row in url_templates.judge(pages, spark.createDataFrame([], "page_id long, bad boolean")).collect()}
+    assert rows[0] == rows[1] == "a.b" + "/s" * 1000 + "/*/*" and rows[21] == "trap.b" + "/loop" * 1000
+    assert len(walked) <= 5
