@@ -7,6 +7,7 @@ from collections import Counter
 from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -121,28 +122,51 @@ def test_folded_weights_are_the_kernel_regression():
 
 @pytest.fixture(scope="module")
 def library():
-    """The library's own search over the same pieces, the model's type set to unigram."""
+    """The library's own search over the same pieces, the model's type set to unigram and its scores to the operator's."""
     proto = sentencepiece_model_pb2.ModelProto()
     with open(PIECES, "rb") as file:
         proto.ParseFromString(file.read())
     proto.trainer_spec.model_type = 1
+    model = unigram.unigram(PIECES)
+    for k, score in zip(model.ids, model.scores, strict=True):
+        proto.pieces[k].score = score
     return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
 
-def test_no_cut_of_the_library_is_better(library, documents):
-    """Word by word, as over long texts the library's sums of short floats lose the small scores."""
+def test_cuts_are_those_of_the_library(library, documents):
+    """Word by word, as over long texts the library's sums of short floats lose the small differences."""
+    model = unigram.unigram(PIECES)
+    words = sorted({word for row in documents.collect() for word in row.text.split()}) + ["日本語", "☃😀", "naïve", "x\n", "a" * 70, "international"]
+    ids, lengths, scores, byte_counts = model.encode_all(pa.array(words))
+    cuts = [found.tolist() for found in np.split(ids, np.cumsum(lengths)[:-1])]
+    assert library.decode(cuts) == words
+    for word, found, other, score, bytes_ in zip(words, cuts, library.encode(words), scores, byte_counts, strict=True):
+        if found != other:  # only where the cuts are worth the same
+            assert not bytes_ and score == pytest.approx(sum(model.scores[model.ids.index(k)] for k in other), abs=1e-9), word
+    assert model.encode("international")[0].tolist() == [library.piece_to_id("▁international")]
+
+
+def test_scores_are_log_probabilities():
     model = unigram.unigram(PIECES)
-    same = 0
-    words = {word for row in documents.collect() for word in row.text.split()}
-    for word in words:
-        ids, score, bytes_ = model.encode(word)
-        other = library.encode(word)
-        same += ids.tolist() == other
-        assert bytes_ or score >= sum(map(library.get_score, other)), word
-        assert library.decode(ids.tolist()) == word
-    assert same > 0.5 * len(words)
-    for word in ("日本語", "☃😀", "naïve", "x\n"):
-        assert model.encode(word)[0].tolist() == library.encode(word), word
+    assert np.exp(model.scores).sum() == pytest.approx(1.0)
+    assert unigram.log_scores([-1.5, -0.25]) == [-1.5, -0.25] and unigram.log_scores([]) == []
+    assert np.diff(unigram.log_scores([0.0, -1.0, -2.0])) == pytest.approx(-np.log([2, 1.5]))
+
+
+@given(st.lists(st.text("abcé▁ \0\n☃日", max_size=90) | st.text("ab ", min_size=60, max_size=150), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_all_at_once_is_one_by_one(texts):
+    """Many texts at once have the ids and figures of the plain search over their parts, long parts included."""
+    names = ["▁", "▁▁", "a", "b", "ab", "ba", "▁a", "▁ab", "aba", "é", "▁日", "bab"]
+    model = unigram.Unigram([(name, -float(k + 1) / 7) for k, name in enumerate(names)], list(range(256)), list(range(256, 256 + len(names))))
+    ids, lengths, scores, bytes_ = model.encode_all(pa.array(texts, pa.string()))
+    ends = np.cumsum(lengths)
+    for k, text in enumerate(texts):
+        parts = re.findall("▁+[^▁]*", "▁" + text.replace(" ", "▁")) if text else []
+        plain = [model.viterbi(part) for part in parts]
+        assert ids[ends[k] - lengths[k] : ends[k]].tolist() == [one for found, _, _ in plain for one in found]
+        assert scores[k] == pytest.approx(sum(score for _, score, _ in plain)) and bytes_[k] == sum(n for _, _, n in plain)
+    assert model.decode_all(ids, lengths) == [text.replace("▁", " ") for text in texts]
 
 
 def best_cut(pieces, unknown, text):
