@@ -42,11 +42,56 @@ def expect_judged(rows, texts):
             assert row.chars_per_token == pytest.approx(counts[1] / len(ids))
             assert row.byte_share == pytest.approx(sum(map(model.is_byte, ids)) / len(ids))
             assert row.token_entropy == pytest.approx(-(part * np.log2(part)).sum() / np.log2(len(ids)) if len(ids) > 1 else 1.0)
-        assert row.kept == (not row.base_failed and fertility.verdict(row.script, row.chars_per_token, row.byte_share, min(1, row.token_entropy), fertility.BANDS) is None)
+        own = None if row.base_failed else fertility.verdict(row.script, row.chars_per_token, row.byte_share, min(1, row.token_entropy), fertility.BANDS)
+        assert row.reason in (("base",) if row.base_failed else (own,) if own else (None, "language")) and row.kept == (row.reason is None)
 
 
-def test_quality(spark, sf_dir, documents):
-    expect_judged(QUERIES["op4_quality_rules"](spark, sf_dir).collect(), {row.doc_id: row.text for row in documents.collect()})
+def plain_evidence(rows, texts, languages):
+    """Of each text that scripts' bands keep, how far it lies from its like: medians and quartiles by sorting, copies counted once."""
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    groups, copies = {}, {}
+    for row in rows:
+        if row.reason in (None, "language"):
+            ids = np.array(model.encode(" ".join(WORD.findall(texts[row.doc_id]))))
+            key = groups[row.doc_id] = (languages[row.doc_id], row.script, int(np.log2(row.n_tokens)))
+            copies.setdefault(key, {}).setdefault(fertility.vote(ids), []).append((row.n_tokens, row.chars_per_token, row.token_entropy))
+    out = {}
+    for row in rows:
+        if row.doc_id not in groups or len(copies[groups[row.doc_id]]) < fertility.MEMBERS:
+            out[row.doc_id] = None
+            continue
+        like, total = [min(same) for same in copies[groups[row.doc_id]].values()], 0.0
+        for at, value in ((1, row.chars_per_token), (2, row.token_entropy)):
+            ranked = sorted(one[at] for one in like)
+            low, middle, high = (ranked[max(0, int(np.ceil(share * len(ranked))) - 1)] for share in (0.25, 0.5, 0.75))
+            total += (value - middle) / max((high - low) / 1.349, 0.01 * middle)
+        out[row.doc_id] = total / np.sqrt(2)
+    return out
+
+
+@pytest.mark.parametrize("members", [None, 20])
+def test_quality(spark, sf_dir, documents, monkeypatch, members):
+    if members:
+        monkeypatch.setattr(fertility, "MEMBERS", members)
+    truth = documents.collect()
+    rows, texts = QUERIES["op4_quality_rules"](spark, sf_dir).collect(), {row.doc_id: row.text for row in truth}
+    expect_judged(rows, texts)
+    expected = plain_evidence(rows, texts, {row.doc_id: row.lang for row in truth})
+    for row in rows:
+        if row.reason in (None, "language"):
+            assert row.evidence == (None if expected[row.doc_id] is None else pytest.approx(expected[row.doc_id]))
+            assert row.kept == (row.evidence is None or row.evidence >= -2.5)
+    assert members is None or any(row.reason == "language" for row in rows)
+
+
+def test_copies_have_one_vote(spark, documents):
+    """Thousands of near copies of one text move no other text's verdict."""
+    prose = [row for row in documents.filter("lang = 'en'").collect() if 60 <= len(row.text.split()) <= 400]
+    rows = [(row.doc_id, row.text, "en") for row in prose]
+    copies = [(10_000 + k, prose[0].text + f" {k}", "en") for k in range(3 * len(rows))]
+    judged = lambda some: {row.doc_id: row.reason for row in fertility.judge(spark.createDataFrame(some, "doc_id long, text string, lang string").repartition(5), PIECES).collect()}
+    alone, among = judged(rows), judged(rows + copies)
+    assert np.mean([among[k] == alone[k] for k in alone]) > 0.97
 
 
 def test_quality_of_odd_rows(odd_documents, no_documents):
@@ -277,6 +322,18 @@ def test_production_bands(spark):
     assert all(found[100 + k].reason not in (None, "base") for k in range(len(bad)))
 
 
+def test_prose_of_marked_latin_stays(spark):
+    """Languages that write many letters beyond a-z have few characters per token; their prose is none the worse."""
+    prose = {
+        "az": "Bütün insanlar ləyaqət və hüquqlarına görə azad və bərabər doğulurlar. Onların şüurları və vicdanları var və bir-birlərinə münasibətdə qardaşlıq ruhunda davranmalıdırlar.",
+        "yo": "Gbogbo ènìyàn ni a bí ní òmìnira; iyì àti ẹ̀tọ́ kọ̀ọ̀kan sì dọ́gba. Wọ́n ní ẹ̀bùn làákàyè àti ti ẹ̀rí-ọkàn, ó sì yẹ kí wọn ó máa hùwà sí ara wọn gẹ́gẹ́ bí ọmọ ìyá.",
+        "nv": "Bílaʼashdaʼii tʼáá ałtsoh yinídlį́įgo bidizhchį dóó aheełtʼeego ílį́į́go bee baahóchįʼ. Eí hákʼeʼáálíní dahólǫ́ǫgo dóó bee háʼáhwiinítʼíinii hólǫ́ǫgo ałʼąą ádaatʼé.",
+    }
+    rows = [(k, " ".join(np.random.default_rng(k).permutation(text.split() * 5).tolist())) for k, text in enumerate(prose.values())]
+    found = fertility.judge(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()
+    assert [(row.script, row.base_failed, row.reason) for row in found if row.reason not in (None, "base")] == [] and not all(row.base_failed for row in found)
+
+
 def test_class_names_that_mark(spark):
     """What is no article by any part of its name goes, on a page without others of its host too; states and layouts stay."""
     names = ["share-buttons", "ad-slot", "social-links", "newsletter-form", "comment-form", "comment-body", "disqus_thread", "cookie-text"]
