@@ -430,7 +430,10 @@ def answer_store(spark, sf_dir):
     ship_package(spark)
     folder = _new_folder(spark, "store")
     once = requests.admitted(spark_fixture(spark, sf_dir, "inquiries"))
-    inquiries = once.unionByName(once.filter("has_image").withColumn("row_id", F.concat("row_id", F.lit("-again"))))
+    twice = once.unionByName(once.filter("has_image").withColumn("row_id", F.concat("row_id", F.lit("-again"))))
+    # As they would be: a stored table that both days read.
+    twice.write.parquet(f"{folder}/inquiries")
+    inquiries = spark.read.schema(twice.schema).parquet(f"{folder}/inquiries")
     first = three_steps(inquiries, PROMPTS, Calls(flaky_model, waves=2), folder)
     failed = first.select("row_id", F.col("failed").alias("failed_first"))
     # What failed is read before the second day's calls; a table of the run keeps it.

@@ -109,37 +109,46 @@ def _with_failed(rows: DataFrame) -> DataFrame:
     return rows if FAILED in rows.columns else rows.withColumn(FAILED, F.lit(None).cast("string"))
 
 
-def model_step(
-    rows: DataFrame, request: Column, answer: str, step: str, system: str, calls: Calls, store: str, files: str | None = None
-) -> DataFrame:
-    """Add the column ``answer``: what the model function returns for the request text.
-
-    Each distinct request without an answer in the store is called once, and all rows that make it get
-    its answer. Rows that have failed before ask nothing; those whose request fails now get ``failed``.
-    Besides the rows' own, the returned columns are the answer and ``failed``.
-    """
-    spark = rows.sparkSession
-    rows = _with_failed(rows).withColumn("_request", request)
-    key = request_key(step, system, F.col("_request"), F.col(files) if files else None)
-    rows = rows.withColumn("_key", F.when(F.col(FAILED).isNull(), key))
-    given = [F.first(name).alias(name) for name in ("_request", files) if name]
-    distinct = rows.filter(F.col("_key").isNotNull()).groupBy("_key").agg(*given)
+def _ask(requests: DataFrame, step: str, system: str, calls: Calls, store: str, files: str | None = None) -> None:
+    """Call the model for the requests (``_key, _request``, one row each) that have no answer in the store, and store what it says."""
+    spark = requests.sparkSession
     ask = _called(calls, system, files is not None)
     for wave in range(calls.waves):
+        part = requests if calls.waves == 1 else requests.filter(F.pmod(F.xxhash64("_key"), F.lit(calls.waves)) == wave)
         answered = read_answers(spark, store, step).filter("error IS NULL").select(F.col("request_key").alias("_key"))
-        new = distinct.join(answered, "_key", "left_anti")
-        if calls.waves > 1:
-            new = new.filter(F.pmod(F.xxhash64("_key"), F.lit(calls.waves)) == wave)
+        new = part.join(answered, "_key", "left_anti")
         if calls.partitions:
             new = new.repartition(calls.partitions, "_key")
         asked = new.select(F.col("_key").alias("request_key"), (ask("_request", files) if files else ask("_request")).alias("_call"))
         append_answers(asked.select("request_key", "_call.answer", "_call.error"), store, step, f"{time.time_ns():020d}-{uuid.uuid4().hex}")
-    found = outcome(read_answers(spark, store, step)).select(F.col("request_key").alias("_key"), F.col("answer").alias(answer), F.col("error").alias("_error"))
-    # Rows that ask nothing are spread; no key of theirs equals a hash in hexadecimal.
-    spread = F.coalesce("_key", F.concat(F.lit("-"), F.xxhash64(*[name for name in rows.columns if name != files]).cast("string")))
-    joined = rows.withColumn("_key", spread).join(found, "_key", "left")
+
+
+def _spread(rows: DataFrame, key: str) -> Column:
+    """The key, or for rows without one a value of their own; none of these equals a hash in hexadecimal."""
+    return F.coalesce(key, F.concat(F.lit("-"), F.xxhash64(*rows.columns).cast("string")))
+
+
+def _with_answers(rows: DataFrame, answer: str, step: str, store: str) -> DataFrame:
+    """The rows with the stored answers to their ``_key``, and in ``failed`` why there is none."""
+    stored = outcome(read_answers(rows.sparkSession, store, step))
+    found = stored.select(F.col("request_key").alias("_key"), F.col("answer").alias(answer), F.col("error").alias("_error"))
+    joined = rows.withColumn("_key", _spread(rows, "_key")).join(found, "_key", "left")
     told = F.coalesce(FAILED, F.concat(F.lit(f"{step}: "), F.col("_error")))
-    return joined.withColumn(FAILED, told).drop("_request", "_key", "_error")
+    return joined.withColumn(FAILED, told).drop("_key", "_error")
+
+
+def model_step(rows: DataFrame, request: Column, answer: str, step: str, system: str, calls: Calls, store: str) -> DataFrame:
+    """Add the column ``answer``: what the model function returns for the request text.
+
+    Each distinct request without an answer in the store is called once, and all rows that make it get
+    its answer. Rows that have failed before ask nothing; those whose request fails now get ``failed``.
+    Besides the rows' own, the returned columns are the answer and ``failed``. The rows are computed twice.
+    """
+    rows = _with_failed(rows).withColumn("_request", request)
+    rows = rows.withColumn("_key", F.when(F.col(FAILED).isNull(), request_key(step, system, F.col("_request"))))
+    # Nothing but grouping columns: texts in an aggregate would be sorted.
+    _ask(rows.filter(F.col(FAILED).isNull()).select("_key", "_request").distinct(), step, system, calls, store)
+    return _with_answers(rows.drop("_request"), answer, step, store)
 
 
 def _store(work_dir: str, answers: str | None) -> str:
@@ -169,15 +178,42 @@ def three_steps(
     one with an array of attachment payloads, which only the first step is given and which is stored
     nowhere. ``work_dir`` is a folder of this run in shared storage; ``answers`` is the folder of the store,
     which runs may share, by default one in ``work_dir``.
+
+    Inquiries of equal description and first request differ in nothing that a step is given: each such case goes through
+    the steps once, in tables of the run that a step is read from only once written, and its answers are joined to
+    its inquiries at the end.
     """
-    store = _store(work_dir, answers)
-    first = model_step(inquiries, step1_text("description", "specs", extra), "raw1", "extract", prompts.extract, calls, store, files)
+    store, made = _store(work_dir, answers), f"{work_dir}/steps-{uuid.uuid4().hex}"
+    kept = [name for name in _with_failed(inquiries).columns if name != files]
+    rows = _with_failed(inquiries).withColumn("_request", step1_text("description", "specs", extra))
+    key = request_key("extract", prompts.extract, F.col("_request"), F.col(files) if files else None)
+    rows = rows.withColumn("_key", F.when(F.col(FAILED).isNull(), key))
+    # What all later requests follow from: the first one and the description.
+    rows = rows.withColumn("_case", F.sha2(F.concat("_key", F.coalesce(F.concat(F.lit(":"), "description"), F.lit("-"))), 256))
+    if files:
+        rows = rows.withColumn("_attached", F.coalesce(F.size(files) > 0, F.lit(False)))
+        attached = rows.filter(F.col(FAILED).isNull() & F.col("_attached")).groupBy("_key").agg(F.first("_request").alias("_request"), F.first(files).alias(files))
+        # Without the payloads, so that they are not read again.
+        rows = _written(rows.drop(files), f"{made}/inquiries")
+    cases = rows.filter(F.col(FAILED).isNull()).select("_case", "_key", "_request", "description", *(["_attached"] if files else [])).distinct()
+    cases = _with_failed(_written(cases, f"{made}/cases"))
+    asked = cases.select("_key", "_request")
     if files:
-        # Without the payloads, so that the later steps don't read them again.
-        first = _written(first.drop(files), f"{work_dir}/step1")
+        bare = cases.filter("NOT _attached").select("_key", "_request").distinct()
+        asked = bare.withColumn(files, F.lit(None).cast(attached.schema[files].dataType)).unionByName(attached)
+    else:
+        asked = asked.distinct()
+    _ask(asked, "extract", prompts.extract, calls, store, files)
+    first = _with_answers(cases.select("_case", "_key", "description", FAILED), "raw1", "extract", store)
+    first = _written(first, f"{made}/extract")
     second = model_step(first, step2_text(usable_json("raw1"), "raw1"), "raw2", "classify", prompts.classify, calls, store)
+    second = _written(second, f"{made}/classify")
     request = step3_text("description", usable_json("raw1"), usable_json("raw2"), "raw2")
-    return model_step(second, request, "raw3", "validate", prompts.validate, calls, store)
+    third = model_step(second, request, "raw3", "validate", prompts.validate, calls, store)
+    third = _written(third.select("_case", F.col(FAILED).alias("_failed"), "raw1", "raw2", "raw3"), f"{made}/validate")
+    rows = rows.select(*kept, "_case")
+    joined = rows.withColumn("_case", _spread(rows, "_case")).join(third, "_case", "left")
+    return joined.withColumn(FAILED, F.coalesce(FAILED, "_failed")).select(*kept, "raw1", "raw2", "raw3")
 
 
 def ask_questions(

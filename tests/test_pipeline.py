@@ -133,6 +133,30 @@ def test_equal_requests_are_called_once_over_runs_that_share_a_store(spark, tmp_
     assert len(os.listdir(marks)) == 3
 
 
+def test_equal_inquiries_go_through_the_steps_once(spark, tmp_path):
+    """Rows of one description and first request are one row in every step's table; each inquiry gets its answers."""
+    rows = inquiries(spark, 60).withColumns({"description": F.expr("IF(row_id < 'r3', 'pump', IF(row_id < 'r5', '', NULL))"), "failed": F.expr("IF(row_id = 'r9', 'before', NULL)")})
+    answered = three_steps(rows, PROMPTS, Calls(stub_model), str(tmp_path / "work"))
+    [made] = [tmp_path / "work" / name for name in os.listdir(tmp_path / "work") if name.startswith("steps-")]
+    assert [spark.read.parquet(str(made / step)).count() for step in ("cases", "extract", "classify", "validate")] == [3] * 4
+    by_id = {row.row_id: row for row in answered.collect()}
+    assert len(by_id) == 60 and answered.columns == ["row_id", "description", "specs", "failed", "raw1", "raw2", "raw3"]
+    assert (by_id["r9"].failed, by_id["r9"].raw1) == ("before", None)
+    assert all((row.raw1, row.raw2, row.raw3) == expected(row) for row in by_id.values() if row.description)
+    blank = {(row.raw1, row.raw2, row.raw3) for row in by_id.values() if not row.description and row.row_id != "r9"}
+    assert len(blank) == 1 and None not in blank.pop()
+
+
+def test_equal_attachments_reach_the_first_step_once(spark, tmp_path):
+    marks = tmp_path / "marks"
+    marks.mkdir()
+    one = "array(named_struct('media_type', 'image/png', 'data', 'QQ=='))"
+    rows = inquiries(spark, 9).withColumns({"description": F.lit("pump"), "files": F.expr(f"CASE WHEN row_id < 'r4' THEN {one} WHEN row_id < 'r6' THEN filter({one}, file -> false) END")})
+    answered = three_steps(rows, PROMPTS, Calls(counting(str(marks))), str(tmp_path / "work"), files="files")
+    assert len(answered.collect()) == 9 and "files" not in answered.columns
+    assert sorted(name.split("-")[0] for name in os.listdir(marks)) == ["classify", "extract", "extract", "validate"]
+
+
 def test_keys_tell_requests_apart(spark):
     files = "array<struct<media_type string, data string>>"
     rows = spark.createDataFrame([("a", None), ("a", []), ("a", [("x", "y")]), ("a", [("xy", "")]), ("a", [("x", None)]), (None, None), ("", None)], f"text string, files {files}")
