@@ -28,13 +28,13 @@ def request_id(*key: Column | str, length: int = ID_LENGTH) -> Column:
 
 
 def history_record(
-    resolved: DataFrame, *, qa: str | None = None, row_id: Column | str = "row_id", shown: Shown = WHOLE
+    resolved: DataFrame, *also: str, qa: str | None = None, row_id: Column | str = "row_id", shown: Shown = WHOLE
 ) -> DataFrame:
     """The ledger row of each inquiry, from a frame with payloads and result columns.
 
     Inputs and answers are stored whole; ``shown`` is for the audit text only. Also carries the
     fingerprint of the description, the round (the first, if the frame has none) and, if the
-    frame has it, ``verified_by``.
+    frame has it, ``verified_by``. ``also`` names further columns to keep.
     """
     step1, step2 = F.col("step1"), F.col("step2")
 
@@ -79,6 +79,7 @@ def history_record(
         mark.alias("product_fingerprint"),
         note.alias("verified_by"),
         turn.alias("round"),
+        *also,
     )
 
 

@@ -6,6 +6,7 @@ a batch again replaces that batch. Reviews are appended to a log and laid over t
 when it is read; :func:`fold_reviews` works them into the partitions they touch.
 """
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -113,16 +114,22 @@ def _within(rows: DataFrame) -> Column:
     return here | F.col("event_period").isNull() if None in periods else here
 
 
-def append_history(records: DataFrame, path: str, batch: str, *, grain: str = "day") -> None:
+def append_history(
+    records: DataFrame, path: str, batch: str, *, grain: str = "day", expand: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
     """Append ledger rows as the named batch, partitioned by period (``day``, ``month`` or ``year``).
 
     Rows are brought together by period before writing, so that a batch leaves few files
     per period. The rebalance splits a large period over several tasks, whatever its share
     of the rows, and the order by time lets file statistics prune within a period.
+    With ``expand`` the records are what ledger rows are made of, row by row, which happens once they are in place:
+    it keeps ``timestamp`` and the two columns of the partition.
     """
     placed = records.withColumns({"event_period": period_of("timestamp", grain), "ingest_batch": F.lit(batch)})
-    rows = conform(placed, schemas.HISTORY_TABLE).hint("rebalance", "event_period")
-    ordered = rows.sortWithinPartitions("event_period", "timestamp")
+    rows = placed if expand else conform(placed, schemas.HISTORY_TABLE)
+    ordered = rows.hint("rebalance", "event_period").sortWithinPartitions("event_period", "timestamp")
+    if expand:
+        ordered = conform(expand(ordered), schemas.HISTORY_TABLE)
     _write_batch(ordered, path, schemas.HISTORY_TABLE, LEDGER_PARTITIONS, batch)
 
 

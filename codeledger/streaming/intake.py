@@ -18,7 +18,7 @@ from codeledger.operators.ledger import history_record
 from codeledger.operators.requests import admitted
 from codeledger.operators.reviews import relevant_verified, verified_by, verified_lookup
 from codeledger.sources import keyed
-from codeledger.sources.tables import append_history, not_logged, read_history, read_verified
+from codeledger.sources.tables import LEDGER_PARTITIONS, append_history, not_logged, read_history, read_verified
 
 
 def _rerun(cases: DataFrame) -> Column:
@@ -42,6 +42,12 @@ def one_of_each(cases: DataFrame) -> DataFrame:
     return first.unionByName(cases.filter("row_id IS NULL"))
 
 
+def repeats(cases: DataFrame) -> bool:
+    """Whether an inquiry comes twice in a round. Only ids and rounds are shuffled."""
+    often = cases.filter("row_id IS NOT NULL").groupBy("row_id", "round").count().filter("count > 1")
+    return not often.isEmpty()
+
+
 def ledger_rows(cases: DataFrame, verified: DataFrame | None = None, *, one_each: bool = False) -> DataFrame:
     """Ledger rows of admitted, answered inquiries.
 
@@ -50,10 +56,25 @@ def ledger_rows(cases: DataFrame, verified: DataFrame | None = None, *, one_each
     :func:`codeledger.plans.pipeline.followup_retry` say which round they are of. Without
     ``verified`` no row has a note; ``one_each`` is that of the lookup.
     """
-    logged = resolve_result(with_payloads(loggable(cases)))
-    if verified is not None:
-        logged = verified_lookup(logged, verified, one_each=one_each).withColumn("verified_by", F.when(~_rerun(cases), verified_by()))
-    return history_record(logged, qa="qa" if "qa" in cases.columns else None)
+    return _records(_looked_up(loggable(cases), verified, one_each))
+
+
+def log_cases(
+    cases: DataFrame, verified: DataFrame | None, history_path: str, batch: str, *, grain: str = "day", one_each: bool = False
+) -> None:
+    """Log what is :func:`loggable` as the named batch. Rows travel as they came; ledger rows are made where they are written."""
+    append_history(_looked_up(cases, verified, one_each), history_path, batch, grain=grain, expand=lambda rows: _records(rows, *LEDGER_PARTITIONS))
+
+
+def _looked_up(cases: DataFrame, verified: DataFrame | None, one_each: bool) -> DataFrame:
+    return cases if verified is None else verified_lookup(cases, verified, one_each=one_each)
+
+
+def _records(cases: DataFrame, *also: str) -> DataFrame:
+    logged = resolve_result(with_payloads(cases))
+    if "verified_row_id" in cases.columns:
+        logged = logged.withColumn("verified_by", F.when(~_rerun(cases), verified_by()))
+    return history_record(logged, *also, qa="qa" if "qa" in cases.columns else None)
 
 
 def start_intake(
@@ -87,18 +108,19 @@ def start_intake(
 
     def log_batch(batch: DataFrame, batch_id: int) -> None:
         session, label = batch.sparkSession, f"{name}-{batch_id}"
-        arrived = loggable(batch.withColumn("round", F.coalesce("round", F.lit(1))))
         # Used several times below, and a stream's batch is read whole each time.
-        cases = one_of_each(arrived).persist()
+        arrived = loggable(batch.withColumn("round", F.coalesce("round", F.lit(1)))).persist()
+        cases = one_of_each(arrived).persist() if repeats(arrived) else arrived
         try:
             if index_path:
                 log_by_index(session, cases, label)
                 return
             new = not_logged(cases, read_history(session, history_path), label, grain=grain)
             verified = relevant_verified(read_verified(session, verified_path), cases)
-            append_history(ledger_rows(new, verified), history_path, label, grain=grain)
+            log_cases(new, verified, history_path, label, grain=grain)
         finally:
             cases.unpersist()
+            arrived.unpersist()
 
     def log_by_index(session: SparkSession, cases: DataFrame, label: str) -> None:
         index = keyed.logged_requests(session, f"{index_path}/logged", buckets)
@@ -107,7 +129,7 @@ def start_intake(
         try:
             wanted = new.select(fingerprint("description").alias("product_fingerprint")).distinct().persist()
             verified = keyed.relevant_confirmed(confirmed, wanted)
-            append_history(ledger_rows(new, verified, one_each=True), history_path, label, grain=grain)
+            log_cases(new, verified, history_path, label, grain=grain, one_each=True)
             wanted.unpersist()
             keyed.index_logged(new, index, label)
         finally:

@@ -7,7 +7,7 @@ from codeledger.functions.text import fingerprint
 from codeledger.operators.ledger import history_text
 from codeledger.plans.fixtures import spark_fixture
 from codeledger.sources import tables
-from codeledger.streaming.intake import ledger_rows, start_intake
+from codeledger.streaming.intake import ledger_rows, log_cases, loggable, repeats, start_intake
 
 
 def case(row_id, description, code="01020304", user="ann"):
@@ -107,3 +107,20 @@ def test_rounds_in_the_ledger(spark):
         "c": (None, "Q: Use? → A: water", True),
         "d": (None, "Q: Use? → A: air", True),
     }
+
+
+def test_rows_travel_as_they_came(spark, tmp_path):
+    """Ledger rows are made after they are in place, and are those of the batch form; the order by time holds."""
+    rows = spark.createDataFrame([case("a", "pump"), case("b", "valve"), case("c", "x", code="")], schemas.CASES)
+    verified = spark.createDataFrame([("v", "pump", "01020304", "", "eve", datetime(2024, 1, 1), "", "pump")], schemas.VERIFIED)
+    log_cases(loggable(rows), verified, str(tmp_path / "history"), "one")
+    shown = lambda frame: sorted(map(tuple, history_text(frame, "verified_by", "product_fingerprint", "round").na.fill("").collect()))
+    logged = tables.read_history(spark, str(tmp_path / "history"))
+    assert shown(logged) == shown(ledger_rows(rows, verified)) and logged.count() == 2
+    assert {(str(row.event_period), row.ingest_batch) for row in logged.collect()} == {("2024-01-02", "one")}
+
+
+def test_what_comes_twice_is_seen(spark):
+    rounds = lambda *rows: spark.createDataFrame(list(rows), "row_id string, round int")
+    assert not repeats(rounds(("a", 1), ("a", 2), (None, 1), (None, 1), ("b", 1)))
+    assert repeats(rounds(("a", 1), ("b", 1), ("a", 1)))
