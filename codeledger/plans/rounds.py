@@ -12,8 +12,7 @@ from codeledger.functions.payload import typed, usable_json, with_payloads
 from codeledger.operators import followup
 from codeledger.operators.requests import admitted, question_text
 from codeledger.plans.pipeline import FAILED, Calls, Prompts, ask_questions, followup_retry, three_steps
-from codeledger.sources.tables import append_history
-from codeledger.streaming.intake import ledger_rows
+from codeledger.streaming.intake import log_cases, loggable
 
 
 def classification_round(
@@ -37,7 +36,7 @@ def classification_round(
     (``sources.attachments.by_request``), which goes into the first step only.
     """
     answered = three_steps(admitted(inquiries), prompts, calls, work_dir, files=files, answers=store)
-    append_history(ledger_rows(answered.filter(F.col(FAILED).isNull()), verified), history_path, batch, grain=grain)
+    log_cases(loggable(answered.filter(F.col(FAILED).isNull())), verified, history_path, batch, grain=grain)
     return answered
 
 
@@ -72,5 +71,5 @@ def followup_round(
     without a note on earlier confirmations.
     """
     both = followup_retry(cases, answers, prompts, calls, work_dir, eligible=eligible, files=files, store=store)
-    append_history(ledger_rows(both.filter((F.col("round") > 1) & F.col(FAILED).isNull())), history_path, batch, grain=grain)
+    log_cases(loggable(both.filter((F.col("round") > 1) & F.col(FAILED).isNull())), None, history_path, batch, grain=grain)
     return both
