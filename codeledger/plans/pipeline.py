@@ -220,7 +220,8 @@ def ask_questions(
     requests: DataFrame, request: Column, prompts: Prompts, calls: Calls, work_dir: str, *, answers: str | None = None
 ) -> DataFrame:
     """``row_id, raw_q``: the answer of the question step to the given request text; rows whose call failed are left out."""
-    asked = requests.select("row_id", request.alias("_asked"))
+    # A table of the run: what the requests are made from is parsed once.
+    asked = _written(requests.select("row_id", request.alias("_asked")), f"{work_dir}/asked-{uuid.uuid4().hex}")
     answered = model_step(asked, F.col("_asked"), "raw_q", "ask", prompts.ask, calls, _store(work_dir, answers))
     return answered.filter(F.col(FAILED).isNull()).select("row_id", "raw_q")
 
