@@ -117,6 +117,29 @@ def test_spaces_in_a_row(plain_encoder, text):
     assert encoder.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_go_to_the_library_together_and_known_ones_not_at_all(monkeypatch):
+    encoder = Encoder(BYTE_BPE)
+    tokenizer, given = encoder.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    # Each word once after a space and once at the start of a line; é has two bytes.
+    texts = ["\n".join(f"wé{k}x it's, wé{k}x. 'sé{k}" for k in range(start, start + 500)) for start in (0, 500)]
+    expected = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == expected
+    assert len(given) <= 4
+    assert [ids.tolist() for ids in encoder.encode(texts)] == expected
+    assert len(given) <= 4
+    # The older half of what is remembered is found, too, and what is in neither is learned again.
+    monkeypatch.setattr("codeledger.llm.common.REMEMBERED_BYTES", 1000)
+    for some in (texts[:1], texts[1:], texts, texts[:1]):
+        assert [ids.tolist() for ids in encoder.encode(some)] == [expected[texts.index(text)] for text in some]
+
+
 @given(st.integers(1, 32), st.lists(st.integers(0, 2**32 - 1), max_size=50))
 @settings(max_examples=100, deadline=None)
 def test_bits_round_trip(bits, ids):
