@@ -54,6 +54,8 @@ class KeyedTable:
 
     def files_for(self, rows: DataFrame, version: int | None = None) -> list[File]:
         """The files of the buckets that the rows' keys fall in. What the driver is told is bounded by the buckets."""
+        if not self.table.files(version):
+            return []  # the rows need not be read
         wanted = {str(row.bucket) for row in rows.select(self.bucket().alias("bucket")).distinct().collect()}
         return self.table.files(version, lambda period: period in wanted)
 
@@ -62,8 +64,11 @@ class KeyedTable:
 
         A key with a null is like no other. The keys of a small batch are broadcast by their measured size, so the table's side is not shuffled.
         """
+        files = self.files_for(rows, version)
+        if not files:
+            return self.table.rows([])
         keys = rows.select(*(F.col(name).alias(f"_{name}") for name in self.key)).distinct()
-        return self.table.rows(self.files_for(rows, version)).join(keys, self._same_key(), "left_semi")
+        return self.table.rows(files).join(keys, self._same_key(), "left_semi")
 
     def _same_key(self) -> list[Column]:
         return [F.col(name) == F.col(f"_{name}") for name in self.key]
@@ -96,10 +101,13 @@ class KeyedTable:
         ranked = Window.partitionBy(*self.key).orderBy(*(F.col(name) for name in [*order, *(name for name in names if name not in order), self.table.batch]))
         first = known.unionByName(added).withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")
         stored = known.select(*(F.col(name).alias(f"_{name}") for name in names))
-        new = first.join(stored, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in names], "left_anti").persist()
+        empty = not self.table.files(on)
+        new = first.persist() if empty else first.join(stored, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in names], "left_anti").persist()
         try:
             if new.isEmpty():
                 return on
+            if empty:
+                return self.table.commit(new, on, what="merge")
             gone = known.join(new.select(*(F.col(name).alias(f"_{name}") for name in self.key)), self._same_key(), "left_semi")
             stale = self.files_for(gone, on)
             rest = self.table.rows(stale).join(new.select(*(F.col(name).alias(f"_{name}") for name in self.key)), self._same_key(), "left_anti")
@@ -136,6 +144,8 @@ def not_logged(cases: DataFrame, index: KeyedTable, batch: str) -> DataFrame:
 
     Cases without an id repeat nothing. Only the buckets of the cases are read.
     """
+    if not index.table.files():
+        return cases
     logged = index.matching(_requests(cases)).filter(F.col("ingest_batch") != batch).select(F.col("row_id").alias("_id"), F.col("round").alias("_round")).distinct()
     same = (F.col("row_id") == F.col("_id")) & (F.coalesce("round", F.lit(1)) == F.col("_round"))
     return cases.join(logged, same, "left_anti")

@@ -108,13 +108,14 @@ def start_intake(
 
     def log_batch(batch: DataFrame, batch_id: int) -> None:
         session, label = batch.sparkSession, f"{name}-{batch_id}"
+        rounds = batch.withColumn("round", F.coalesce("round", F.lit(1)))
+        if index_path:
+            log_by_index(session, rounds, label)
+            return
         # Used several times below, and a stream's batch is read whole each time.
-        arrived = loggable(batch.withColumn("round", F.coalesce("round", F.lit(1)))).persist()
+        arrived = loggable(rounds).persist()
         cases = one_of_each(arrived).persist() if repeats(arrived) else arrived
         try:
-            if index_path:
-                log_by_index(session, cases, label)
-                return
             new = not_logged(cases, read_history(session, history_path), label, grain=grain)
             verified = relevant_verified(read_verified(session, verified_path), cases)
             log_cases(new, verified, history_path, label, grain=grain)
@@ -122,10 +123,14 @@ def start_intake(
             cases.unpersist()
             arrived.unpersist()
 
-    def log_by_index(session: SparkSession, cases: DataFrame, label: str) -> None:
+    def log_by_index(session: SparkSession, rounds: DataFrame, label: str) -> None:
         index = keyed.logged_requests(session, f"{index_path}/logged", buckets)
         confirmed = keyed.confirmed_answers(session, f"{index_path}/confirmed", buckets)
-        new = keyed.not_logged(cases, index, label).persist()
+        # What is logged goes by its key alone, so it is left out before any answer is parsed. A batch that is looked up is read several times.
+        known = bool(index.table.files())
+        rounds = rounds.persist() if known else rounds
+        arrived = loggable(keyed.not_logged(rounds, index, label)).persist()
+        new = one_of_each(arrived).persist() if repeats(arrived) else arrived
         try:
             wanted = new.select(fingerprint("description").alias("product_fingerprint")).distinct().persist()
             verified = keyed.relevant_confirmed(confirmed, wanted)
@@ -134,6 +139,9 @@ def start_intake(
             keyed.index_logged(new, index, label)
         finally:
             new.unpersist()
+            arrived.unpersist()
+            if known:
+                rounds.unpersist()
 
     source = spark.readStream.schema(schemas.INTAKE)
     if max_files:

@@ -161,3 +161,15 @@ def test_an_old_ledger_is_indexed(spark, tmp_path):
     index.compact()
     assert left("b") == [("", 1), ("", 1), ("new", 1), ("r7", 2)]
     cases.unpersist()
+
+
+def test_what_is_logged_is_left_out_before_it_is_parsed(spark, tmp_path, monkeypatch):
+    from codeledger.streaming import intake
+
+    given, loggable = [], intake.loggable
+    monkeypatch.setattr(intake, "loggable", lambda cases: given.append(cases.count()) or loggable(cases))
+    write(spark, tmp_path / "source", case("r1", "pump"), case("r2", "tap"))
+    assert run(spark, tmp_path).count() == 2
+    write(spark, tmp_path / "source", redated(case("r1", "pump"), 9), case("r3", "valve"))
+    assert run(spark, tmp_path).count() == 3
+    assert given == [2, 1]
