@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from codeledger.functions.payload import usable_json, with_payloads
 from codeledger.operators import followup
 from codeledger.operators.requests import step1_text, step2_text, step3_text
-from codeledger.sources.answers import append_answers, outcome, read_answers, request_key
+from codeledger.sources.answers import append_answers, outcome, read_answers, request_key, texts_key
 
 # model_fn(system, text) -> answer text. With attachments: model_fn(system, text, attachments),
 # attachments being a list of {"media_type": ..., "data": ...}.
@@ -124,8 +124,9 @@ def _ask(requests: DataFrame, step: str, system: str, calls: Calls, store: str,
 
 
 def _spread(rows: DataFrame, key: str) -> Column:
-    """The key, or for rows without one a value of their own; none of these equals a hash in hexadecimal."""
-    return F.coalesce(key, F.concat(F.lit("-"), F.xxhash64(*rows.columns).cast("string")))
+    """The key, or for rows without one a value of their own; none of these equals a digest, in hexadecimal or as bytes."""
+    own = F.concat(F.lit("-"), F.xxhash64(*rows.columns).cast("string"))
+    return F.coalesce(key, own.cast(rows.schema[key].dataType))
 
 
 def _with_answers(rows: DataFrame, answer: str, step: str, store: str) -> DataFrame:
@@ -179,23 +180,29 @@ def three_steps(
     nowhere. ``work_dir`` is a folder of this run in shared storage; ``answers`` is the folder of the store,
     which runs may share, by default one in ``work_dir``.
 
-    Inquiries of equal description and first request differ in nothing that a step is given: each such case goes through
+    Inquiries of equal texts and attachments differ in nothing that a step is given: each such case goes through
     the steps once, in tables of the run that a step is read from only once written, and its answers are joined to
-    its inquiries at the end.
+    its inquiries at the end. An inquiry itself is only told its case; requests and their keys are made for cases.
     """
     store, made = _store(work_dir, answers), f"{work_dir}/steps-{uuid.uuid4().hex}"
-    kept = [name for name in _with_failed(inquiries).columns if name != files]
-    rows = _with_failed(inquiries).withColumn("_request", step1_text("description", "specs", extra))
-    key = request_key("extract", prompts.extract, F.col("_request"), F.col(files) if files else None)
-    rows = rows.withColumn("_key", F.when(F.col(FAILED).isNull(), key))
-    # What all later requests follow from: the first one and the description.
-    rows = rows.withColumn("_case", F.sha2(F.concat("_key", F.coalesce(F.concat(F.lit(":"), "description"), F.lit("-"))), 256))
+    rows = _with_failed(inquiries)
+    kept = [name for name in rows.columns if name != files]
+    request = step1_text("description", "specs", extra)
     if files:
-        rows = rows.withColumn("_attached", F.coalesce(F.size(files) > 0, F.lit(False)))
+        rows = rows.withColumn("_request", request).withColumn("_attached", F.coalesce(F.size(files) > 0, F.lit(False)))
+        rows = rows.withColumn("_key", F.when(F.col(FAILED).isNull(), request_key("extract", prompts.extract, F.col("_request"), F.col(files))))
         attached = rows.filter(F.col(FAILED).isNull() & F.col("_attached")).groupBy("_key").agg(F.first("_request").alias("_request"), F.first(files).alias(files))
         # Without the payloads, so that they are not read again.
         rows = _written(rows.drop(files), f"{made}/inquiries")
-    cases = rows.filter(F.col(FAILED).isNull()).select("_case", "_key", "_request", "description", *(["_attached"] if files else [])).distinct()
+        given, case = ["_key", "_request", "_attached", "description"], texts_key("_key", "description")
+    else:
+        given = ["description", "specs", *([extra] if extra else [])]
+        case = texts_key(*given)
+    # The columns as they are, so that most repeats go before anything is made of them.
+    cases = rows.filter(F.col(FAILED).isNull()).select(*given).distinct().withColumn("_case", case)
+    if not files:
+        cases = cases.withColumn("_request", request).withColumn("_key", request_key("extract", prompts.extract, F.col("_request")))
+        cases = cases.select("_case", "_key", "_request", "description")
     cases = _with_failed(_written(cases, f"{made}/cases"))
     asked = cases.select("_key", "_request")
     if files:
@@ -211,7 +218,7 @@ def three_steps(
     request = step3_text("description", usable_json("raw1"), usable_json("raw2"), "raw2")
     third = model_step(second, request, "raw3", "validate", prompts.validate, calls, store)
     third = _written(third.select("_case", F.col(FAILED).alias("_failed"), "raw1", "raw2", "raw3"), f"{made}/validate")
-    rows = rows.select(*kept, "_case")
+    rows = rows.withColumn("_case", F.when(F.col(FAILED).isNull(), case)).select(*kept, "_case")
     joined = rows.withColumn("_case", _spread(rows, "_case")).join(third, "_case", "left")
     return joined.withColumn(FAILED, F.coalesce(FAILED, "_failed")).select(*kept, "raw1", "raw2", "raw3")
 

@@ -147,6 +147,31 @@ def test_equal_inquiries_go_through_the_steps_once(spark, tmp_path):
     assert len(blank) == 1 and None not in blank.pop()
 
 
+def test_requests_are_made_for_cases_and_inquiries_join_by_digest(spark, tmp_path):
+    """What an inquiry is given its answers by is 32 bytes, and no request text is made again where they are joined."""
+    rows = inquiries(spark, 40).withColumns({
+        "description": F.expr("CASE WHEN row_id < 'r2' THEN 'pump' WHEN row_id < 'r3' THEN '' ELSE 'valve' END"),
+        "specs": F.expr("CASE WHEN row_id < 'r15' THEN 'DN 40' WHEN row_id < 'r35' THEN '' WHEN row_id < 'r8' THEN NULL ELSE ' DN 40' END"),
+        "failed": F.expr("IF(row_id = 'r9', 'before', NULL)"),
+    })
+    answered = three_steps(rows.unionByName(rows.filter("row_id = 'r1'")), PROMPTS, Calls(stub_model), str(tmp_path / "work"))
+    assert "Product description" not in answered._jdf.queryExecution().optimizedPlan().toString()
+    [made] = [tmp_path / "work" / name for name in os.listdir(tmp_path / "work") if name.startswith("steps-")]
+    cases = spark.read.parquet(str(made / "cases"))
+    given = {(row.description, row.specs) for row in rows.filter("failed IS NULL").collect()}
+    assert cases.count() == len(given) and {len(row._case) for row in cases.collect()} == {32}
+    model, by_id = stub_model(), {}
+    for row in answered.collect():
+        by_id.setdefault(row.row_id, []).append(row)
+        if row.row_id != "r9":
+            sections = [("Product description / invoice text:\n", row.description), ("Technical specifications:\n", row.specs)]
+            request = "\n\n".join(label + text for label, text in sections if text).strip() or None
+            assert row.raw1 == model("extract", request) and row.raw3 and row.failed is None
+    assert len(by_id) == 40 and len(by_id["r1"]) == 2 and (by_id["r9"][0].failed, by_id["r9"][0].raw1) == ("before", None)
+    calls = spark.read.parquet(str(tmp_path / "work" / "answers")).filter("step = 'extract'")
+    assert calls.count() == calls.select("request_key").distinct().count()
+
+
 def test_equal_attachments_reach_the_first_step_once(spark, tmp_path):
     marks = tmp_path / "marks"
     marks.mkdir()
